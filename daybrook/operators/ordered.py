@@ -28,6 +28,16 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return left.join(renamed, cond, "left").drop(*[f"_r_{n}" for n in names])
 
 
+def _last_row(local: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """``column`` of the last row of every bucket.
+
+    The aggregate asks for the whole row on purpose: both uses of ``local`` then need the
+    same columns below the shuffle, so Spark runs that shuffle once and reuses it.
+    """
+    last = F.max_by(F.struct(*local.columns), F.col("_nth"))
+    return local.groupBy(*keys, "_bucket").agg(last.alias("_row")).select(*keys, "_bucket", F.col("_row")[column].alias(out))
+
+
 def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
                 value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over a key's rows up to and including this one."""
@@ -35,7 +45,7 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = cut.withColumn("_local", F.sum(value).over(inside.rowsBetween(BEFORE, HERE))) \
         .withColumn("_nth", F.row_number().over(inside))
-    totals = local.groupBy(*keys, "_bucket").agg(F.max_by("_local", "_nth").alias("_total"))
+    totals = _last_row(local, keys, "_local", "_total")
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(BEFORE, -1)
     carried = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_carry"))
     joined = _same(local, carried, [*keys, "_bucket"])
@@ -53,7 +63,7 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
     boxed = df.withColumn("_bucket", bucket).withColumn("_box", F.struct(value.alias("v")))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = boxed.withColumn("_prev", F.lag("_box").over(inside)).withColumn("_nth", F.row_number().over(inside))
-    lasts = local.groupBy(*keys, "_bucket").agg(F.max_by("_box", "_nth").alias("_last"))
+    lasts = _last_row(local, keys, "_box", "_last")
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carried = lasts.select(*keys, "_bucket", F.lag("_last").over(across).alias("_carry"))
     joined = _same(local, carried, [*keys, "_bucket"])

@@ -69,13 +69,6 @@ def _owned(attributed: DataFrame) -> DataFrame:
         "ts_wall", "recv_ts", "event_id", "effective_ts")
 
 
-def event_lines(attributed: DataFrame) -> DataFrame:
-    rows = _owned(attributed)
-    return rows.select(
-        "project_id", "date_key", *[v.alias(k) for k, v in _place(_section_no(), F.lit(0), F.lit(0)).items()],
-        archive_text().alias("text")).where(F.col("text").isNotNull())
-
-
 def changed_files(attributed: DataFrame) -> DataFrame:
     """Distinct file names of a project day with the place of their first mention.
 
@@ -83,31 +76,74 @@ def changed_files(attributed: DataFrame) -> DataFrame:
     """
     kind = F.col("type")
     klass = F.when(kind == "FILE_CHANGE", 0).when(kind == "GIT_COMMIT", 1).otherwise(2)
-    named = F.when(kind == "FILE_CHANGE", F.array(F.col("payload.path"))).when(
-        kind.isin("GIT_COMMIT", "AGENT_REPORT"), F.col("payload.files"))
     rows = _owned(attributed).withColumn("_class", klass)
-    mentions = rows.select("*", F.posexplode(named).alias("_pos", "_file")).withColumn("file", basename("_file"))
+    mentions = rows.select("*", F.posexplode(_file_names()).alias("_pos", "_file")).withColumn("file", basename("_file"))
     place = F.struct(*[v.alias(k) for k, v in _place(F.lit(4), F.col("_class"), F.col("_pos")).items()])
     return mentions.where(has_text("file")).groupBy("project_id", "date_key", "file").agg(F.min(place).alias("first"))
 
 
-def clipboard_counts(attributed: DataFrame) -> DataFrame:
-    return _owned(attributed).where(F.col("type") == "CLIPBOARD") \
-        .groupBy("project_id", "date_key").agg(F.count("*").alias("n_clips"))
+def _file_names() -> Column:
+    kind = F.col("type")
+    named = F.when(kind == "FILE_CHANGE", F.array(F.col("payload.path"))).when(
+        kind.isin("GIT_COMMIT", "AGENT_REPORT"), F.col("payload.files"))
+    return F.coalesce(named, strings([]))
+
 
+def archive_lines(attributed: DataFrame, *, frame: bool = False) -> DataFrame:
+    """Lines of the daily archive: ``project_id, date_key, date_label, <place>, text``.
 
-def archive_lines(attributed: DataFrame) -> DataFrame:
-    """Lines of the daily archive: ``project_id, date_key, date_label, <place>, text``."""
-    files = changed_files(attributed).select(
-        "project_id", "date_key", *[F.col("first")[n].alias(n) for n in PLACE],
-        F.concat(F.lit("- "), F.col("file")).alias("text"))
-    blank = {"section_no": F.lit(6), "o_class": F.lit(0), "o_ts": F.lit(""), "o_unparsed": F.lit(False),
-             "o_at": F.lit(None).cast("timestamp"), "o_recv": F.lit(""), "o_id": F.lit(""), "o_pos": F.lit(0)}
-    clips = clipboard_counts(attributed).select(
-        "project_id", "date_key", *[v.alias(k) for k, v in blank.items()],
-        F.concat(F.lit("### Clipboard captures: "), F.col("n_clips").cast("string")).alias("text"))
-    return event_lines(attributed).unionByName(files).unionByName(clips) \
-        .withColumn("date_label", date_label("date_key"))
+    Every event offers its lines (and, with ``frame``, the headings and gaps around them) in
+    one pass; one aggregation then keeps what may appear once per day.  It combines on the
+    map side, so a project day of any size is fine.
+    """
+    rows = _owned(attributed).withColumn("date_label", date_label("date_key"))
+    kind = F.col("type")
+    klass = F.when(kind == "FILE_CHANGE", 0).when(kind == "GIT_COMMIT", 1).otherwise(2)
+    order = {k: v for k, v in _place(F.lit(0), F.lit(0), F.lit(0)).items() if k not in ("section_no", "o_class", "o_pos")}
+    blank = {"o_ts": F.lit(""), "o_unparsed": F.lit(False), "o_at": F.lit(None).cast("timestamp"),
+             "o_recv": F.lit(""), "o_id": F.lit("")}
+
+    def offer(section, o_class, pos, text: Column, own: bool, where: dict[str, Column]) -> Column:
+        place = {"section_no": section, "o_class": o_class, **where, "o_pos": pos}
+        place = {k: (v if isinstance(v, Column) else F.lit(v)) for k, v in place.items()}
+        for k in ("section_no", "o_class", "o_pos"):
+            place[k] = place[k].cast("int")
+        return F.struct(F.struct(*[place[n].alias(n) for n in PLACE]).alias("place"), text.alias("text"), F.lit(own).alias("own"))
+
+    files = F.filter(F.transform(_file_names(), lambda f, i: F.struct(i.alias("i"), basename(f).alias("name"))),
+                     lambda x: has_text(x["name"]))
+    section = _section_no()
+    line = F.when(section.isNotNull(), offer(section, 0, 0, archive_text(), True, order))
+    file_lines = F.transform(files, lambda x: offer(4, klass, x["i"], F.concat(F.lit("- "), x["name"]), False, order))
+    clip = F.when(kind == "CLIPBOARD", offer(6, 0, 0, F.lit("### Clipboard captures: "), False, blank))
+    offers = [F.array(line, clip), file_lines]
+    if frame:
+        has_files = F.size(files) > 0
+        names = F.coalesce(*[F.when(section == n, F.lit(t)) for n, t in SECTIONS.items()])
+        offers.append(F.array(
+            offer(0, 0, 0, F.lit("---"), False, blank),
+            offer(0, 0, 1, F.concat(F.lit("## "), F.col("date_label")), False, blank),
+            offer(0, 0, 2, F.lit(""), False, blank), offer(7, 0, 0, F.lit("---"), False, blank),
+            offer(7, 0, 1, F.lit(""), False, blank),
+            F.when(section.isNotNull(), offer(section, -1, 0, names, False, blank)),
+            F.when(section.isNotNull(), offer(section, 9, 0, F.lit(""), False, blank)),
+            F.when(has_files, offer(4, -1, 0, F.lit(SECTIONS[4]), False, blank)),
+            F.when(has_files, offer(4, 9, 0, F.lit(""), False, blank)),
+            F.when(kind == "CLIPBOARD", offer(6, 9, 0, F.lit(""), False, blank))))
+    spread = rows.select("project_id", "date_key", "date_label", F.explode(F.filter(
+        F.concat(*offers), lambda o: o.isNotNull())).alias("o"))
+    # Own lines are told apart by their full place; the others by what they say and where.
+    slot = F.when(F.col("o.own"), F.to_json("o.place")).when(
+        F.col("o.place.section_no") == 4, F.when(F.col("o.place.o_class") < 0, F.lit("head")).when(
+            F.col("o.place.o_class") == 9, F.lit("gap")).otherwise(F.lit("file"))).otherwise(
+        F.concat_ws("/", "o.place.o_class", "o.place.o_pos"))
+    kept = spread.groupBy("project_id", "date_key", "date_label", F.col("o.place.section_no").alias("_s"),
+                          slot.alias("_slot"), F.col("o.text").alias("text"), F.col("o.own").alias("_own")) \
+        .agg(F.min("o.place").alias("p"), F.count("*").alias("_n"))
+    text = F.when((F.col("_s") == 6) & (F.col("p.o_class") == 0),
+                  F.concat("text", F.col("_n").cast("string"))).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("_own"), F.sequence(F.lit(1), F.col("_n").cast("int"))).otherwise(F.array(F.lit(1))))
+    return kept.select("project_id", "date_key", "date_label", "p.*", text.alias("text"), copies.alias("_copy")).drop("_copy")
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
@@ -116,32 +152,9 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return ordered.numbered(lines, ["project_id", "date_key"], bucket, [F.col(c) for c in PLACE], "line_no")
 
 
-def document_lines(lines: DataFrame) -> DataFrame:
-    """Archive lines with their frame (rules, date heading, section headings, gaps).
-
-    Frame lines sort around the content: heads before, gaps after their section.
-    """
-    ends = {"o_ts": "", "o_unparsed": False, "o_recv": "", "o_id": ""}
-
-    def frame(rows: DataFrame, section: Column, klass: int, pos: int, text: Column) -> DataFrame:
-        return rows.select(
-            "project_id", "date_key", "date_label", section.cast("int").alias("section_no"),
-            F.lit(klass).alias("o_class"), *[F.lit(v).alias(k) for k, v in ends.items()],
-            F.lit(None).cast("timestamp").alias("o_at"), F.lit(pos).alias("o_pos"), text.alias("text"))
-
-    days = lines.select("project_id", "date_key", "date_label").distinct()
-    used = lines.select("project_id", "date_key", "date_label", "section_no").distinct()
-    titled = used.where(F.col("section_no") <= 5)
-    names = F.coalesce(*[F.when(F.col("section_no") == n, F.lit(t)) for n, t in SECTIONS.items()])
-    out = lines.select("project_id", "date_key", "date_label", *PLACE, "text")
-    parts = [
-        frame(days, F.lit(0), 0, 0, F.lit("---")), frame(days, F.lit(0), 0, 1, F.concat(F.lit("## "), F.col("date_label"))),
-        frame(days, F.lit(0), 0, 2, F.lit("")), frame(titled, F.col("section_no"), -1, 0, names),
-        frame(used, F.col("section_no"), 9, 0, F.lit("")), frame(days, F.lit(7), 0, 0, F.lit("---")),
-    ]
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+def document_lines(attributed: DataFrame) -> DataFrame:
+    """Archive lines with their frame: rules, date heading, section headings and gaps."""
+    return archive_lines(attributed, frame=True)
 
 
 def merge_sections(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("project_id", "date_label")) -> DataFrame:

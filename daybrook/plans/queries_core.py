@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, gate, rollup, timeline
-from ..session import prepare
+from ..session import materialize, prepare
 from ..sources.registry import names_of
 from .activity import PROJECTS, RUN_TS, activity
 
@@ -92,13 +92,13 @@ def archive_files(spark, sf_dir):
 
 
 def archive_document(spark, sf_dir):
-    return rollup.document_lines(lines(spark, sf_dir)).groupBy("project_id", "date_label", "section_no", "o_class", "text") \
+    return rollup.document_lines(attributed(spark, sf_dir)).groupBy("project_id", "date_label", "section_no", "o_class", "text") \
         .agg(F.count("*").alias("n"))
 
 
 def section_merge(spark, sf_dir):
     from pyspark.sql import Window
-    dated = lines(spark, sf_dir).where(F.col("date_key").rlike("^[0-9]{8}$"))
+    dated = materialize(lines(spark, sf_dir), "archive-lines").where(F.col("date_key").rlike("^[0-9]{8}$"))
     old = dated.where("date_label <= '2024-01-20'").withColumn("batch", F.lit("old"))
     labels = old.select("project_id", "date_label").distinct().withColumn(
         "label_pos", F.row_number().over(Window.partitionBy("project_id").orderBy("date_label")))
@@ -121,7 +121,7 @@ def period_rollup_month(spark, sf_dir):
 
 
 def period_fallback(spark, sf_dir):
-    archive = lines(spark, sf_dir)
+    archive = materialize(lines(spark, sf_dir), "archive-lines")
     return rollup.period_lines(archive.where("section_no = 5"), archive, "week") \
         .groupBy("project_id", "period_key", "origin").agg(F.count("*").alias("n_lines"))
 
@@ -140,12 +140,12 @@ def _days(rows):
 
 
 def incremental_days(spark, sf_dir):
-    days = _days(attributed(spark, sf_dir))
+    days = materialize(_days(attributed(spark, sf_dir)), "project-days")
     return rollup.new_days(days, days.where("type = 'GIT_COMMIT'"))
 
 
 def done_days(spark, sf_dir):
-    days = _days(attributed(spark, sf_dir))
+    days = materialize(_days(attributed(spark, sf_dir)), "project-days")
     state = days.where("type = 'GIT_COMMIT'").groupBy("project_id").agg(F.collect_set("date_key").alias("synth_days"))
     return rollup.merge_done_days(state, days).select("project_id", F.array_join("synth_days", ",").alias("synth_days"))
 

@@ -47,3 +47,13 @@ def rows_within(df: DataFrame, limit: int) -> list | None:
     """The rows when there are at most ``limit`` of them, else null; never fetches more."""
     rows = df.take(limit + 1)
     return rows if len(rows) <= limit else None
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches read to the shared work folder and read it back.
+
+    A written table is computed once and outlives lost executors.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

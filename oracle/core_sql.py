@@ -49,7 +49,7 @@ SELECT project_id, date_label, section_no, o_class, text, count(*) AS n FROM (
   UNION ALL SELECT project_id, date_label, section_no, -1, ['### Sessions', '### Commits', '### Agent activity', '### Files changed', '### Narration'][section_no]
     FROM used WHERE section_no <= 5
   UNION ALL SELECT project_id, date_label, section_no, 9, '' FROM used
-  UNION ALL SELECT project_id, date_label, 7, 0, '---' FROM days) GROUP BY ALL"""),
+  UNION ALL SELECT project_id, date_label, 7, 0, unnest(['---', '']) FROM days) GROUP BY ALL"""),
     "section_merge": q(ARCHIVE, """
 labels AS (SELECT DISTINCT project_id, date_label FROM lines WHERE regexp_matches(date_key, '^[0-9]{8}$')),
 old AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY date_label) AS label_pos FROM labels WHERE date_label <= '2024-01-20'),
