@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_core
+from . import queries_core, queries_text
 
-QUERIES = {**queries_core.QUERIES}
+QUERIES = {**queries_core.QUERIES, **queries_text.QUERIES}

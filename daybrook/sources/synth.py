@@ -1,0 +1,45 @@
+"""Synthetic corpus for load tests: days × projects × events, plus one vague note a day."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import make_events, payload_of, source_of
+
+
+def projects(n: int) -> list[dict]:
+    return [{"id": f"proj{i}", "name": f"Project {i}", "status": "active",
+             "description": f"Synthetic project {i} for load tests.",
+             "signals": {"paths": [f"~/projects/proj{i}"], "keywords": [f"proj{i}kw"]}} for i in range(1, n + 1)]
+
+
+def corpus(spark: SparkSession, days: int, n_projects: int, events_per_day: int) -> DataFrame:
+    """All rows come from one ``range`` cut by arithmetic, so generation runs in parallel."""
+    per = max(1, events_per_day // n_projects)
+    slots = 2 * per + 1                               # sessions, file changes, one commit
+    rows = spark.range(days * (n_projects * slots + 1))
+    day_rows = n_projects * slots + 1
+    r = rows.select((F.col("id") / day_rows).cast("int").alias("day"), (F.col("id") % day_rows).cast("int").alias("slot"))
+    r = r.withColumn("vague", F.col("slot") == day_rows - 1).withColumn("p", (F.col("slot") / slots).cast("int")) \
+        .withColumn("s", F.col("slot") % slots)
+    k, pid = (F.col("s") / 2).cast("int"), F.concat(F.lit("proj"), (F.col("p") + 1).cast("string"))
+    kind = F.when(F.col("vague"), F.lit("NARRATION")).when(F.col("s") == slots - 1, F.lit("GIT_COMMIT")) \
+        .when(F.col("s") % 2 == 0, F.lit("FOCUS_SESSION")).otherwise(F.lit("FILE_CHANGE"))
+    hour = F.when(F.col("vague"), F.lit(17)).otherwise(F.col("p") % 8 + 9)
+    minute = F.when(F.col("vague"), F.lit(30)).when(kind == "GIT_COMMIT", F.lit(55)).when(kind == "FILE_CHANGE", k + 5).otherwise(k)
+    at = F.to_timestamp_ntz(F.lit("2026-06-01 00:00:00")) + F.make_dt_interval(F.col("day"), hour, minute, F.lit(0))
+    ts = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+03:00"))
+    file = F.concat(F.lit("~/projects/"), pid, F.lit("/src/file"), k.cast("string"), F.lit(".py"))
+    focus, change, commit = kind == "FOCUS_SESSION", kind == "FILE_CHANGE", kind == "GIT_COMMIT"
+    payload = payload_of(
+        anchor=F.when(focus, F.concat(F.lit("file"), k.cast("string"), F.lit(".py — Project "), (F.col("p") + 1).cast("string"))),
+        process=F.when(focus, F.lit("Code.exe")), duration_sec=F.when(focus, F.lit("1200")), mode=F.when(focus, F.lit("focused")),
+        active_file=F.when(focus, file), path=F.when(change, file), action=F.when(change, F.lit("modified")),
+        repo=F.when(commit, F.concat(F.lit("github.com/acme/"), pid)), actor=F.when(commit, F.lit("dev")),
+        message=F.when(commit, F.concat(F.lit("progress on "), pid, F.lit(" day "), F.col("day").cast("string"))),
+        files=F.when(commit, F.array(F.concat(F.lit("~/projects/"), pid, F.lit("/src/file0.py")))),
+        note=F.when(F.col("vague"), F.lit("misc follow-ups and loose ends to revisit later")))
+    source = source_of(F.when(focus, F.lit("os")).when(change, F.lit("fs")).when(commit, F.lit("git")).otherwise(F.lit("intent")),
+                       F.when(focus, F.lit("os_focus")).when(F.col("vague"), F.lit("narration")).otherwise(F.lit("fs_git")))
+    return make_events(r, type=kind, source=source, ts_wall=ts, payload=payload)
