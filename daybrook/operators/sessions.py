@@ -37,21 +37,12 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
         far = (F.size(acc) == 0) | (x["_us"] - F.element_at(acc, -1)["_us"] >= us)
         return F.when(far, F.array_append(acc, x)).otherwise(acc)
 
-    listed = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item), _by_time(bool(arrival))).alias("l"))
+    listed = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(item)).alias("l"))
     element = listed.schema["l"].dataType.simpleString()
     kept = F.aggregate("l", F.array().cast(element), step)
     return listed.withColumn("k", kept).select(*keys, F.explode("k").alias("x")).select(*keys, "x.row.*")
 
 
-def _by_time(with_arrival: bool):
-    def compare(a: Column, b: Column) -> Column:
-        same = F.lit(0)
-        if with_arrival:
-            same = F.when(a["_arrival"] < b["_arrival"], -1).when(a["_arrival"] > b["_arrival"], 1).otherwise(0)
-        return F.when(a["_us"] < b["_us"], -1).when(a["_us"] > b["_us"], 1).otherwise(same)
-    return compare
-
-
 def file_changes(raw: DataFrame, *, host: str = "host", humans=(), agents=AGENT_MARKERS, spacing_sec: float = COALESCE,
                  window_sec: float = BURST_WINDOW, threshold: int = BURST_THRESHOLD) -> DataFrame:
     """Raw file signals (``host, ts, arrival_seq, path, action, author, human_active``) to
