@@ -226,7 +226,8 @@ def attribute(events: DataFrame, projects: list[dict]) -> DataFrame:
 
 def residue(attributed: DataFrame) -> DataFrame:
     """Events a reviewer or a model has to look at: unresolved and with something to read."""
-    return attributed.where((F.col("attribution.method") == "needs_review") & has_signal_text())
+    waiting = attributed.where(F.col("attribution.method") == "needs_review")
+    return once(waiting, _text=has_signal_text()).where("_text").drop("_text")
 
 
 def in_projects(attributed: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """All answers."""
 
-from . import core_sql, session_sql, text_sql
+from . import core_sql, flow_sql, session_sql, text_sql
 
-SQL = {**core_sql.SQL, **text_sql.SQL, **session_sql.SQL}
+SQL = {**core_sql.SQL, **text_sql.SQL, **session_sql.SQL, **flow_sql.SQL}
