@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (
     AGENT_MARKERS, BURST_THRESHOLD, BURST_WINDOW, COALESCE, CPU_BUSY, LONG_RUN_MIN,
@@ -20,27 +23,100 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
                      spacing_sec: float = COALESCE, bucket_sec: float = HOUR) -> DataFrame:
     """Keep a change only ``spacing_sec`` or more after the last *kept* one of its key.
 
-    A gap of that length before a change settles it on its own, whatever was kept earlier.
-    Those changes cut a key into independent runs; only the inside of a run (changes closer
-    than the spacing) is folded in order, so the folded lists stay short for busy keys too.
+    A gap of that length before a change settles it on its own, whatever was kept earlier;
+    such changes cut a key into independent runs.  A run is folded in time slices.  A slice
+    that goes on from the one before first says, for each change it could start with, where
+    it would end; those small tables are chained per run, and every slice then knows its
+    start.  No list is longer than one slice, and the result is the sequential one.
     """
     us = int(spacing_sec * 1_000_000)
+    slice_sec = max(bucket_sec, spacing_sec)
     order = [F.col(ts), *([F.col(arrival)] if arrival else [])]
-    prior = ordered.previous(changes, keys, ordered.time_bucket(F.col(ts), bucket_sec), order, F.unix_micros(ts), "_p")
+    bucket = ordered.time_bucket(F.col(ts), slice_sec)
+    prior = ordered.previous(changes, keys, bucket, order, F.unix_micros(ts), "_p")
     starts = F.col("_p").isNull() | (F.unix_micros(ts) - F.col("_p") >= us)
-    runs = ordered.islands(prior, keys, ordered.time_bucket(F.col(ts), bucket_sec), order, starts, "_run").drop("_p")
-    rest = [c for c in runs.columns if c not in (*keys, "_run")]
-    item = F.struct(F.unix_micros(ts).alias("_us"), *([F.col(arrival).alias("_arrival")] if arrival else []),
+    flagged = prior.withColumn("_start", starts).drop("_p")
+    runs = ordered.islands(flagged, keys, bucket, order, F.col("_start"), "_run")
+    rest = [c for c in runs.columns if c not in (*keys, "_run", "_start")]
+    item = F.struct(F.unix_micros(ts).alias("us"), *([F.col(arrival).alias("arrival")] if arrival else []),
                     F.struct(*rest).alias("row"))
+    by = [*keys, "_run", "_slice"]
+    slices = runs.withColumn("_slice", bucket).groupBy(*by).agg(
+        F.sort_array(F.collect_list(item)).alias("l"), F.max("_start").alias("opens"))
 
     def step(acc: Column, x: Column) -> Column:
-        far = (F.size(acc) == 0) | (x["_us"] - F.element_at(acc, -1)["_us"] >= us)
+        far = (F.size(acc) == 0) | (x["us"] - F.element_at(acc, -1)["us"] >= us)
         return F.when(far, F.array_append(acc, x)).otherwise(acc)
 
-    listed = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(item)).alias("l"))
-    element = listed.schema["l"].dataType.simpleString()
-    kept = F.aggregate("l", F.array().cast(element), step)
-    return listed.withColumn("k", kept).select(*keys, F.explode("k").alias("x")).select(*keys, "x.row.*")
+    empty = F.array().cast(slices.schema["l"].dataType)
+    opening = slices.where("opens").withColumn("k", F.aggregate("l", empty, step))
+    following = slices.where(~F.col("opens"))
+    times = F.transform("l", lambda x: x["us"])
+    width = int(slice_sec * 1_000_000)
+    entry = F.col("_slice") * width
+
+    ends = opening.select(*by, F.element_at("k", -1)["us"].alias("out"), F.lit(None).cast(_EXITS).alias("exits"))
+    tables = following.select(*by, F.lit(None).cast("bigint").alias("out"), _exit_table(times, entry, F.lit(us)).alias("exits"))
+    links = ends.unionByName(tables).groupBy(*keys, "_run").agg(
+        F.sort_array(F.collect_list(F.struct("_slice", "out", "exits"))).alias("c")).where(F.size("c") > 1)
+
+    def chain(acc: Column, x: Column) -> Column:
+        first_ok = F.get(F.filter(x["exits"], lambda e: e["upto"] >= acc["last"] + us), F.lit(0))["exit"]
+        return F.struct(
+            F.when(x["out"].isNull(), F.array_append(acc["list"], F.struct(x["_slice"].alias("_slice"), (acc["last"] + us).alias("from"))))
+            .otherwise(acc["list"]).alias("list"),
+            F.coalesce(x["out"], first_ok, acc["last"]).alias("last"))
+
+    zero = F.struct(F.array().cast("array<struct<_slice:bigint,from:bigint>>").alias("list"), F.lit(None).cast("bigint").alias("last"))
+    entries = links.withColumn("e", F.aggregate("c", zero, chain, lambda acc: acc["list"])) \
+        .select(*keys, "_run", F.explode("e").alias("e")).select(*keys, "_run", "e._slice", F.col("e.from").alias("from_us"))
+    known = following.join(entries, by)
+    places = _kept_places(F.transform("l", lambda x: x["us"]), F.col("from_us"), F.lit(us))
+    late = known.withColumn("at", places).select(*keys, F.explode(F.transform("at", lambda i: F.get("l", i))).alias("x"))
+    return opening.select(*keys, F.explode("k").alias("x")).unionByName(late).select(*keys, "x.row.*")
+
+
+_EXITS = T.ArrayType(T.StructType([T.StructField("upto", T.LongType()), T.StructField("exit", T.LongType())]))
+
+
+@F.pandas_udf(_EXITS)
+def _exit_table(times: pd.Series, entry: pd.Series, spacing: pd.Series) -> pd.Series:
+    """Where a slice ends for each change it can start with; equal ends are merged.
+
+    Only changes up to ``spacing`` into the slice, and the first one after, can be first.
+    """
+    out = []
+    for t, begin, c in zip(times, entry, spacing):
+        t = np.asarray(t, dtype=np.int64)
+        after = np.searchsorted(t, t + c)
+        last = np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                last[i] = last[after[i]]
+        n = min(len(t), int(np.searchsorted(t, begin + c)) + 1)
+        rows = []
+        for i in range(n):
+            end = int(t[last[i]])
+            if rows and rows[-1]["exit"] == end:
+                rows[-1]["upto"] = int(t[i])
+            else:
+                rows.append({"upto": int(t[i]), "exit": end})
+        out.append(rows)
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _kept_places(times: pd.Series, start: pd.Series, spacing: pd.Series) -> pd.Series:
+    """Places kept in a slice when nothing before ``start`` may be kept."""
+    out = []
+    for t, begin, c in zip(times, start, spacing):
+        t = np.asarray(t, dtype=np.int64)
+        kept, i = [], int(np.searchsorted(t, begin))
+        while i < len(t):
+            kept.append(i)
+            i = int(np.searchsorted(t, t[i] + c))
+        out.append(kept)
+    return pd.Series(out, dtype=object)
 
 
 def file_changes(raw: DataFrame, *, host: str = "host", humans=(), agents=AGENT_MARKERS, spacing_sec: float = COALESCE,

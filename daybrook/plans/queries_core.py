@@ -164,3 +164,14 @@ QUERIES = {f.__name__: f for f in (
     attribution_ties, gate_outcomes, gated_events, archive_lines, archive_files, archive_document, section_merge,
     period_rollup_week, period_rollup_month, period_fallback, affected_periods, project_fingerprint,
     incremental_days, done_days, counts_grouping_sets, event_chunks)}
+
+
+def attribution_by_joins(spark, sf_dir):
+    """The same attribution through the rule joins that large registries use."""
+    from ..operators.rulejoin import with_match_joined
+    rows = with_match_joined(materialize(timeline.reconcile(stored(spark, sf_dir)), "timeline"), PROJECTS)
+    return rows.where(F.col("match.method") != "unresolved").select(
+        "arrival_seq", F.col("match.project_id").alias("project_id"), F.round("match.score", 4).alias("score"))
+
+
+QUERIES["attribution_by_joins"] = attribution_by_joins

@@ -147,7 +147,7 @@ def standup_rows(spark, sf_dir):
 
 
 def timeline_rows(spark, sf_dir):
-    return report.timeline_table(timeline.reconcile(stored(spark, sf_dir))).groupBy("at", "type", "text").agg(F.count("*").alias("n"))
+    return report.timeline_table(timeline.reconcile(stored(spark, sf_dir))).groupBy("clock", "type", "text").agg(F.count("*").alias("n"))
 
 
 def project_bars(spark, sf_dir):

@@ -88,8 +88,8 @@ def comment_payloads(documents: DataFrame, target: str = "target", text: str = "
 
 
 def timeline_table(reconciled: DataFrame) -> DataFrame:
-    """``at, type, text`` rows in timeline order."""
-    return reconciled.orderBy(*timeline_order()).select(hhmm("ts_wall").alias("at"), "type", timeline_text().alias("text"))
+    """``clock, type, text`` rows in timeline order."""
+    return reconciled.orderBy(*timeline_order()).select(hhmm("ts_wall").alias("clock"), "type", timeline_text().alias("text"))
 
 
 def with_bars(times: DataFrame, width: int = 360) -> DataFrame:

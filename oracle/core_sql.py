@@ -100,4 +100,6 @@ SELECT facet, value, count(*) AS n FROM (
 n AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY ts_wall, at_us IS NULL, at_us, recv_ts, event_id) AS event_no
   FROM attributed WHERE project_id IS NOT NULL)
 SELECT project_id, CAST((event_no - 1) // 150 AS BIGINT) AS chunk_no, count(*) AS n_events, max(event_no) AS last_no FROM n GROUP BY ALL"""),
+    "attribution_by_joins": q(ATTRIBUTED, """
+SELECT arrival_seq, CASE WHEN len(best) = 1 THEN best[1] END AS project_id, round(CAST(top AS DOUBLE), 4) AS score FROM attributed WHERE top > 0"""),
 }

@@ -83,8 +83,8 @@ s AS (SELECT date_label, row_number() OVER (ORDER BY date_label DESC) AS section
 SELECT CAST(section_no AS INTEGER) AS section_no, CAST(1 AS BIGINT) AS pos, '- **' || project_id || '** — ' || n || ' events' AS text FROM d JOIN s USING (date_label) WHERE section_no <= 7
 UNION ALL SELECT CAST(section_no AS INTEGER), CAST(0 AS BIGINT), '### ' || date_label FROM s WHERE section_no <= 7"""),
     "timeline_rows": q(DIGESTS, """
-t AS (SELECT hhmm AS at, type, CASE WHEN d IS NULL THEN type ELSE regexp_replace(string_split(d, chr(10))[1], '^\\[[0-9]{1,2}:[0-9]{2}\\] ', '') END AS text FROM dg)
-SELECT at, type, text, count(*) AS n FROM t GROUP BY ALL"""),
+t AS (SELECT hhmm AS clock, type, CASE WHEN d IS NULL THEN type ELSE regexp_replace(string_split(d, chr(10))[1], '^\\[[0-9]{1,2}:[0-9]{2}\\] ', '') END AS text FROM dg)
+SELECT clock, type, text, count(*) AS n FROM t GROUP BY ALL"""),
     "project_bars": q(ATTRIBUTED, """
 s AS (SELECT CASE project_id WHEN 'atlas' THEN 'Atlas' WHEN 'borealis' THEN 'Borealis' ELSE 'Cobalt' END AS name, CAST(sum(dur) AS BIGINT) AS seconds
   FROM attributed WHERE project_id IS NOT NULL AND session GROUP BY project_id HAVING sum(dur) > 0)
