@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import make_events, payload_of, source_of
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,7 @@ def _two(v: Column) -> Column:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ungated events with ``arrival_seq``; see ``sql.ACTIVITY`` for the same in SQL."""
-    raw = table(spark, sf_dir, "events")
+    raw = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").try_cast("int")
     base = raw.select("event_id", "user_id", "event_type", "value", "ts", k.alias("k"))
     base = base.withColumn("copy", F.explode(F.when(

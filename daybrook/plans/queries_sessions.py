@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calls, focus, ordered, rollup, sessions, timeline
-from ..session import prepare
+from ..session import prepare, spread
 from .activity import activity, table
 
 
 def stream_rows(spark, sf_dir):
     """``events`` with UTC timestamps, the payload number and ten hosts."""
     prepare(spark)
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
                     F.get_json_object("props", "$.k").try_cast("int").alias("k"),
                     F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")).alias("host"))

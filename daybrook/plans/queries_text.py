@@ -8,7 +8,7 @@ from ..functions import dates, paths, secrets, text
 from ..functions.core import once
 from ..operators import attribution, audit, diffs, gate, retrieval
 from ..model import make_events, payload_of, source_of
-from ..session import prepare
+from ..session import prepare, spread
 from ..sources import notes
 from .activity import RUN_TS, table
 from .queries_core import stored
@@ -17,7 +17,7 @@ from .queries_core import stored
 def seeded_documents(spark, sf_dir):
     """Documents with one secret of a known shape at the end of each text."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     d, h = F.col("doc_id"), F.md5(F.col("doc_id").cast("string"))
     shapes = [
         F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(F.lit("ghp_"), h), F.concat(F.lit("sk-ant-"), h),
@@ -188,7 +188,7 @@ def _questions(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("pid"), F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source"), "text")
 
 

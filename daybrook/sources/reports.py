@@ -38,9 +38,9 @@ def classify(reports: DataFrame, *, now: str, trusted: list[str] | None = None,
     identity is not checked.
     """
     def kind_of(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("report"), path, "variant")), F.lit("VOID"))
+        return F.coalesce(F.schema_of_variant(F.try_variant_get("_v", path, "variant")), F.lit("VOID"))
 
-    parsed = with_kinds(reports, kind_of)
+    parsed = with_kinds(once(reports, _v=F.try_parse_json("report")), kind_of).drop("_v")
     lines = parse_lines(parsed.withColumn("value", F.col("report")))
     version = F.when(~F.coalesce(F.col("_has_version"), F.lit(False)), F.lit("2")).otherwise(F.col("schema_version"))
     messages = validation_messages(
