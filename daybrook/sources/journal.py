@@ -10,7 +10,7 @@ from ..functions.core import py_trim, splitlines
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``path, text`` of every markdown file below a folder; paths are relative to it."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     base = root.rstrip("/") + "/"
     at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
     return files.select(F.replace(at, F.lit(base), F.lit("")).alias("path"), F.col("value").alias("text"))

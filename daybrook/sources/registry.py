@@ -97,12 +97,15 @@ def parse_remotes(config_text: Column) -> Column:
     return F.array_distinct(F.concat(of(True), of(False)))
 
 
-def read_git_configs(spark: SparkSession, root: str) -> DataFrame:
-    """``path, remotes`` of every ``.git/config`` below a folder."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "config").option("wholetext", True).text(root)
+def read_git_configs(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:
+    """``path, remotes`` of every ``.git/config`` at most ``max_depth`` folders down.
+
+    Recursive listing skips hidden folders, so the levels are named in one glob.
+    """
+    levels = ",".join("*/" * d + ".git" for d in range(max_depth + 1))
+    raw = spark.read.text(f"{root.rstrip('/')}/{{{levels}}}/config", wholetext=True)
     at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return raw.select(F.regexp_replace(at, "/\\.git/config$", "").alias("path"), parse_remotes(F.col("value")).alias("remotes")) \
-        .where(at.rlike("/\\.git/config$"))
+    return raw.select(F.regexp_replace(at, "/\\.git/config$", "").alias("path"), parse_remotes(F.col("value")).alias("remotes"))
 
 
 def slug_id(name: Column) -> Column:

@@ -25,7 +25,7 @@ def report_texts(files: DataFrame, value: str = "value", name: str = "file_name"
 
 
 def read_drop_folder(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return report_texts(files.select("value", F.col("_metadata.file_name").alias("file_name")))
 
 

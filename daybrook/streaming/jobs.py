@@ -34,10 +34,10 @@ def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def read_report_stream(spark: SparkSession, path: str, archive: str | None = None) -> DataFrame:
     """Drop folder of report files; processed files move to ``archive`` when it is given."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json")
+    reader = spark.readStream.option("pathGlobFilter", "*.json")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    files = reader.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
+    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
     return report_texts(files)
 
 
