@@ -154,13 +154,11 @@ def long_runs(ticks: DataFrame, *, cpu_min: float = CPU_BUSY, min_sec: float = L
     bucket = ordered.time_bucket(F.col("ts"), bucket_sec)
     seen = ordered.previous(ticks, ["host"], bucket, [F.col("ts")], F.col("ts"), "prev_tick")
     busy = seen.where(~F.coalesce("human_present", F.lit(False))).select(
-        "host", "ts", "prev_tick", F.explode("procs").alias("p")).where(F.col("p.cpu_percent") >= cpu_min) \
-        .select("host", F.col("p.pid").alias("pid"), "ts", "prev_tick", F.col("p.name").alias("process"),
-                F.col("p.cmdline").alias("cmdline"), F.col("p.cpu_percent").alias("cpu"))
+        "host", "ts", "prev_tick", F.posexplode("procs").alias("pos", "p")).where(F.col("p.cpu_percent") >= cpu_min) \
+        .select("host", F.col("p.pid").alias("pid"), "ts", F.struct(
+            "prev_tick", F.col("p.name").alias("process"), F.col("p.cmdline").alias("cmdline"), F.col("p.cpu_percent").alias("cpu")).alias("row"), "pos")
     # A process listed twice in one scan counts once, its last entry stands.
-    busy = busy.groupBy("host", "pid", "ts").agg(
-        F.last("prev_tick").alias("prev_tick"), F.last("process").alias("process"),
-        F.last("cmdline").alias("cmdline"), F.last("cpu").alias("cpu"))
+    busy = busy.groupBy("host", "pid", "ts").agg(F.max_by("row", "pos").alias("row")).select("host", "pid", "ts", "row.*")
     chained = ordered.previous(busy, ["host", "pid"], bucket, [F.col("ts")], F.col("ts"), "prev_busy")
     starts = ~F.coalesce(F.col("prev_busy") == F.col("prev_tick"), F.lit(False))
     runs = ordered.islands(chained, ["host", "pid"], bucket, [F.col("ts")], starts, "run")

@@ -50,13 +50,16 @@ def standup_title(chosen: DataFrame, rollup: bool) -> DataFrame:
 
 def standup_document(lines: DataFrame, title: DataFrame, exec_body: str = "") -> DataFrame:
     """The whole report as one text: a handful of sections of one paragraph per project."""
-    row = F.struct("section_no", "pos", "project_id", "text")
-    gathered = lines.groupBy("section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"]), "\n").alias("t"))
-    whole = gathered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "t"))), lambda r: r["t"]), "\n\n").alias("body"))
+    head = title.select(F.lit(-1).alias("section_no"), F.lit(0).alias("pos"), F.lit("").alias("project_id"), F.col("title").alias("text"))
+    rows = lines.select("section_no", "pos", "project_id", "text").unionByName(head)
+    row = F.struct("pos", "project_id", "text")
+    gathered = rows.groupBy("section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"]), "\n").alias("t"))
+    parts = gathered.agg(F.array_sort(F.collect_list(F.struct("section_no", "t"))).alias("p"))
+    texts = F.transform("p", lambda r: r["t"])
     none = F.lit("_No journal entries found for the requested period._")
     tail = F.lit(f"\n\n### Executive summary\n{exec_body}" if exec_body else "")
-    return whole.join(title).select(F.concat("title", F.lit("\n\n"), F.when(
-        F.col("body") == "", none).otherwise(F.concat("body", tail)), F.lit("\n")).alias("markdown"))
+    body = F.when(F.size(texts) == 1, none).otherwise(F.concat(F.array_join(F.slice(texts, 2, F.size(texts)), "\n\n"), tail))
+    return parts.select(F.concat(texts[0], F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))
 
 
 def newest_summary(summaries: DataFrame, granularity: str) -> DataFrame:
@@ -94,9 +97,9 @@ def timeline_table(reconciled: DataFrame) -> DataFrame:
 
 def with_bars(times: DataFrame, width: int = 360) -> DataFrame:
     """Share of the busiest project; the input has one row per project."""
-    top = times.agg(F.max("seconds").alias("_top"))
-    share = F.col("seconds") / F.greatest(F.col("_top"), F.lit(1))
-    return times.join(top).select("name", "seconds", duration_text("seconds").alias("label"),
+    top = F.max("seconds").over(Window.partitionBy(F.lit(0)))
+    share = F.col("seconds") / F.greatest(top, F.lit(1))
+    return times.select("name", "seconds", duration_text("seconds").alias("label"),
                                   F.greatest(F.lit(2), F.bround(share * width).cast("int")).alias("bar"))
 
 

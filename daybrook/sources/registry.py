@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from ..constants import MARKER_APPS
 from ..functions.core import blank_to_null, has_text, non_null, py_trim, strings
 from ..functions.paths import basename, lexical, plain_remote, remote_address
 from ..functions.text import json_object_text, slug_words
+from ..operators import ordered
 
 SIGNALS = ("paths", "git_remotes", "jira_prefixes", "keywords", "apps", "domains",
            "window_patterns", "ignore_globs", "entry_extract")
@@ -154,8 +155,8 @@ def discover(repos: DataFrame, registry: DataFrame, today: str) -> DataFrame:
         F.struct(F.regexp_replace("_id", "-[0-9]+$", "").alias("_slug"),
                  F.regexp_extract("_id", "-([0-9]+)$", 1).try_cast("int").alias("n")))).alias("u")).select("u.*") \
         .where(F.col("n").isNotNull()).groupBy("_slug").agg(F.sort_array(F.collect_set("n")).alias("_used"))
-    nth = F.row_number().over(Window.partitionBy("_slug").orderBy("path"))
-    ranked = named.withColumn("_nth", nth).join(stems, "_slug", "left")
+    numbered = ordered.numbered(named, ["_slug"], F.substring("path", 1, 48), [F.col("path")], "_rank")
+    ranked = numbered.withColumn("_nth", F.col("_rank").cast("int")).drop("_rank").join(stems, "_slug", "left")
     # The nth free number counted from 1 with the used ones left out.
     free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_nth"),
                        lambda n, u: F.when(u <= n, n + 1).otherwise(n))

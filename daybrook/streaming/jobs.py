@@ -109,6 +109,22 @@ def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def with_metrics(gated: DataFrame, name: str = "gate") -> DataFrame:
+    """Count rows, drops and redacted rows while they pass; read back with ``progress_rows``."""
+    return gated.observe(
+        name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("drop_reason").isNotNull()).alias("dropped"),
+        F.count_if(F.size("privacy.redactions") > 0).alias("redacted"))
+
+
+def progress_rows(query: StreamingQuery, name: str = "gate") -> list[tuple[str, int, dict]]:
+    """``(heartbeat, batch, metrics)`` of the batches a query remembers, ready for a table."""
+    out = []
+    for p in query.recentProgress:
+        seen = p["observedMetrics"].get(name)
+        out.append((p["timestamp"], p["batchId"], seen.asDict() if seen is not None else {}))
+    return out
+
+
 # --- state per key -----------------------------------------------------------------
 
 class KeepSpaced(StatefulProcessor):
