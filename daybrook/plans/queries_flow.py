@@ -9,7 +9,7 @@ from ..model import validation_messages
 from ..operators import attribution, rollup, timeline
 from ..session import materialize, prepare, work_dir
 from ..sinks import store
-from ..sources import hooks, hosted, registry, reports, synth
+from ..sources import hooks, hosted, registry, reports
 from ..streaming import jobs
 from . import prompts, report
 from .activity import PROJECTS, RUN_TS, activity, table
@@ -207,15 +207,6 @@ def discovered_projects(spark, sf_dir):
                     F.array_join(s["apps"], "|").alias("apps"), F.array_join(s["window_patterns"], "|").alias("patterns"))
 
 
-def scale_corpus(spark, sf_dir):
-    """Synthetic corpus as large as the events table, attributed by path."""
-    prepare(spark)
-    users = table(spark, sf_dir, "events").agg(F.count("*").alias("n")).first()["n"]
-    projects = synth.projects(3)
-    rows = synth.corpus(spark, max(1, users // 140), 3, 12)
-    return attribution.method_histogram(attribution.attribute(rows, projects))
-
-
 # --- streams -------------------------------------------------------------------------
 
 def _event_stream(spark, sf_dir):
@@ -277,5 +268,5 @@ def daily_archive(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     validate_messages, trust_routes, repo_payload_events, incremental_pulls, hook_reports, egress_split, account_store, standup_rows,
-    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, prompt_cost, discovered_projects, scale_corpus,
+    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, prompt_cost, discovered_projects,
     stream_dedup, stream_rollup, stream_sliding, stream_trust, stream_timeline, daily_archive)}
