@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -30,16 +32,20 @@ def build_session(app: str = "daybrook", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="daybrook-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only where it is unset (tests, a single
-    machine) one is chosen and stored in the session.
+    The folder comes from ``spark.checkpoint.dir``.  Only where it is unset and Spark runs in
+    one local process one is chosen; a cluster without a shared folder is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="daybrook-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
