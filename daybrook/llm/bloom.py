@@ -27,7 +27,7 @@ def repeated_pages(rows: DataFrame, column: str = "cell") -> DataFrame:
 
 def flagged(rows: DataFrame, filter_pages: DataFrame, column: str = "cell", name: str = "maybe") -> DataFrame:
     """``rows`` with a boolean that is true where the filter has the row's bit; no row is shuffled."""
-    page, bits = f"_{name}_page", f"_{name}_bits"
+    page, bits = f"{name}_page", f"{name}_bits"
     looked = rows.join(F.broadcast(filter_pages.select(F.col("page").alias(page), F.col("bits").alias(bits))),
                        F.bitmap_bucket_number(column) == F.col(page), "left")
     at = F.bitmap_bit_position(column)
@@ -39,11 +39,12 @@ def flagged(rows: DataFrame, filter_pages: DataFrame, column: str = "cell", name
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``ids``; rows that a filter over ``ids`` rules out pass without a shuffle.
 
-    A row without an id stays.
+    A row without an id stays.  Columns of ``docs`` may have any name but ``_daybrook_*``.
     """
-    gone = ids.select(F.col(column).alias("_gone")).where("_gone is not null").distinct()
-    marks = pages(gone.select(cell(F.col("_gone")).alias("_cell")), "_cell")
-    tested = flagged(docs.withColumn("_cell", cell(F.col(column))), marks, "_cell", "_maybe").drop("_cell")
-    suspects = tested.where("_maybe").drop("_maybe")
-    return tested.where("not _maybe").drop("_maybe").unionByName(
-        suspects.join(gone, suspects[column] == gone["_gone"], "left_anti"))
+    gone = ids.select(F.col(column).alias("_daybrook_gone")).where("_daybrook_gone is not null").distinct()
+    marks = pages(gone.select(cell(F.col("_daybrook_gone")).alias("_daybrook_cell")), "_daybrook_cell")
+    tested = flagged(docs.withColumn("_daybrook_cell", cell(F.col(column))), marks, "_daybrook_cell", "_daybrook_maybe")
+    tested = tested.drop("_daybrook_cell")
+    suspects = tested.where("_daybrook_maybe").drop("_daybrook_maybe")
+    return tested.where("not _daybrook_maybe").drop("_daybrook_maybe").unionByName(
+        suspects.join(gone, F.col(column) == F.col("_daybrook_gone"), "left_anti"))

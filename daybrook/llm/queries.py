@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daybrook.llm import superminhash
-from daybrook.session import prepare
+from daybrook.llm import exact, superminhash, token_counts, token_files, toxicity, unigram
+from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +28,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 85 of 100."""
     return superminhash.near_groups(_table(spark, sf_dir, "documents"), 85)
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies of every document; the largest id stays."""
+    return exact.copies(_table(spark, sf_dir, "documents"))
+
+
+SQL["op4_exact_dedup"] = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+       doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))
+"""
+
+
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back from the files."""
+    folder = work_dir(spark, "token-files")
+    manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_tokens(spark, manifest, folder)
+
+
+@_query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents through a digest cache that starts empty."""
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), work_dir(spark, "token-counts"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@_query
+def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and a digest of the texts that they decode to."""
+    coded = unigram.code(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -32,6 +32,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 SPACE, VALUE, WEIGHT = _tables()
+_CODE = np.arange(256)
+#: Gaps between runs of ASCII letters, digits and characters beyond ASCII.
+LETTERS = ~((_CODE >= 128) | ((_CODE >= 48) & (_CODE <= 57)) | ((_CODE >= 65) & (_CODE <= 90)) | ((_CODE >= 97) & (_CODE <= 122)))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +57,13 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, and the number of words of each row."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, A-Z in lower case, and the number of words of each row; words end at bytes in ``gaps``."""
     low, high = int(offsets[0]), int(offsets[-1])
     text = data[low:high]
     if not len(text):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    gap = SPACE[text]
+    gap = gaps[text]
     edge = np.zeros(len(text) + 1, bool)
     edge[offsets - low] = True
     before = np.empty(len(text), bool)
@@ -74,7 +77,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         power = np.full(len(text), np.uint64(_BASE))
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        sums = np.add.reduceat(VALUE[text] * power, starts)
+        sums = np.add.reduceat(np.where(gap, np.uint64(0), VALUE[text]) * power, starts)
         back = np.full(len(text), np.uint64(_INVERSE))
         back[0] = 1
         np.multiply.accumulate(back, out=back)
