@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybrook.llm import exact, superminhash, token_counts, token_files, toxicity, unigram
+from daybrook.llm import exact, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
 from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_groups(_table(spark, sf_dir, "documents"), 85)
 
 
+@_query
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return puquality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
@@ -49,6 +55,12 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+@_query
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or in rearranged parts."""
+    return tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back from the files."""
