@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybrook.llm import exact, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
+from daybrook.llm import backoff, exact, html_text, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
 from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,34 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_groups(_table(spark, sf_dir, "documents"), 85)
 
 
+@_query
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of all documents against all others."""
+    scores = backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+    return scores.withColumn("log10_score", F.round("log10_score", 4))
+
+
+SQL["op1_stupid_backoff"] = r"""
+with lists as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+words as (select doc_id, unnest(w) as w1, generate_subscripts(w, 1) as i, len(w) as n from lists),
+pairs as (select *, case when i > 1 then lag(w1) over (partition by doc_id order by i) end as w0 from words),
+counted as (
+  select doc_id, n, i, w0, w1, sum(1) over () as corpus,
+         count(*) over (partition by w1) - count(*) over (partition by doc_id, w1) as c1,
+         count(*) over (partition by w0, w1) - count(*) over (partition by doc_id, w0, w1) as c2 from pairs),
+placed as (select *, lag(c1) over (partition by doc_id order by i) as c0 from counted),
+scored as (
+  select doc_id, case when i > 1 and c2 > 0 then 0 when c1 > 0 and i = 1 then 0 else 1 end as backed,
+         case when i > 1 and c2 > 0 then log10(c2::double) - log10(c0::double)
+              when c1 > 0 then (i > 1)::int * log10(0.4) + log10(c1::double) - log10(greatest(corpus - n, 1)::double)
+              else ((i > 1)::int + 1) * log10(0.4) - log10(greatest(corpus - n, 1)::double) end as s from placed)
+select d.doc_id, count(s) as n_words, cast(coalesce(sum(backed), 0) as bigint) as n_backed_off, round(coalesce(sum(s), 0), 4) as log10_score
+from documents d left join scored using (doc_id) group by d.doc_id
+"""
+
+
 @_query
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
@@ -69,6 +97,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, manifest, folder)
 
 
+@_query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents through a digest cache that starts empty."""
