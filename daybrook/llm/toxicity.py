@@ -90,7 +90,7 @@ def _screen(values: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> np.ndar
 
 
 def fit(values: np.ndarray, counts: np.ndarray, labels: np.ndarray, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
-    """Class-balanced logistic loss + lasso + squared logit changes when an identity term of a row is swapped for the next of its kind.
+    """Logistic loss (toxic rows weigh more if they are rarer) + lasso + squared logit changes when an identity term of a row is swapped for the next of its kind.
 
     ``values`` holds the distinct word hashes of all rows one after another.  Without rows of
     both classes the model is a constant: far below one half, or above it if all rows are toxic.
@@ -112,7 +112,7 @@ def fit(values: np.ndarray, counts: np.ndarray, labels: np.ndarray, terms: tuple
             times = float((cols == one).sum())
             pairs.append((one, other, 1.0 + times))
     one, other, times = (np.array(x) for x in zip(*pairs, strict=True))
-    share = np.where(labels > 0, n / (2 * k), n / (2 * (n - k)))  # both classes weigh the same
+    share = np.where(labels > 0, np.sqrt((n - k) / k), 1.0)  # half way, in logits, to classes of equal weight
     w, b = np.zeros(len(keys)), 0.0
     look, look_b, pace = w.copy(), b, 1.0
     # steps of each weight's own length: the curvature is at most the rows' hits summed over its column
