@@ -1,4 +1,4 @@
-"""Token ids in flat binary files: unsigned 32-bit ids, 64-bit document offsets, bases from prefix sums."""
+"""Token ids in flat binary files: unsigned ids of 16 or 32 bits, 64-bit document offsets, bases from prefix sums."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from daybrook.session import materialize
 
 #: Id that ends a document, and what the id file holds for a row without an id.
 END, NO_ID = 0, -(1 << 63)
-_MANIFEST = "shard int, file string, n_docs long, n_tokens long"
+_MANIFEST = "shard int, file string, n_docs long, n_tokens long, width int"
 
 
 def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -40,34 +40,36 @@ def _array(store: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray:
 def _writer(tokenizer: str, folder: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encode = tokenizing.encoder(tokenizer)
+        width = tokenizing.narrowest(tokenizer, end)
+        encode, close = tokenizing.encoder(tokenizer, width), end.to_bytes(width, "little")
         shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, where = _place(folder)
-        close, docs, total = np.array([end], "<u4").tobytes(), 0, 0
+        docs, total = 0, 0
         with store.open_output_stream(f"{where}/{name}.bin") as ids, store.open_output_stream(f"{where}/{name}.off") as ends, \
                 store.open_output_stream(f"{where}/{name}.doc") as names:
             for batch in batches:
                 _, offsets = words.buffers(batch.column("text"))
                 names.write(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 for first, last in words.slices(offsets):
-                    sizes = []
-                    for own in encode(batch.column("text").slice(first, last - first).to_pylist()):
-                        ids.write(own + close)
-                        sizes.append(len(own) // 4 + 1)
+                    own = list(encode(batch.column("text").slice(first, last - first).to_pylist()))
+                    ids.write(close.join([*own, b""]))
+                    sizes = [len(x) // width + 1 for x in own]
                     at = total + np.concatenate([[0], np.cumsum(sizes)])
                     ends.write(at[:-1].astype("<u8").tobytes())
                     docs, total = docs + len(sizes), int(at[-1])
         if docs:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([name]), pa.array([docs]), pa.array([total])], names=["shard", "file", "n_docs", "n_tokens"])
+                [pa.array([shard], pa.int32()), pa.array([name]), pa.array([docs]), pa.array([total]), pa.array([width], pa.int32())],
+                names=["shard", "file", "n_docs", "n_tokens", "width"])
     return write
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataFrame:
-    """Write ``docs`` in ascending id order below ``folder``; ``(shard, file, n_docs, n_tokens, base)`` per file.
+    """Write ``docs`` in ascending id order below ``folder``; ``(shard, file, n_docs, n_tokens, width, base)`` per file.
 
     Every task of a range-partitioned sort writes three files of its own: ids (``.bin``), the
-    offset of each document in them (``.off``) and document ids (``.doc``).  File names are new
+    offset of each document in them (``.off``) and document ids (``.doc``).
+    An id takes two bytes (``width``) if the vocabulary has no larger ones, else four.  File names are new
     on every attempt and only those of finished tasks are in the manifest, so a task may be
     repeated.  The base of a file is the prefix sum of the tokens before it; the sum runs over one
     row a file.  Rows without an id come first; equal ids are ordered by a hash of the text.
@@ -88,11 +90,11 @@ def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, where = _place(folder)
         for row in (row for batch in batches for row in batch.to_pylist()):
-            ids, starts, names = (_array(store, f"{where}/{row['file']}.{kind}", code) for kind, code in (("bin", "<u4"), ("off", "<u8"), ("doc", "<i8")))
+            ids, starts, names = (_array(store, f"{where}/{row['file']}.{kind}", code) for kind, code in (("bin", f"<u{row['width']}"), ("off", "<u8"), ("doc", "<i8")))
             ends = np.append(starts[1:], len(ids)).astype(np.int64)
             for first in range(0, len(starts), 4096):
                 low, high = starts[first:first + 4096].astype(np.int64), ends[first:first + 4096]
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(low, high, strict=True)]
+                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(low, high, strict=True)]
                 own = names[first:first + 4096]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, mask=own == NO_ID), pa.array(low + row["base"]), pa.array(high - low), pa.array(sums, pa.int64())],

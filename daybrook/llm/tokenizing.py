@@ -7,12 +7,11 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
-#: Pieces that a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Pieces of a generation; a worker remembers two and drops the older one when the younger is full.
+REMEMBERED = 500_000
 
 # A byte-level pattern never joins a space and the visible character after it with what stands before
 # them, so a text may be cut there.  Where the next character might be white space, it is not cut.
@@ -26,26 +25,30 @@ def version(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def _pieces(text: str) -> list[str]:
-    if _UNSURE.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + word for word in rest)]
+def _keys(text: str) -> list[str]:
+    """Pieces as keys: a word for a space and that word, and any other piece with a space in front."""
+    if not _UNSURE.search(text):
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        return keys
+    return [piece[1:] if piece[:1] == " " and " " not in piece[1:] else " " + piece for piece in _CUT.split(text)]
 
 
-def _whole(text: str) -> list[str]:
-    return [text]
+def _piece(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class Encoder:
     """Ids of texts as the library gives them, without special tokens around them, truncation or padding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
+        self.width, self._code, self._by_piece = width, {2: "H", 4: "I"}[width], False
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._encode, self._cut = (lambda texts: model.encode(texts, num_threads=1)), _whole
+            self._encode, self.largest = (lambda texts: model.encode(texts, num_threads=1)), model.get_piece_size() - 1
             return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,29 +56,41 @@ class Encoder:
         library.no_truncation()
         library.no_padding()
         self._encode = lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.largest = max(library.get_vocab(with_added_tokens=True).values())
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         plain = all(not (token.get(side)) for token in spec.get("added_tokens", ()) for side in ("lstrip", "rstrip", "single_word"))
         plain = plain and not any(" " in token["content"] for token in spec.get("added_tokens", ()))
         by_piece = plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self._cut = _pieces if by_piece and spec.get("normalizer") is None and not spec["model"].get("dropout") else _whole
+        self._by_piece = by_piece and spec.get("normalizer") is None and not spec["model"].get("dropout")
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self._cut is _whole:
+        """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
+        if not self._by_piece:
             for ids in self._encode(texts):
-                yield np.asarray(ids, "<u4").tobytes()
+                yield array(self._code, ids).tobytes()
             return
-        cut = [self._cut(text) for text in texts]
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        fresh = list({piece for pieces in cut for piece in pieces} - self._known.keys())
-        self._known.update(zip(fresh, (np.array(ids, "<u4").tobytes() for ids in self._encode(fresh)), strict=True))
-        for pieces in cut:
-            yield b"".join(map(self._known.__getitem__, pieces))
+            self._known, self._older = {}, self._known
+        known = self._known
+        cut = [_keys(text) for text in texts]
+        found = [list(map(known.get, keys)) for keys in cut]
+        fresh = set().union(*(keys for keys, own in zip(cut, found, strict=True) if None in own)) - known.keys()
+        again = fresh & self._older.keys()
+        known.update((key, self._older[key]) for key in again)
+        fresh = list(fresh - again)
+        known.update(zip(fresh, (array(self._code, ids).tobytes() for ids in self._encode([*map(_piece, fresh)])), strict=True))
+        for keys, own in zip(cut, found, strict=True):
+            yield b"".join(own if None not in own else map(known.__getitem__, keys))
+
+
+@functools.cache
+def encoder(path: str, width: int = 4) -> Encoder:
+    return Encoder(path, width)
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def narrowest(path: str, end: int) -> int:
+    """Bytes that hold every id of a tokenizer and the id that ends a document."""
+    return 2 if max(encoder(path).largest, end) < 1 << 16 else 4
