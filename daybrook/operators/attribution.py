@@ -230,6 +230,20 @@ def residue(attributed: DataFrame) -> DataFrame:
     return once(waiting, _text=has_signal_text()).where("_text").drop("_text")
 
 
+def settled(attributed: DataFrame) -> DataFrame:
+    """Events that are not in the review queue."""
+    waiting = F.coalesce(F.col("attribution.method") == "needs_review", F.lit(False))
+    return once(attributed, _text=waiting & has_signal_text()).where(~F.coalesce("_text", F.lit(False))).drop("_text")
+
+
+def answered(given: Column, project_id: Column, confidence: Column, project_ids: list[str]) -> Column:
+    """Attribution after an outside answer: a known project and enough confidence, else the event goes on waiting."""
+    ok = project_id.isin(project_ids) & (confidence >= ASSIGN_THRESHOLD)
+    return F.when(~given, F.col("attribution")).otherwise(F.struct(
+        F.when(ok, project_id).alias("project_id"), F.round(confidence, 4).alias("confidence"),
+        F.when(ok, F.lit("llm")).otherwise(F.lit("needs_review")).alias("method")))
+
+
 def in_projects(attributed: DataFrame) -> DataFrame:
     """Rows that belong to a real project."""
     pid = F.col("attribution.project_id")
@@ -243,13 +257,8 @@ def apply_assignments(attributed: DataFrame, responses: DataFrame, project_ids:
         F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).alias("_conf"))
     answer = answer.groupBy("_id").agg(F.max_by("_pid", "_conf").alias("_pid"), F.max("_conf").alias("_conf"))
     waiting = F.col("attribution.method") == "needs_review"
-    ok = F.col("_pid").isin(project_ids) & (F.col("_conf") >= ASSIGN_THRESHOLD)
     joined = attributed.join(answer, (F.col("event_id") == F.col("_id")) & waiting, "left")
-    value = F.when(F.col("_id").isNull(), F.col("attribution")).when(ok, F.struct(
-        F.col("_pid").alias("project_id"), F.round("_conf", 4).alias("confidence"),
-        F.lit("llm").alias("method"))).otherwise(F.struct(
-            F.lit(None).cast("string").alias("project_id"), F.round("_conf", 4).alias("confidence"),
-            F.lit("needs_review").alias("method")))
+    value = answered(F.col("_id").isNotNull(), F.col("_pid"), F.col("_conf"), project_ids)
     return joined.withColumn("attribution", value).drop("_id", "_pid", "_conf")
 
 

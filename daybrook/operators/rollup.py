@@ -13,6 +13,7 @@ from ..constants import CHUNK_EVENTS, SESSION_TYPES
 from ..functions.core import blank_to_null, has_text, strings, to_int
 from ..functions.dates import date_label, hhmm, period_key, span_days
 from ..functions.paths import basename
+from ..model import EVENT
 from . import ordered
 from .attribution import in_projects
 
@@ -227,6 +228,16 @@ def counts_by_facet(events: DataFrame) -> DataFrame:
 _LANES = ((1, 15), (16, 15), (31, 15), (46, 15))
 
 
+def event_text(*fields: str) -> Column:
+    """Everything an event says, as JSON: absent and empty values differ and no value can run into the next.
+
+    Without names the whole event; a change in any field changes the text.
+    """
+    if fields:
+        return F.to_json(F.array(*[F.col(f).cast("string") for f in fields]))
+    return F.to_json(F.struct(*[f for f in EVENT.fieldNames()]), {"ignoreNullFields": "false"})
+
+
 def fingerprint(df: DataFrame, keys: list[str], row_text: Column, out: str = "fingerprint") -> DataFrame:
     """Content hash of a group's rows that does not depend on their order.
 

@@ -27,6 +27,8 @@ def drop_rejected(events: DataFrame) -> DataFrame:
 def dedup_winners(events: DataFrame) -> DataFrame:
     """One row per event id: most trusted, then earliest received, then first to arrive.
 
+    A row without an id is an event of its own and stays: its key is private to the row.
+
     Written as an aggregate and not as a ranking window: every task first keeps one row per
     id, so an id repeated a billion times reaches the shuffle once per task.  Arrival order
     is ``arrival_seq`` where the table has it; otherwise the content hash decides.
@@ -38,10 +40,10 @@ def dedup_winners(events: DataFrame) -> DataFrame:
     preference = F.struct(
         (-trust_rank(F.col("trust"))).alias("rank"), (recv == "").alias("no_receipt"),
         recv.alias("receipt"), arrival.alias("arrival"))
-    keyed = events.where(has_text("event_id"))
-    winners = keyed.groupBy(F.col("event_id").alias("_id")).agg(
-        F.min_by(F.struct(*columns), preference).alias("_row")).select("_row.*")
-    return winners.unionByName(events.where(~has_text("event_id")))
+    named = F.when(has_text("event_id"), F.struct(F.col("event_id").alias("id"), F.lit(-1).cast("bigint").alias("row")))
+    own = F.struct(F.lit("").alias("id"), F.monotonically_increasing_id().alias("row"))
+    keyed = events.withColumn("_key", F.coalesce(named, own))
+    return keyed.groupBy("_key").agg(F.min_by(F.struct(*columns), preference).alias("_row")).select("_row.*")
 
 
 def timeline_order() -> list[Column]:

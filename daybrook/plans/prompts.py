@@ -65,8 +65,8 @@ def categorize_prompts(attributed: DataFrame, projects: list[dict], batch: int =
 def review_index(attributed: DataFrame, batch: int = CHUNK_EVENTS) -> DataFrame:
     """Review queue with ``batch_no`` and ``idx`` (from 0)."""
     queue = attribution.residue(attributed).withColumn("_all", F.lit(0))
-    order = [F.col("ts_wall"), F.coalesce("recv_ts", F.lit("")), F.coalesce("event_id", F.lit(""))]
-    numbered = ordered.numbered(queue, ["_all"], F.substring("ts_wall", 1, 13), order, "_n").drop("_all")
+    order = [F.col("ts_wall"), F.coalesce("recv_ts", F.lit("")), F.coalesce("event_id", F.lit("")), F.sha2(F.to_json(F.struct(*attributed.columns)), 256)]
+    numbered = ordered.numbered(queue, ["_all"], F.substring("ts_wall", 1, 16), order, "_n").drop("_all")
     at = F.col("_n") - 1
     return numbered.withColumn("batch_no", F.floor(at / batch).cast("bigint")).withColumn("idx", (at % batch).cast("int")).drop("_n")
 
@@ -90,9 +90,12 @@ def parse_assignments(responses: DataFrame, project_ids: list[str]) -> DataFrame
         F.substring(F.coalesce("a.reason", F.lit("")), 1, 200).alias("reason"))
 
 
-def answers_by_event(indexed: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Answers with the event they belong to, for ``attribution.apply_assignments``."""
-    return indexed.select("event_id", "batch_no", "idx").join(assignments, ["batch_no", "idx"])
+def apply_answers(attributed: DataFrame, assignments: DataFrame, project_ids: list[str], batch: int = CHUNK_EVENTS) -> DataFrame:
+    """Answers go to the event at their place in the review queue; ids do not matter, so events without one get theirs too."""
+    placed = review_index(attributed, batch).join(assignments.select("batch_no", "idx", F.col("project_id").alias("_pid"), F.col("confidence").alias("_conf")),
+                                                  ["batch_no", "idx"], "left")
+    answered = placed.withColumn("attribution", attribution.answered(F.col("_conf").isNotNull(), F.col("_pid"), F.col("_conf"), project_ids))
+    return attribution.settled(attributed).unionByName(answered.select(*attributed.columns))
 
 
 def entry_hints(projects: list[dict]) -> dict[str, list[str]]:
@@ -164,12 +167,18 @@ def apply_entries(days: DataFrame, responses: DataFrame) -> DataFrame:
     """Replies to entry text per project day; null where the archive has to stand in.
 
     ``days``: ``project_id, date_key``; ``responses``: ``project_id, reply, date_key`` (null
-    for a reply that covers several days under dated headings).
+    for a reply that covers several days under dated headings) and, where a day was cut into
+    blocks, ``chunk_no``.  The replies of a day follow one another in block order; a dated
+    section of a longer reply comes after them.
     """
-    single = responses.where(F.col("date_key").isNotNull()).select("project_id", "date_key", py_trim("reply").alias("entry"))
+    place = F.col("chunk_no").cast("bigint") if "chunk_no" in responses.columns else F.lit(0).cast("bigint")
+    single = responses.where(F.col("date_key").isNotNull()).select("project_id", "date_key", place.alias("place"), py_trim("reply").alias("entry"))
     batch = responses.where(F.col("date_key").isNull()).select("project_id", F.explode(batched_reply(F.col("reply"))).alias("b"))
-    many = batch.select("project_id", F.replace("b.date_label", F.lit("-"), F.lit("")).alias("date_key"), F.col("b.body").alias("entry"))
-    said = single.unionByName(many).where(has_text("entry")).groupBy("project_id", "date_key").agg(F.max("entry").alias("entry"))
+    many = batch.select("project_id", F.replace("b.date_label", F.lit("-"), F.lit("")).alias("date_key"),
+                        F.lit(None).cast("bigint").alias("place"), F.col("b.body").alias("entry"))
+    part = F.struct(F.col("place").isNull().alias("late"), "place", "entry")
+    said = single.unionByName(many).where(has_text("entry")).groupBy("project_id", "date_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["entry"]), "\n\n").alias("entry"))
     return days.join(said, ["project_id", "date_key"], "left")
 
 
@@ -247,35 +256,3 @@ def enrich_prompts(registry: DataFrame, folders: DataFrame) -> DataFrame:
                     F.coalesce(blank_to_null(F.array_join("signals.git_remotes", ", ")), F.lit("(none)")),
                     F.lit("\n\nFOLDER METADATA:\n"), "digest")
     return joined.where(has_text("digest")).select(F.col("id").alias("project_id"), *_prompt("init_enrich", user))
-
-
-def prompt_cost(configs: dict[str, dict], attributed: DataFrame) -> DataFrame:
-    """Calls and input tokens per configuration and step: ``config, label, calls, tokens``.
-
-    Counts follow from the day sizes alone, so planning needs no prompt texts.
-    """
-    days = day_tokens(attributed)
-    projects = days.groupBy("project_id").agg(F.sum("tokens").alias("tokens"))
-    queue = attribution.residue(attributed).agg(F.count("*").alias("n")).where(F.col("n") > 0)
-    parts = []
-    for name, c in configs.items():
-        cfg = F.lit(name).alias("config")
-        parts.append(queue.select(cfg, F.lit("categorize").alias("label"), F.lit(1).cast("bigint").alias("calls"), (F.col("n") * 20).alias("tokens")))
-        parts.append(projects.select(cfg, F.lit("overview").alias("label"), F.lit(1).cast("bigint").alias("calls"), "tokens"))
-        parts.append(projects.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).where("n > 0").select(
-            cfg, F.lit("exec").alias("label"), F.lit(1).cast("bigint").alias("calls"), "tokens"))
-        if c.get("write_entries"):
-            units = pack_days(days, mode=c.get("entry_batch", "day"), budget=c.get("max_input_tokens", 0), max_days=c.get("max_batch_days", 7)) \
-                .groupBy("project_id", "unit_no").agg(F.sum("tokens").alias("tokens"))
-            parts.append(units.select(cfg, F.lit("entry").alias("label"), F.lit(1).cast("bigint").alias("calls"), "tokens"))
-        if c.get("summary_cadence", "off") != "off":
-            from ..functions.dates import period_key
-            gran = "week" if c["summary_cadence"] == "weekly" else "month"
-            periods = days.groupBy(period_key("date_key", gran).alias("pk")).agg(F.sum("tokens").alias("tokens"))
-            parts.append(periods.select(cfg, F.lit("period").alias("label"), F.lit(1).cast("bigint").alias("calls"), "tokens"))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total.groupBy("config", "label").agg(F.sum("calls").alias("calls"), F.sum("tokens").cast("bigint").alias("tokens"))
-
-

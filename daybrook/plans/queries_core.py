@@ -43,7 +43,15 @@ def reconcile_timeline(spark, sf_dir):
 def dedup_winner(spark, sf_dir):
     prepare(spark)
     rows = timeline.dedup_winners(timeline.drop_rejected(activity(spark, sf_dir)))
-    return rows.where("event_id <> ''").select("event_id", "arrival_seq", "trust", "recv_ts")
+    return rows.select("event_id", "arrival_seq", "trust", "recv_ts")
+
+
+def equal_events_stay(spark, sf_dir):
+    """Events without an id that look alike in every other way are still events of their own."""
+    prepare(spark)
+    rows = activity(spark, sf_dir).where("event_id = ''").drop("arrival_seq")
+    doubled = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    return timeline.reconcile(doubled).groupBy("ts_wall", "type", F.col("source.identity").alias("host")).agg(F.count("*").alias("n"))
 
 
 def lateness_by_host(spark, sf_dir):
@@ -130,9 +138,14 @@ def affected_periods(spark, sf_dir):
     return rollup.affected_periods(attributed(spark, sf_dir), "week")
 
 
+# What the activity view tells about an event.
+_TOLD = ("event_id", "ts_wall", "recv_ts", "type", "trust", "source.identity", *(f"payload.{name}" for name in (
+    "anchor", "process", "active_file", "mode", "intent.label", "cmdline", "path", "repo", "message", "actor", "note", "host", "kind", "summary", "tool")))
+
+
 def project_fingerprint(spark, sf_dir):
     rows = attribution.in_projects(attributed(spark, sf_dir)).withColumn("project_id", F.col("attribution.project_id"))
-    return rollup.fingerprint(rows, ["project_id"], F.concat_ws("|", "event_id", "ts_wall", "type", "trust"))
+    return rollup.fingerprint(rows, ["project_id"], rollup.event_text(*_TOLD))
 
 
 def _days(rows):
@@ -160,7 +173,7 @@ def event_chunks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    time_per_project, reconcile_timeline, dedup_winner, lateness_by_host, attribution_methods, attribution_events,
+    time_per_project, reconcile_timeline, dedup_winner, equal_events_stay, lateness_by_host, attribution_methods, attribution_events,
     attribution_ties, gate_outcomes, gated_events, archive_lines, archive_files, archive_document, section_merge,
     period_rollup_week, period_rollup_month, period_fallback, affected_periods, project_fingerprint,
     incremental_days, done_days, counts_grouping_sets, event_chunks)}

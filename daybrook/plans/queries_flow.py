@@ -170,8 +170,8 @@ def apply_review(spark, sf_dir):
                     F.when(F.col("idx") % 2 == 0, F.lit("0.9")).otherwise(F.lit("0.4")), F.lit("}"))
     replies = indexed.groupBy("batch_no").agg(F.concat(F.lit("<think>x</think>```json\n{\"assignments\": ["),
                                                        F.array_join(F.collect_list(item), ","), F.lit("]}\n```")).alias("reply"))
-    said = prompts.answers_by_event(indexed, prompts.parse_assignments(replies, ["atlas", "borealis", "cobalt"]))
-    done = attribution.apply_assignments(rows, said.where("event_id <> ''"), ["atlas", "borealis", "cobalt"])
+    known = ["atlas", "borealis", "cobalt"]
+    done = prompts.apply_answers(rows, prompts.parse_assignments(replies, known), known)
     a = F.col("attribution")
     return done.groupBy(F.coalesce(a["method"], F.lit("unattributed")).alias("method"), F.coalesce(a["project_id"], F.lit("")).alias("project_id"),
                         F.round(a["confidence"], 4).alias("confidence")).agg(F.count("*").alias("n_events"))
@@ -186,11 +186,13 @@ def activity_chunks(spark, sf_dir):
     return rows.select("project_id", "date_key", "chunk_no", "n_events", F.md5("block").alias("block_md5"))
 
 
-def prompt_cost(spark, sf_dir):
-    rows = materialize(attributed(spark, sf_dir), "attributed")
-    configs = {"entries off": {}, "entries daily": {"write_entries": True}, "entries weekly": {"write_entries": True, "entry_batch": "week", "max_input_tokens": 6000},
-               "adaptive + summary": {"write_entries": True, "entry_batch": "adaptive", "max_input_tokens": 6000, "summary_cadence": "weekly"}}
-    return prompts.prompt_cost(configs, rows).select("config", "label", "calls")
+def apply_entries(spark, sf_dir):
+    """One reply a block of 20 events, put together per day; every third day gets no reply."""
+    chunks = materialize(prompts.activity_chunks(attributed(spark, sf_dir), 20).select("project_id", "date_key", "chunk_no", "n_events"), "chunks")
+    said = chunks.where("substring(date_key, 8, 1) NOT IN ('0', '3', '6', '9')").select(
+        "project_id", "date_key", "chunk_no", F.concat(F.lit(" part "), F.col("chunk_no").cast("string"), F.lit(" of "), "project_id", F.lit("\n")).alias("reply"))
+    done = prompts.apply_entries(chunks.select("project_id", "date_key").distinct(), said)
+    return done.select("project_id", "date_key", F.md5(F.coalesce("entry", F.lit("(archive)"))).alias("entry_md5"))
 
 
 def discovered_projects(spark, sf_dir):
@@ -207,6 +209,18 @@ def discovered_projects(spark, sf_dir):
                     F.array_join(s["apps"], "|").alias("apps"), F.array_join(s["window_patterns"], "|").alias("patterns"))
 
 
+def discovered_clashes(spark, sf_dir):
+    """Folder names that look like another folder's numbered name; every id occurs once."""
+    prepare(spark)
+    p = table(spark, sf_dir, "part")
+    word, number = F.split("p_name", " ")[0], F.col("p_partkey") % 5
+    known = registry.from_dicts(spark, [{"id": "small", "signals": {"paths": ["/x"]}}, {"id": "red-3", "signals": {"paths": ["/y"]}}])
+    repos = p.select(F.concat(F.lit("/repos/"), F.col("p_partkey").cast("string"), F.lit("/"), word,
+                              F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(F.lit(""))).alias("path"),
+                     F.lit("").alias("title"), F.array().cast("array<string>").alias("remotes"), F.array().cast("array<string>").alias("markers"))
+    return registry.discover(repos, known, "2024-02-01").select("id", F.element_at("signals.paths", 1).alias("path"))
+
+
 # --- streams -------------------------------------------------------------------------
 
 def _event_stream(spark, sf_dir):
@@ -268,5 +282,5 @@ def daily_archive(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     validate_messages, trust_routes, repo_payload_events, incremental_pulls, hook_reports, egress_split, account_store, standup_rows,
-    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, prompt_cost, discovered_projects,
+    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, apply_entries, discovered_projects, discovered_clashes,
     stream_dedup, stream_rollup, stream_sliding, stream_trust, stream_timeline, daily_archive)}

@@ -148,13 +148,12 @@ def discover(repos: DataFrame, registry: DataFrame, today: str) -> DataFrame:
     known = registry.select(F.explode("signals.paths").alias("p")).select(lexical("p").alias("_k")).distinct()
     fresh = repos.withColumn("_k", lexical("path")).join(known, "_k", "left_anti").dropDuplicates(["_k"]).drop("_k")
     named = fresh.withColumn("_n", basename("path")).withColumn("_slug", slug_id(F.col("_n")))
-    taken = registry.select(F.col("id").alias("_id"))
-    # Suffix numbers already in use by the registry, per slug ("x" itself is number 1).
-    stems = taken.select(F.explode(F.array(
-        F.struct(F.col("_id").alias("_slug"), F.lit(1).alias("n")),
-        F.struct(F.regexp_replace("_id", "-[0-9]+$", "").alias("_slug"),
-                 F.regexp_extract("_id", "-([0-9]+)$", 1).try_cast("int").alias("n")))).alias("u")).select("u.*") \
-        .where(F.col("n").isNotNull()).groupBy("_slug").agg(F.sort_array(F.collect_set("n")).alias("_used"))
+    def suffixed(name: str) -> Column:
+        return F.struct(F.regexp_replace(name, "-[0-9]+$", "").alias("_slug"), F.regexp_extract(name, "-([0-9]+)$", 1).try_cast("int").alias("n"))
+    # Numbers that a slug may not take: those of registered ids ("x" itself is number 1) and of names that new rows claim literally.
+    taken = registry.select(F.explode(F.array(F.struct(F.col("id").alias("_slug"), F.lit(1).alias("n")), suffixed("id"))).alias("u"))
+    claimed = named.select("_slug").distinct().select(suffixed("_slug").alias("u"))
+    stems = taken.unionByName(claimed).select("u.*").where(F.col("n").isNotNull()).groupBy("_slug").agg(F.sort_array(F.collect_set("n")).alias("_used"))
     numbered = ordered.numbered(named, ["_slug"], F.substring("path", 1, 48), [F.col("path")], "_rank")
     ranked = numbered.withColumn("_nth", F.col("_rank").cast("int")).drop("_rank").join(stems, "_slug", "left")
     # The nth free number counted from 1 with the used ones left out.

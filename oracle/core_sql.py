@@ -10,7 +10,10 @@ FROM attributed WHERE project_id IS NOT NULL AND session GROUP BY project_id HAV
     "reconcile_timeline": q(RAW_TIMELINE, """
 SELECT event_id, arrival_seq, trust, date_key, make_timestamp(at_us) AS effective_ts FROM timeline"""),
     "dedup_winner": q(RAW_TIMELINE, """
-SELECT event_id, arrival_seq, trust, recv_ts FROM timeline WHERE event_id <> ''"""),
+SELECT event_id, arrival_seq, trust, recv_ts FROM timeline"""),
+    "equal_events_stay": q(ACTIVITY, """
+two AS (SELECT ts_wall, type, identity FROM activity WHERE event_id = '' AND trust <> 'rejected')
+SELECT ts_wall, type, identity AS host, 2 * count(*) AS n FROM two GROUP BY ALL"""),
     "lateness_by_host": q(ACTIVITY, """
 late AS (SELECT identity, (epoch_us(CAST(recv_ts AS TIMESTAMPTZ)) - (epoch_us(CAST(CASE WHEN regexp_matches(ts_wall, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN ts_wall ELSE ts_wall || 'Z' END AS TIMESTAMPTZ)) - offset_sec * 1000000)) / 1e6 AS s
   FROM activity WHERE recv_ts <> '' AND ts_wall <> 'not a time')
@@ -80,7 +83,8 @@ WHERE t.project_id IS NULL OR w.section_no = 5 GROUP BY ALL"""),
 SELECT DISTINCT CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN strftime(strptime(date_key, '%Y%m%d'), '%G-W%V') ELSE '0000-W00' END AS period_key
 FROM attributed WHERE project_id IS NOT NULL"""),
     "project_fingerprint": q(ATTRIBUTED, """
-h AS (SELECT project_id, sha256(event_id || '|' || ts_wall || '|' || type || '|' || trust) AS h FROM attributed WHERE project_id IS NOT NULL),
+h AS (SELECT project_id, sha256(CAST(to_json([event_id, ts_wall, recv_ts, type, trust, identity, CASE WHEN session THEN coalesce(anchor, '') END, process, active_file, mode, intent_label, cmdline,
+  path, repo, message, actor, note, host, clip_kind, summary, tool]) AS VARCHAR)) AS h FROM attributed WHERE project_id IS NOT NULL),
 s AS (SELECT project_id, count(*) AS n,
   CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS a, CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS b,
   CAST(sum(CAST(CAST('0x' || substr(h, 31, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS c, CAST(sum(CAST(CAST('0x' || substr(h, 46, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS d

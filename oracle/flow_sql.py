@@ -104,10 +104,25 @@ SELECT project_id, date_key, CAST((n - 1) // 20 AS BIGINT) AS chunk_no, count(*)
 rv AS (SELECT arrival_seq, (row_number() OVER (ORDER BY ts_wall, recv_ts, event_id) - 1) % 150 AS idx FROM attributed
   WHERE method = 'needs_review' AND (trim(blob) <> '' OR trim(low_note) <> '')),
 j AS (SELECT a.event_id, a.method, a.project_id, a.confidence, r.idx FROM attributed a LEFT JOIN rv r USING (arrival_seq)),
-o AS (SELECT CASE WHEN idx IS NULL OR event_id = '' THEN method WHEN idx % 3 <> 0 AND idx % 2 = 0 THEN 'llm' ELSE method END AS method,
-  coalesce(CASE WHEN idx IS NOT NULL AND event_id <> '' AND idx % 3 <> 0 AND idx % 2 = 0 THEN 'cobalt' ELSE project_id END, '') AS project_id,
-  CAST(CASE WHEN idx IS NULL OR event_id = '' THEN round(confidence, 4) WHEN idx % 2 = 0 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS confidence FROM j)
+o AS (SELECT CASE WHEN idx IS NULL THEN method WHEN idx % 3 <> 0 AND idx % 2 = 0 THEN 'llm' ELSE method END AS method,
+  coalesce(CASE WHEN idx IS NOT NULL AND idx % 3 <> 0 AND idx % 2 = 0 THEN 'cobalt' ELSE project_id END, '') AS project_id,
+  CAST(CASE WHEN idx IS NULL THEN round(confidence, 4) WHEN idx % 2 = 0 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS confidence FROM j)
 SELECT method, project_id, confidence, count(*) AS n_events FROM o GROUP BY ALL"""),
+    "apply_entries": q(DIGESTS, """
+n AS (SELECT project_id, date_key, row_number() OVER (PARTITION BY project_id, date_key) AS n FROM dg WHERE project_id IS NOT NULL),
+parts AS (SELECT DISTINCT project_id, date_key, (n - 1) // 20 AS chunk_no FROM n)
+SELECT project_id, date_key, md5(CASE WHEN substr(date_key, 8, 1) IN ('0', '3', '6', '9') THEN '(archive)'
+  ELSE string_agg('part ' || chunk_no || ' of ' || project_id, chr(10) || chr(10) ORDER BY chunk_no) END) AS entry_md5 FROM parts GROUP BY project_id, date_key"""),
+    "discovered_clashes": r"""
+WITH t AS (SELECT p_partkey % 5 AS d, string_split(p_name, ' ')[1] AS w, p_partkey FROM part),
+s AS (SELECT CASE WHEN d > 1 THEN w || '-' || d ELSE w END AS slug, '/repos/' || p_partkey || '/' || CASE WHEN d > 1 THEN w || '-' || d ELSE w END AS path FROM t),
+ids AS (SELECT id, regexp_replace(id, '-[0-9]+$', '') AS stem, TRY_CAST(regexp_extract(id, '-([0-9]+)$', 1) AS INTEGER) AS k
+  FROM (SELECT DISTINCT slug AS id FROM s UNION SELECT unnest(['small', 'red-3']))),
+used AS (SELECT stem AS slug, list(DISTINCT k) AS ks FROM ids WHERE k IS NOT NULL GROUP BY stem),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY path) + CASE WHEN slug IN ('small', 'red-3') THEN 1 ELSE 0 END AS nth FROM s),
+f AS (SELECT n.slug, path, nth, list_filter(range(2, CAST(nth + 1 + coalesce(len(ks), 0) AS BIGINT)), lambda x: NOT coalesce(list_contains(ks, x), false)) AS free
+  FROM n LEFT JOIN used USING (slug))
+SELECT CASE WHEN nth = 1 THEN slug ELSE slug || '-' || free[nth - 1] END AS id, path FROM f""",
     "discovered_projects": r"""
 WITH t AS (SELECT *, replace(p_name, ' ', '-') AS slug, '/repos/' || p_partkey || '/' || p_name AS path FROM part WHERE NOT (p_partkey = 0 AND p_name = 'small ring')),
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY path) AS nth FROM t),

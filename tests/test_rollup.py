@@ -156,14 +156,19 @@ def test_prompt_tables(spark):
     assert got == [("# X\nnew\n", "short"), ("only\n", ""), ("old", "")]
 
 
-def test_cost_planning_matches_the_known_counts(spark):
-    from daybrook.operators.attribution import attribute
-    from daybrook.sources import synth
-    rows = attribute(with_keys(synth.corpus(spark, 5, 3, 12)), synth.projects(3)).persist()
-    assert rows.count() == 140
-    cfg = {"off": {}, "daily": {"write_entries": True}, "weekly": {"write_entries": True, "entry_batch": "week", "max_input_tokens": 6000},
-           "adaptive": {"write_entries": True, "entry_batch": "adaptive", "max_input_tokens": 6000},
-           "summary": {"write_entries": True, "entry_batch": "adaptive", "max_input_tokens": 6000, "summary_cadence": "weekly"}}
-    got = {r["config"]: r["calls"] for r in prompts.prompt_cost(cfg, rows).groupBy("config").agg(F.sum("calls").alias("calls")).collect()}
-    assert got == {"off": 5, "daily": 20, "weekly": 8, "adaptive": 8, "summary": 9}
-    rows.unpersist()
+def test_replies_of_a_long_day_follow_in_block_order(spark):
+    days = spark.createDataFrame([("app", "20260621"), ("app", "20260622")], "project_id STRING, date_key STRING")
+    said = spark.createDataFrame([("app", f"zyx"[k % 3] + str(k), "20260621", k) for k in (10, 2, 0, 1)] + [("app", "## 2026-06-21\ntail", None, None)],
+                                 "project_id STRING, reply STRING, date_key STRING, chunk_no LONG")
+    done = {r["date_key"]: r["entry"] for r in prompts.apply_entries(days, said).collect()}
+    assert done == {"20260621": "z0\n\ny1\n\nx2\n\ny10\n\ntail", "20260622": None}
+
+
+def test_payload_changes_flip_the_fingerprint(spark):
+    ev = events(spark, ROWS)
+    key = ev.withColumn("g", F.lit(1))
+    one = rollup.fingerprint(key, ["g"], rollup.event_text()).first()["fingerprint"]
+    other = key.withColumn("payload", F.col("payload").withField("tool", F.lit("x")))
+    assert rollup.fingerprint(other, ["g"], rollup.event_text()).first()["fingerprint"] != one
+    empty = key.withColumn("payload", F.col("payload").withField("tool", F.lit("")))
+    assert rollup.fingerprint(empty, ["g"], rollup.event_text()).first()["fingerprint"] != one
