@@ -1,51 +1,55 @@
-"""Options of the write-up jobs out of a configuration dictionary."""
+"""Options of the write-up jobs: one table of fields, read by one loader."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
+from typing import Any
 
 from ..constants import BUDGET_FREE, BUDGET_FRONTIER, BUDGET_OTHER, FRONTIER_MARKERS
 
 
+def number(least: int, otherwise: int) -> Callable[[Any], int]:
+    """Whole numbers of at least ``least``; zero and what is no number give ``otherwise``."""
+    def read(value: Any) -> int:
+        try:
+            return max(least, int(value) or otherwise)
+        except (TypeError, ValueError):
+            return otherwise
+    return read
+
+
+def one_of(*allowed: str) -> Callable[[Any], str]:
+    """One of a few words, in any case; the first for anything else."""
+    known = {word: word for word in allowed}
+    return lambda value: known.get(str(value).strip().lower(), allowed[0])
+
+
+def tier_budget(model: str) -> int:
+    """Input tokens that a model's tier takes."""
+    tiers = [((":free",), BUDGET_FREE), (FRONTIER_MARKERS, BUDGET_FRONTIER), (("",), BUDGET_OTHER)]
+    return next(size for marks, size in tiers if any(mark in model.lower() for mark in marks))
+
+
+def option(default: Any, read: Callable[[Any], Any]) -> Any:
+    return field(default=default, metadata={"read": read})
+
+
 @dataclass(frozen=True)
 class WriteUpOptions:
-    write_entries: bool = True
-    entry_max_tokens: int = 1500
-    entry_period: str = "month"
-    summary_cadence: str = "off"
-    skip_unchanged: bool = False
-    entry_batch: str = "day"
-    max_input_tokens: int = 0
-    max_batch_days: int = 7
-
-
-def model_budget(model: str) -> int:
-    low = (model or "").lower()
-    if ":free" in low:
-        return BUDGET_FREE
-    return BUDGET_FRONTIER if any(m in low for m in FRONTIER_MARKERS) else BUDGET_OTHER
-
-
-def input_budget(value, model: str) -> int:
-    """``auto`` follows the model tier; junk means no budget."""
-    if isinstance(value, str) and value.strip().lower() == "auto":
-        return model_budget(model)
-    try:
-        number = int(value.strip()) if isinstance(value, str) else max(0, int(value))
-    except (TypeError, ValueError):
-        return 0
-    return number
+    write_entries: bool = option(True, bool)
+    entry_max_tokens: int = option(1500, number(1, 1500))
+    entry_period: str = option("month", one_of("month", "week"))
+    summary_cadence: str = option("off", one_of("off", "weekly", "monthly"))
+    skip_unchanged: bool = option(False, bool)
+    entry_batch: str = option("day", one_of("day", "week", "adaptive"))
+    max_input_tokens: int = option(0, number(0, 0))
+    max_batch_days: int = option(7, number(1, 7))
 
 
 def options_from(config: dict) -> WriteUpOptions:
-    """Unknown choices fall back to the default of their field."""
-    syn = config.get("synthesis") or {}
-
-    def choice(name: str, allowed: tuple[str, ...]) -> str:
-        value = str(syn.get(name, allowed[0])).strip().lower()
-        return value if value in allowed else allowed[0]
-    return WriteUpOptions(
-        bool(syn.get("write_entries", True)), int(syn.get("entry_max_tokens", 1500)), choice("entry_period", ("month", "week")),
-        choice("summary_cadence", ("off", "weekly", "monthly")), bool(syn.get("skip_unchanged", False)),
-        choice("entry_batch", ("day", "week", "adaptive")),
-        input_budget(syn.get("max_input_tokens", 0), (config.get("llm") or {}).get("model", "")), max(1, int(syn.get("max_batch_days", 7) or 7)))
+    """The ``synthesis`` part of a configuration; a budget of ``auto`` follows the model's tier."""
+    given = {"max_input_tokens": 0, **(config.get("synthesis") or {})}
+    if str(given["max_input_tokens"]).strip().lower() == "auto":
+        given["max_input_tokens"] = tier_budget((config.get("llm") or {}).get("model") or "")
+    return WriteUpOptions(**{f.name: f.metadata["read"](given[f.name]) for f in fields(WriteUpOptions) if f.name in given})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_EVENTS
-from ..functions.core import blank_to_null, est_tokens, has_text, py_trim
+from ..functions.core import blank_to_null, est_tokens, has_text, non_null, py_trim, strings
 from ..functions.dates import date_label, period_label
 from ..operators import attribution, ordered
 from ..operators.digest import digest, review_digest
@@ -98,18 +98,13 @@ def apply_answers(attributed: DataFrame, assignments: DataFrame, project_ids: li
     return attribution.settled(attributed).unionByName(answered.select(*attributed.columns))
 
 
-def entry_hints(projects: list[dict]) -> dict[str, list[str]]:
-    """What an entry should capture: explicit hints, else description and keywords."""
-    out = {}
-    for p in projects:
-        sig = p.get("signals") or {}
-        hints = [str(h) for h in sig.get("entry_extract") or [] if str(h).strip()]
-        if not hints:
-            hints = [str(p["description"])] if p.get("description") else []
-            if sig.get("keywords"):
-                hints.append("keywords: " + ", ".join(map(str, sig["keywords"])))
-        out[p["id"]] = hints
-    return out
+def entry_hints(registry: DataFrame) -> DataFrame:
+    """``project_id, hints``: what an entry should capture, as a list; explicit hints, else description and keywords."""
+    explicit = F.filter(F.coalesce("signals.entry_extract", strings([])), lambda h: py_trim(h) != "")
+    words = F.array_join("signals.keywords", ", ")
+    implied = non_null(blank_to_null("description"), F.when(words != "", F.concat(F.lit("keywords: "), words)))
+    said = F.when(F.size(explicit) > 0, explicit).otherwise(implied)
+    return registry.select(F.col("id").alias("project_id"), F.array_join(F.transform(said, lambda h: F.concat(F.lit("- "), h)), "\n").alias("hints"))
 
 
 def digests(attributed: DataFrame) -> DataFrame:
@@ -145,15 +140,12 @@ def activity_chunks(attributed: DataFrame, size: int = CHUNK_EVENTS) -> DataFram
         F.count("*").alias("n_events"), F.array_join(spoken, "\n\n").alias("block"))
 
 
-def entry_prompts(chunks: DataFrame, projects: list[dict]) -> DataFrame:
+def entry_prompts(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     """One entry prompt for each block of a project day."""
-    hints = entry_hints(projects)
-    table = F.create_map(*[F.lit(v) for p, h in hints.items() for v in (p, "\n".join("- " + x for x in h))]) if hints else None
-    hint = F.coalesce(table[F.col("project_id")], F.lit("")) if table is not None else F.lit("")
-    label = date_label("date_key")
-    user = F.concat(F.lit("PROJECT: "), "project_id", F.lit("\nDATE: "), label, F.lit("\nCAPTURE:\n"), hint,
+    rows = chunks.join(entry_hints(registry), "project_id", "left")
+    user = F.concat(F.lit("PROJECT: "), "project_id", F.lit("\nDATE: "), date_label("date_key"), F.lit("\nCAPTURE:\n"), F.coalesce("hints", F.lit("")),
                     F.lit("\n\nACTIVITY:\n"), "block")
-    return chunks.select("project_id", "date_key", "chunk_no", "n_events", *_prompt("entry", user))
+    return rows.select("project_id", "date_key", "chunk_no", "n_events", *_prompt("entry", user))
 
 
 def entry_units(attributed: DataFrame, *, mode: str, budget: int, max_days: int = 7) -> DataFrame:

@@ -98,7 +98,29 @@ dif AS (SELECT doc_id, 'diff --git a/docs/d' || doc_id || '.md b/docs/d' || doc_
   CASE WHEN doc_id % 3 = 0 THEN '.env' ELSE 'src/m' || doc_id || '.py' END AS second FROM seeded),
 """
 
+# First and last line of a private key.
+PEM = ("-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----", "-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----")
+_CAPTURED = _DIFF + f"""
+dfile AS (SELECT doc_id, 0 AS file_no, first AS body FROM dif
+  UNION ALL SELECT doc_id, 1, 'diff --git a/' || second || ' b/' || second || chr(10) || '@@ -1 +1 @@' || chr(10) || '+x = ' || doc_id || chr(10) FROM dif WHERE second <> '.env'),
+dl AS (SELECT doc_id, file_no, unnest(string_split(left(body, length(body) - 1), chr(10))) AS line,
+  generate_subscripts(string_split(left(body, length(body) - 1), chr(10)), 1) AS i FROM dfile),
+pem AS (SELECT *, regexp_matches(line, {lit(PEM[0])}) AS b, regexp_matches(line, {lit(PEM[1])}) AS e FROM dl),
+st AS (SELECT *, coalesce(max(CASE WHEN b THEN i END) OVER w, 0) > coalesce(max(CASE WHEN e THEN i END) OVER w, 0) AS inside FROM pem
+  WINDOW w AS (PARTITION BY doc_id, file_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+keyed AS (SELECT doc_id || '|' || file_no || '|' || i AS lk, line AS text FROM st WHERE NOT b AND NOT inside),
+""" + scrub_ctes("keyed", "lk") + """
+outl AS (SELECT st.doc_id, st.file_no, st.i, CASE WHEN b THEN '[REDACTED:private_key_block]' ELSE s.clean END AS t, b OR len(s.names) > 0 AS changed
+  FROM st LEFT JOIN scrubbed s ON s.lk = st.doc_id || '|' || st.file_no || '|' || st.i WHERE b OR NOT inside),
+ftext AS (SELECT doc_id, file_no, string_agg(t, chr(10) ORDER BY i) AS t, bool_or(changed) AS changed FROM outl GROUP BY ALL),
+cap AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY file_no) AS clean, bool_or(changed) AS changed FROM ftext GROUP BY ALL),
+"""
+
 SQL = {
+    "diff_scrub": q(_CAPTURED, """
+SELECT doc_id, CAST(len(string_split(clean, chr(10))) AS BIGINT) AS n_lines, false AS truncated, sha256(clean) AS diff_ref,
+  'diff_captured' || CASE WHEN changed THEN ',diff_scrubbed' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ',diff_suppressed_ignored' ELSE '' END AS codes FROM cap"""),
+    "diff_sidecars": q(_CAPTURED, "SELECT DISTINCT sha256(clean) AS diff_ref, CAST(length(clean) AS BIGINT) AS n_chars FROM cap"),
     "redact_documents": q(SEEDED + scrub_ctes("seeded", "doc_id"), """
 SELECT doc_id, md5(clean) AS clean_md5, length(clean) AS n_chars, array_to_string(names, ',') AS codes FROM scrubbed"""),
     "redaction_histogram": q(SEEDED + scrub_ctes("seeded", "doc_id"), """

@@ -14,7 +14,16 @@ from tests.test_rollup import ROWS, WANT, events
 def test_options():
     o = options.options_from({"synthesis": {"entry_batch": "Adaptive", "max_input_tokens": "auto", "summary_cadence": "often", "max_batch_days": 0}, "llm": {"model": "x:free"}})
     assert (o.entry_batch, o.max_input_tokens, o.summary_cadence, o.max_batch_days, o.write_entries) == ("adaptive", 6000, "off", 7, True)
-    assert options.input_budget("junk", "") == 0 and options.input_budget("12", "") == 12 and options.input_budget(None, "") == 0
+    given = [options.options_from({"synthesis": {"max_input_tokens": v}}).max_input_tokens for v in ("junk", "12", None, 30, -5)]
+    assert given == [0, 12, 0, 30, 0] and options.options_from({}) == options.WriteUpOptions()
+    assert (options.tier_budget("x:free"), options.tier_budget("none")) == (6000, 16_000)
+
+
+def test_policy_options():
+    from daybrook.operators.diffs import CapturePolicy, policy_from
+    assert policy_from(None) == CapturePolicy(max_lines=400, max_bytes=65_536)
+    made = policy_from({"capture_diffs": 1, "diff_max_lines": "7", "ignore_globs": ["a", "b"]}, ["b", "c"])
+    assert (made.capture_diffs, made.max_lines, made.ignore_globs) == (True, 7, ("b", "c", "a"))
 
 
 def test_ignore_file(column):

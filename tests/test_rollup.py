@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from daybrook.model import make_events, payload_of, source_of, with_keys
 from daybrook.operators import rollup
 from daybrook.plans import prompts, report
+from daybrook.sources import registry
 
 DAYS = [f"202606{d:02d}" for d in range(1, 11)]
 
@@ -142,7 +143,9 @@ def test_prompt_tables(spark):
     ev = events(spark, ROWS)
     chunks = prompts.activity_chunks(ev, 4)
     assert sorted((r["chunk_no"], r["n_events"]) for r in chunks.collect()) == [(0, 4), (1, 4), (2, 2)]
-    made = prompts.entry_prompts(chunks, [{"id": "app", "description": "An app", "signals": {"keywords": ["k"]}}]).collect()
+    known = registry.from_dicts(spark, [{"id": "app", "description": "An app", "signals": {"keywords": ["k"]}}, {"id": "b", "signals": {"entry_extract": ["x", " "]}}])
+    made = prompts.entry_prompts(chunks, known).collect()
+    assert {r["project_id"]: r["hints"] for r in prompts.entry_hints(known).collect()} == {"app": "- An app\n- keywords: k", "b": "- x"}
     assert len(made) == 3 and all("keywords: k" in r["user"] for r in made)
     days = spark.createDataFrame([("app", "20260621"), ("app", "20260622"), ("app", "20260623")], "project_id STRING, date_key STRING")
     said = spark.createDataFrame([("app", "pre\n## 2026-06-21\nbody one\n\n### 2026-06-22  \n\n## 2026-06-22\nlast\n", None), ("app", "  ", "20260623")],
