@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +19,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
         return True
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return False
         raise
 
 
-def append_events(gated: DataFrame, root: str) -> None:
-    """Kept rows under ``events/date_key=…``, drop facts under ``drops``, new diff bodies once.
+def append_events(gated: DataFrame, root: str, batch: str | None = None) -> None:
+    """Kept rows under ``events/batch_id=…/date_key=…``, drop facts under ``drops``, new diff bodies once.
 
-    The gate's output is written once and read back: the three sinks share one evaluation.
+    A batch owns its folders: one that runs again after a failure replaces what it wrote.
+    Without a name the batch is a new one.  The gate's output is written once and read back:
+    the three sinks share one evaluation.
     """
+    batch = batch or uuid.uuid4().hex
     spark = gated.sparkSession
     stage = work_dir(spark, "gate")
     gated.write.mode("overwrite").parquet(stage)
@@ -35,8 +41,8 @@ def append_events(gated: DataFrame, root: str) -> None:
     events = kept.drop("diff_clean")
     if "date_key" not in events.columns:
         events = events.withColumn("date_key", date_key("ts_wall"))
-    events.write.mode("append").partitionBy("date_key").parquet(f"{root}/events")
-    gate.dropped(rows).write.mode("append").parquet(f"{root}/drops")
+    events.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date_key").parquet(f"{root}/events/batch_id={batch}")
+    gate.dropped(rows).write.mode("overwrite").parquet(f"{root}/drops/batch_id={batch}")
     append_diffs(kept, f"{root}/diffs")
 
 
@@ -51,7 +57,7 @@ def append_diffs(kept: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:
     """Stored events; one date reads one partition."""
-    rows = spark.read.parquet(f"{root}/events")
+    rows = spark.read.parquet(f"{root}/events").drop("batch_id")
     return rows.where(F.col("date_key") == date) if date else rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,8 @@ def read_registry(spark: SparkSession, path: str, template: list[dict] | None =
     try:
         raw = spark.read.option("multiLine", True).schema(wrapper).json(path)
         return raw.select(F.explode("projects").alias("p")).select("p.*")
-    except Exception as exc:                      # missing path is an analysis error
-        if template is None or "PATH_NOT_FOUND" not in str(exc):
+    except AnalysisException as error:
+        if template is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
     return from_dicts(spark, template)
 

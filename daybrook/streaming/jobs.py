@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.dates import date_key, effective_ts
 from ..operators import gate, timeline
-from ..session import work_dir
+from ..session import materialize, work_dir
 from ..sinks.store import append_events
 from ..sources.log import parse_lines, split_corrupt
 from ..sources.reports import classify, report_texts
@@ -49,9 +50,9 @@ def union_sources(*streams: DataFrame) -> DataFrame:
 
 
 def gate_stream(events: DataFrame, roots, root: str, checkpoint: str, *, passed_at: str, **options):
-    """Gate every micro-batch and append to the stores."""
-    def write(batch: DataFrame, _: int) -> None:
-        append_events(gate.gate(batch, roots, passed_at=passed_at, **options), root)
+    """Gate every micro-batch and append to the stores; a batch that is repeated replaces its own rows."""
+    def write(batch: DataFrame, number: int) -> None:
+        append_events(gate.gate(batch, roots, passed_at=passed_at, **options), root, f"stream-{number}")
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
@@ -81,31 +82,35 @@ def gap_session_stream(events: DataFrame, ts: str, key: str, gap: str, delay: st
 
 
 def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch``: append raw rows, then rebuild the touched days of the timeline.
+    """``foreachBatch``: store raw rows, then rebuild the touched days of the timeline.
 
     An id can lie in several days (a retry with another clock), so every day that shares an
-    id with the new rows is rebuilt as well.  A batch that runs twice after a failure adds
-    its rows again; reconciliation drops the copies.
+    id with the new rows is rebuilt as well.  A small table of ids and their days tells which
+    days to read; the rest of the raw log is not opened.  A batch owns its folder, so one that
+    runs twice after a failure stores its rows once, with or without ids.
     """
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        from ..functions.dates import date_key
+
+        def put(rows: DataFrame, path: str, *by: str) -> None:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{path}/batch_id={number}")
         keyed = batch.withColumn("date_key", date_key("ts_wall"))
-        keyed.write.mode("append").partitionBy("date_key").parquet(bronze)
-        log = spark.read.parquet(bronze)
-        log = log.withColumn("date_key", F.col("date_key").cast("string"))
-        ids = keyed.where(F.col("event_id") != "").select("event_id").distinct()
-        days = keyed.select("date_key").unionByName(log.join(ids, "event_id", "left_semi").select("date_key")).distinct()
-        winners = timeline.dedup_winners(timeline.drop_rejected(log.join(
-            log.join(days, "date_key", "left_semi").select("event_id").where("event_id <> ''").distinct(), "event_id", "left_semi")))
-        blanks = timeline.drop_rejected(log.join(days, "date_key", "left_semi").where("event_id = ''"))
-        rows = winners.unionByName(blanks).join(days, "date_key", "left_semi")
-        from ..functions.dates import effective_ts
-        out = rows.withColumn("effective_ts", effective_ts("ts_wall", "clock_offset_sec"))
-        stage = work_dir(spark, "silver")
-        out.write.mode("overwrite").parquet(stage)
-        spark.read.schema(out.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("date_key").parquet(silver)
+        put(keyed, f"{bronze}/rows", "date_key")
+
+        def rows_of(path: str, schema) -> DataFrame:
+            return spark.read.schema(schema).parquet(path).drop("batch_id")
+        stored = rows_of(f"{bronze}/rows/batch_id={number}", keyed.schema)
+        named = stored.where("event_id <> ''").select("event_id", "date_key").distinct()
+        put(named, f"{bronze}/days")
+        known = rows_of(f"{bronze}/days", "event_id STRING, date_key STRING")
+        log = rows_of(f"{bronze}/rows", keyed.schema)
+        sharing = known.join(named.select("event_id").distinct(), "event_id", "left_semi").select("date_key")
+        days = materialize(stored.select("date_key").unionByName(sharing).distinct(), "days")
+        ids = known.join(days, "date_key", "left_semi").select("event_id").distinct()
+        reach = known.join(ids, "event_id", "left_semi").select("date_key").unionByName(days).distinct()
+        rows = timeline.dedup_winners(timeline.drop_rejected(log.join(reach, "date_key", "left_semi"))).join(days, "date_key", "left_semi")
+        out = materialize(rows.withColumn("effective_ts", effective_ts("ts_wall", "clock_offset_sec")), "silver")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(silver)
     return write
 
 

@@ -57,3 +57,23 @@ def test_gap_sessions_hold_back_only_the_open_ones(spark):
     stream = spark.readStream.schema(df.schema).parquet(src)
     got = jobs.collect_table(jobs.gap_session_stream(stream, "ts", "user", "60 minutes", "0 seconds"), "gap-out")
     assert sorted(r["n_events"] for r in got.collect()) == [2, 3]
+
+
+def test_repeated_batches_store_their_rows_once(spark):
+    from daybrook.operators import timeline
+    bronze, silver, root = (work_dir(spark, n) for n in ("bronze", "silver", "root"))
+    rows = events(spark, [("NARRATION", {"note": f"n{i % 3}"}) for i in range(12)]).withColumn("n", F.monotonically_increasing_id())
+    rows = rows.withColumn("event_id", F.when(F.pmod("n", F.lit(3)) == 0, F.lit("")).otherwise(F.concat(F.lit("e"), F.pmod("n", F.lit(5)).cast("string"))))
+    rows = rows.drop("n").cache()
+    parts = [rows.where("event_id = '' or event_id < 'e2'"), rows.where("event_id >= 'e1'")]
+    write = jobs.rebuild_days(bronze, silver)
+    for number in (0, 1, 1, 0):
+        write(parts[number], number)
+    whole = timeline.reconcile(parts[0].unionByName(parts[1]))
+    assert spark.read.parquet(silver).count() == whole.count() and spark.read.parquet(silver).where("event_id = ''").count() == 4
+    from daybrook.operators import gate
+    from daybrook.sinks import store
+    gated = gate.gate(rows, ["/w"], passed_at=NOW)
+    for _ in range(2):
+        store.append_events(gated, root, "stream-7")
+    assert store.read_events(spark, root).count() == 12
