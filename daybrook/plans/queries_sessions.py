@@ -118,8 +118,10 @@ def focus_sessions(spark, sf_dir):
     rules = focus.FocusRules(anchor_timeout=1800.0, idle_threshold=1500.0, periodic=14_400.0)
     out = focus.to_events(focus.sessionize(samples, rules))
     p = F.col("payload")
-    return out.select("event_id", "type", "ts_wall", p["anchor"].alias("anchor"), p["mode"].alias("mode"),
-                      p["duration_sec"].alias("duration_sec"), p["intent"]["label"].alias("intent"), p["away_sec"].alias("away_sec"))
+    return out.select(F.col("source.identity").alias("host"), "type", "ts_wall", p["anchor"].alias("anchor"), p["mode"].alias("mode"),
+                      p["duration_sec"].cast("double").alias("duration_sec"), p["ended"].alias("ended"), F.coalesce(p["activity_score"].cast("bigint"), F.lit(-1)).alias("keys"),
+                      F.array_join(F.transform(p["satellites"], lambda x: x["title"]), ",").alias("satellites"),
+                      p["intent"]["label"].alias("intent"), F.coalesce(F.coalesce(p["away_sec"], p["idle_after_sec"]).cast("bigint"), F.lit(-1)).alias("seconds"))
 
 
 def _order_days(spark, sf_dir):

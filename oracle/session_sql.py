@@ -39,7 +39,58 @@ f AS (SELECT project_id, days, list_reduce(list_transform(days, lambda x: struct
 SELECT project_id, unnest(list_transform(days, lambda x: x.k)) AS date_key, unnest(list_transform(days, lambda x: x.t)) AS tokens,
   CAST(unnest(r.u) AS BIGINT) AS unit_no FROM f"""
 
+# The focus rules sample by sample: each step carries what a host's open session holds, and says what it closed.
+_FOCUS = r"""
+WITH RECURSIVE t AS (
+  SELECT 'host' || (user_id % 10) AS host, epoch_us(ts) AS us, event_type || '.py - editor' AS title, CASE WHEN value > 60 THEN value * 20 ELSE 0 END AS quiet,
+    coalesce(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT), 0) AS k,
+    row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+walk AS (
+  SELECT host, 0::BIGINT AS n, NULL::BIGINT AS us, NULL::VARCHAR AS anchor, NULL::BIGINT AS begun, NULL::VARCHAR AS other, NULL::BIGINT AS since,
+    NULL::BIGINT AS away, 0::BIGINT AS keys, 0::BIGINT AS mouse, 0::BIGINT AS saves, []::VARCHAR[] AS aside,
+    NULL::STRUCT(anchor VARCHAR, begun BIGINT, until BIGINT, keys BIGINT, mouse BIGINT, saves BIGINT, aside VARCHAR[]) AS done,
+    NULL::STRUCT(kind VARCHAR, moment BIGINT, seconds DOUBLE) AS rest FROM (SELECT DISTINCT host FROM t)
+  UNION ALL
+  SELECT host, n, us, CASE WHEN goes THEN NULL WHEN takes THEN title WHEN idle THEN anchor ELSE coalesce(anchor, title) END,
+    CASE WHEN goes THEN NULL WHEN idle THEN begun WHEN takes OR cuts OR anchor IS NULL THEN us ELSE begun END,
+    CASE WHEN goes OR takes THEN NULL WHEN idle THEN other WHEN anchor IS NULL THEN other WHEN title = anchor THEN NULL ELSE title END,
+    CASE WHEN idle THEN since WHEN anchor IS NOT NULL AND title <> anchor AND title IS DISTINCT FROM other THEN us ELSE since END,
+    CASE WHEN goes THEN quit WHEN idle THEN away END,
+    CASE WHEN ends THEN 0 ELSE keys END, CASE WHEN ends THEN 0 ELSE mouse END, CASE WHEN ends THEN 0 ELSE saves END, CASE WHEN ends THEN [] ELSE seen END,
+    CASE WHEN ends AND anchor IS NOT NULL THEN {'anchor': anchor, 'begun': begun, 'until': CASE WHEN goes THEN quit ELSE us END,
+      'keys': keys, 'mouse': mouse, 'saves': saves, 'aside': seen} END,
+    CASE WHEN goes THEN {'kind': 'IDLE_START', 'moment': us - CAST(round(quiet * 1000000) AS BIGINT), 'seconds': CAST(quiet AS DOUBLE)}
+         WHEN NOT idle AND away IS NOT NULL THEN {'kind': 'IDLE_END', 'moment': us, 'seconds': (us - away) / 1e6} END
+  FROM (
+    SELECT *, goes OR takes OR cuts AS ends FROM (
+      SELECT w.host, t.n, t.us, t.title, t.quiet, w.anchor, w.begun, w.other, w.since, w.away, t.quiet >= 1500 AS idle,
+        t.quiet >= 1500 AND w.away IS NULL AS goes, t.us - CAST(trunc(t.quiet * 1000000) AS BIGINT) AS quit,
+        w.keys + greatest(t.k, 0) AS keys, w.mouse + greatest(t.k % 7, 0) AS mouse, w.saves + greatest(t.k % 2, 0) AS saves,
+        coalesce(t.quiet < 1500 AND t.title <> w.anchor AND t.title = w.other AND t.us - w.since >= 1800000000, false) AS takes,
+        coalesce(t.quiet < 1500 AND t.us - w.begun >= 14400000000
+          AND NOT coalesce(t.title <> w.anchor AND t.title = w.other AND t.us - w.since >= 1800000000, false), false) AS cuts,
+        CASE WHEN t.quiet < 1500 AND w.anchor IS NOT NULL AND t.title <> w.anchor AND t.title IS DISTINCT FROM w.other
+          THEN list_sort(list_distinct(list_append(w.aside, t.title))) ELSE w.aside END AS seen
+      FROM walk w JOIN t ON t.host = w.host AND t.n = w.n + 1))),
+closed AS (
+  SELECT host, done FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT host, {'anchor': anchor, 'begun': begun, 'until': us, 'keys': keys, 'mouse': mouse, 'saves': saves, 'aside': aside}
+  FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC) AS back FROM walk) WHERE back = 1 AND anchor IS NOT NULL),
+spans AS (SELECT host, done.*, greatest((done.until - done.begun) / 1e6, 0) AS d FROM closed),
+modes AS (SELECT *, CASE WHEN d > 0 AND keys / d >= KPS THEN 'PRODUCING' WHEN saves > 0 OR (mouse >= MOUSE AND d >= DEEP) THEN 'DEEP_WORK' ELSE 'READING' END AS mode
+  FROM spans WHERE d > 0 OR keys + mouse + saves > 0 OR len(aside) > 0)
+SELECT 'host:' || host AS host, CASE WHEN mode = 'DEEP_WORK' THEN mode ELSE 'FOCUS_SESSION' END AS type,
+  strftime(make_timestamp(begun), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS ts_wall, anchor, mode, round_even(d, 1) AS duration_sec,
+  CASE WHEN exists (SELECT 1 FROM walk x WHERE x.host = modes.host AND x.rest.kind = 'IDLE_START' AND x.done.begun = modes.begun AND x.done.until = modes.until)
+    THEN replace(strftime(make_timestamp(until), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') ELSE strftime(make_timestamp(until), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS ended,
+  keys, array_to_string(aside, ',') AS satellites, replace(anchor, ' - editor', '') AS intent, -1::BIGINT AS seconds FROM modes
+UNION ALL SELECT 'host:' || host, rest.kind, CASE rest.kind WHEN 'IDLE_END' THEN strftime(make_timestamp(rest.moment), '%Y-%m-%dT%H:%M:%S.%f')
+    ELSE replace(strftime(make_timestamp(rest.moment), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') END || '+00:00',
+  NULL, NULL, NULL, NULL, -1, NULL, NULL, CAST(round_even(rest.seconds, 0) AS BIGINT) FROM walk WHERE rest IS NOT NULL
+""".replace("KPS", "0.3").replace("MOUSE", "30").replace("DEEP)", "300)")
+
 SQL = {
+    "focus_sessions": _FOCUS,
     "churn_coalesce": q(CHURN, """
 out AS (SELECT path, unnest(list_transform(keep, lambda j: ids[j])) AS event_id FROM kept)
 SELECT o.path, o.event_id, e.ts FROM out o JOIN ev e USING (event_id)"""),
