@@ -73,16 +73,15 @@ walk AS (
           THEN list_sort(list_distinct(list_append(w.aside, t.title))) ELSE w.aside END AS seen
       FROM walk w JOIN t ON t.host = w.host AND t.n = w.n + 1))),
 closed AS (
-  SELECT host, done FROM walk WHERE done IS NOT NULL
-  UNION ALL SELECT host, {'anchor': anchor, 'begun': begun, 'until': us, 'keys': keys, 'mouse': mouse, 'saves': saves, 'aside': aside}
+  SELECT host, done, CASE WHEN rest.kind = 'IDLE_START' THEN rest.moment END AS quiet_at FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT host, {'anchor': anchor, 'begun': begun, 'until': us, 'keys': keys, 'mouse': mouse, 'saves': saves, 'aside': aside}, NULL
   FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC) AS back FROM walk) WHERE back = 1 AND anchor IS NOT NULL),
-spans AS (SELECT host, done.*, greatest((done.until - done.begun) / 1e6, 0) AS d FROM closed),
+spans AS (SELECT host, quiet_at, done.*, greatest((done.until - done.begun) / 1e6, 0) AS d FROM closed),
 modes AS (SELECT *, CASE WHEN d > 0 AND keys / d >= KPS THEN 'PRODUCING' WHEN saves > 0 OR (mouse >= MOUSE AND d >= DEEP) THEN 'DEEP_WORK' ELSE 'READING' END AS mode
   FROM spans WHERE d > 0 OR keys + mouse + saves > 0 OR len(aside) > 0)
 SELECT 'host:' || host AS host, CASE WHEN mode = 'DEEP_WORK' THEN mode ELSE 'FOCUS_SESSION' END AS type,
   strftime(make_timestamp(begun), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS ts_wall, anchor, mode, round_even(d, 1) AS duration_sec,
-  CASE WHEN exists (SELECT 1 FROM walk x WHERE x.host = modes.host AND x.rest.kind = 'IDLE_START' AND x.done.begun = modes.begun AND x.done.until = modes.until)
-    THEN replace(strftime(make_timestamp(until), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') ELSE strftime(make_timestamp(until), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS ended,
+  CASE WHEN quiet_at IS NOT NULL THEN replace(strftime(make_timestamp(quiet_at), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') ELSE strftime(make_timestamp(until), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS ended,
   keys, array_to_string(aside, ',') AS satellites, replace(anchor, ' - editor', '') AS intent, -1::BIGINT AS seconds FROM modes
 UNION ALL SELECT 'host:' || host, rest.kind, CASE rest.kind WHEN 'IDLE_END' THEN strftime(make_timestamp(rest.moment), '%Y-%m-%dT%H:%M:%S.%f')
     ELSE replace(strftime(make_timestamp(rest.moment), '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') END || '+00:00',
