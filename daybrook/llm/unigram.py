@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from daybrook.llm import words
 
 #: Words that a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: What a character outside the vocabulary costs below the worst piece.
 FALLBACK_COST = 10.0
 # No piece has a space after another character, so the best path never crosses the start of a run of spaces.
