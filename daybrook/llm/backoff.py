@@ -49,6 +49,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["block", "doc_ids", "sizes", "n_words", "kinds", "places"])
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending 48-bit keys as differences: five bytes each, and the sixth, mostly zero, deflated at the end."""
+    wide = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, :5]).tobytes() + zlib.compress(wide[:, 5].tobytes(), 1)
+
+
+def _unstepped(raw: bytes, count: int) -> np.ndarray:
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * count).reshape(-1, 5)
+    wide[:, 5] = np.frombuffer(zlib.decompress(raw[5 * count:]), np.uint8)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
 _BLOCK = "block long, doc_ids array<long>, sizes array<int>, n_words long, kinds binary, places binary"
 
 
@@ -81,11 +94,11 @@ def _asked(order: int, bits: int):
             keys, times = _distinct(_grams(row, order)[0])
             table = (keys >> np.uint64(HASH_BITS - bits)).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.diff(table, prepend=-1)), len(table))
-            rest = (keys & np.uint64((1 << (HASH_BITS - bits)) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            rest = keys & np.uint64((1 << (HASH_BITS - bits)) - 1)
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table[cuts[:-1]], pa.int64()), pa.array([row["block"]] * len(spans), pa.int64()),
-                 pa.array([np.ascontiguousarray(rest[a:b]).tobytes() for a, b in spans], pa.binary()),
+                 pa.array([_steps(rest[a:b]) for a, b in spans], pa.binary()),
                  pa.array([_packed(times[a:b]) for a, b in spans], pa.binary())], names=["table", "block", "keys", "times"])
     return asked
 
@@ -93,11 +106,10 @@ def _asked(order: int, bits: int):
 def _answered(group: pa.Table) -> pa.Table:
     """One count table: add up what the blocks sent, and give every block the totals of its keys in their order."""
     columns = group.to_pydict()
-    sizes = [len(keys) // 6 for keys in columns["keys"]]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(columns["keys"]), np.uint8).reshape(-1, 6)
-    times = np.concatenate([_unpacked(raw) for raw in columns["times"]]).astype(np.int64)
-    kinds, place = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    each = [_unpacked(raw).astype(np.int64) for raw in columns["times"]]
+    sizes = [len(own) for own in each]
+    kinds, place = np.unique(np.concatenate([_unstepped(*x) for x in zip(columns["keys"], sizes, strict=True)]), return_inverse=True)
+    times = np.concatenate(each)
     totals = np.bincount(place, weights=times, minlength=len(kinds)).astype(np.int64)[place]
     cuts = np.cumsum([0, *sizes])
     # totals beyond 32 bits travel as a second half
