@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 #: Pieces of a generation; a worker remembers two and drops the older one when the younger is full.
 REMEMBERED = 500_000
+#: New words that are encoded as the lines of one text.
+LINES = 20_000
 
 # A byte-level pattern never joins a space and the visible character after it with what stands before
 # them, so a text may be cut there.  Where the next character might be white space, it is not cut.
@@ -63,6 +65,8 @@ class Encoder:
         plain = all(not (token.get(side)) for token in spec.get("added_tokens", ()) for side in ("lstrip", "rstrip", "single_word"))
         plain = plain and not any(" " in token["content"] for token in spec.get("added_tokens", ()))
         by_piece = plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        line_break = self._encode(["\n"])[0]
+        self._line_break = line_break[0] if len(line_break) == 1 else -1
         self._by_piece = by_piece and spec.get("normalizer") is None and not spec["model"].get("dropout")
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
@@ -75,14 +79,28 @@ class Encoder:
             self._known, self._older = {}, self._known
         known = self._known
         cut = [_keys(text) for text in texts]
-        found = [list(map(known.get, keys)) for keys in cut]
-        fresh = set().union(*(keys for keys, own in zip(cut, found, strict=True) if None in own)) - known.keys()
+        fresh = set().union(*cut).difference(known)
         again = fresh & self._older.keys()
         known.update((key, self._older[key]) for key in again)
-        fresh = list(fresh - again)
-        known.update(zip(fresh, (array(self._code, ids).tobytes() for ids in self._encode([*map(_piece, fresh)])), strict=True))
-        for keys, own in zip(cut, found, strict=True):
-            yield b"".join(own if None not in own else map(known.__getitem__, keys))
+        self._learn(list(fresh - again))
+        for keys in cut:
+            yield b"".join(map(known.__getitem__, keys))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new pieces; words that a line break cannot run into go together, as the lines of one text."""
+        lines = [key for key in fresh if key and "\n" not in key and key.strip() == key]
+        others = [key for key in fresh if not key or "\n" in key or key.strip() != key]
+        for low in range(0, len(lines), LINES):
+            part = lines[low:low + LINES]
+            ids = self._encode([" " + "\n ".join(part)])[0]
+            raw = array(self._code, ids).tobytes()
+            cuts = [place for place, one in enumerate(ids) if one == self._line_break]
+            if len(cuts) != len(part) - 1:
+                others += part
+                continue
+            starts, ends = [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]
+            self._known.update((key, raw[self.width * a:self.width * b]) for key, a, b in zip(part, starts, ends, strict=True))
+        self._known.update(zip(others, (array(self._code, ids).tobytes() for ids in self._encode([*map(_piece, others)])), strict=True))
 
 
 @functools.cache
