@@ -115,3 +115,19 @@ def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents, and a digest of the texts that they decode to."""
     coded = unigram.code(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+SQL["op10_superminhash"] = r"""
+with recursive lists as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from lists),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as i from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as v, doc_id as o from documents union select r.v, e.b from reach r join edges e on e.a = r.o)
+select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(o) as component_id, d.doc_id = min(o) as kept
+from documents d join reach on v = d.doc_id left join sizes using (doc_id) group by d.doc_id
+"""
