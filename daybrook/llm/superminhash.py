@@ -16,6 +16,8 @@ from daybrook.session import materialize
 #: Bands and rows of a band.  A pair at similarity 0.85 meets in no band with probability 3e-7.
 BANDS, ROWS = 32, 6
 RANKS = BANDS * ROWS
+#: Ranks by which two classes of one bucket are judged before their whole sets are: those of two independent signatures.
+MARKS = 2 * RANKS
 _LEVEL = np.uint64(56)
 
 
@@ -89,10 +91,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature = signatures(found, counts)
             keys, at = bands(signature).view(np.int64).ravel(), np.arange(len(counts) + 1, dtype=np.int32)
             with np.errstate(over="ignore"):
-                marks = words.mix(signature + np.arange(RANKS, dtype=np.uint64) * words.WEIGHT[10]).astype(np.uint32).view(np.int32).ravel()
+                second = signatures(words.mix(found ^ words.WEIGHT[11]), counts)
+                marks = np.concatenate([signature, second], axis=1) + np.arange(MARKS, dtype=np.uint64) * words.WEIGHT[10]
+                marks = words.mix(marks).astype(np.uint32).view(np.int32).ravel()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(first, last - first), pa.ListArray.from_arrays(where, pa.array(found.view(np.int64))),
-                 pa.ListArray.from_arrays(at * BANDS, pa.array(keys)), pa.ListArray.from_arrays(at * RANKS, pa.array(marks))],
+                 pa.ListArray.from_arrays(at * BANDS, pa.array(keys)), pa.ListArray.from_arrays(at * MARKS, pa.array(marks))],
                 names=["id", "own", "keys", "marks"])
 
 
@@ -104,7 +108,7 @@ def _alike(one: str | Column, other: str | Column, percent: int) -> Column:
 def _least_marks(percent: int) -> int:
     """Equal ranks that a pair at the similarity falls short of with probability 5e-5 at most (3.9 standard deviations)."""
     share = percent / 100
-    return int(RANKS * (share - 3.9 * (share * (1 - share) / RANKS) ** 0.5))
+    return int(MARKS * (share - 3.9 * (share * (1 - share) / MARKS) ** 0.5))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
