@@ -15,7 +15,7 @@ from daybrook.llm import words
 from daybrook.session import materialize
 
 #: Longest n-gram, and what each step back costs.
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 #: Bytes of text of a block, and distinct n-grams of all blocks that a count table should hold.
 BLOCK_BYTES, TABLE_ENTRIES = 4 << 20, 2_000_000
 #: An n-gram's hash; its top bits name the table, the rest (48 bits at most) is its key there.

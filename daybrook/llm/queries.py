@@ -13,6 +13,9 @@ from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries beside the one of each number, offered before it, and their answers.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+MORE_SQL: dict[str, str] = {}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,10 +33,40 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_groups(_table(spark, sf_dir, "documents"), 85)
 
 
+def op1_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores of all documents against all others, with two steps back."""
+    scores = backoff.backoff_scores(_table(spark, sf_dir, "documents"), 3)
+    return scores.withColumn("log10_score", F.round("log10_score", 4))
+
+
+MORE["op1_backoff_trigrams"] = op1_backoff_trigrams
+MORE_SQL["op1_backoff_trigrams"] = r"""
+with lists as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+words as (select doc_id, unnest(w) as w1, generate_subscripts(w, 1) as i, len(w) as n from lists),
+grams as (select *, lag(w1) over p as w0, lag(w1, 2) over p as w00 from words window p as (partition by doc_id order by i)),
+counted as (
+  select doc_id, n, i, sum(1) over () as corpus,
+         count(*) over (partition by w1) - count(*) over (partition by doc_id, w1) as c1,
+         count(*) over (partition by w0, w1) - count(*) over (partition by doc_id, w0, w1) as c2,
+         count(*) over (partition by w00, w0, w1) - count(*) over (partition by doc_id, w00, w0, w1) as c3 from grams),
+placed as (select *, lag(c1) over p as b1, lag(c2) over p as b2 from counted window p as (partition by doc_id order by i)),
+steps as (
+  select *, case when i > 2 and c3 > 0 then 3 when i > 1 and c2 > 0 then 2 when c1 > 0 then 1 else 0 end as found, least(i, 3) as longest from placed),
+scored as (
+  select doc_id, (found < longest)::int as backed, (longest - found) * log10(0.4::double)
+         + case found when 3 then log10(c3::double) - log10(b2::double) when 2 then log10(c2::double) - log10(b1::double)
+                when 1 then log10(c1::double) - log10(greatest(corpus - n, 1)::double) else -log10(greatest(corpus - n, 1)::double) end as s from steps)
+select d.doc_id, count(s) as n_words, cast(coalesce(sum(backed), 0) as bigint) as n_backed_off, round(coalesce(sum(s), 0), 4) as log10_score
+from documents d left join scored using (doc_id) group by d.doc_id
+"""
+
+
 @_query
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram scores of all documents against all others."""
-    scores = backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+    scores = backoff.backoff_scores(_table(spark, sf_dir, "documents"), 2)
     return scores.withColumn("log10_score", F.round("log10_score", 4))
 
 

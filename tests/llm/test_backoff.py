@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import __spark_entry__
 from daybrook.llm import backoff
 from tests.llm.rows import awkward, documents, sentence
 from tests.llm.test_words import split
@@ -47,5 +48,18 @@ def test_scores_match_brute_force(spark, monkeypatch, order):
     assert all(abs(a[3] - b[3]) < 1e-5 * max(1, abs(b[3])) for a, b in zip(got, want, strict=True))
 
 
+def test_first_registered_query_steps_back_twice(spark, tmp_path):
+    pick = random.Random(9)
+    vocabulary = [sentence(pick, 1) for _ in range(12)]
+    rows = [(i, " ".join(pick.choices(vocabulary, k=pick.randint(1, 40)))) for i in range(40)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    name, query = next(x for x in __spark_entry__.queries().items() if x[0].startswith("op1_"))
+    assert name in __spark_entry__.oracle_sql()
+    got = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["log10_score"]) for r in query(spark, str(tmp_path)).collect()}
+    want = brute([t for _, t in rows], 3)
+    assert [got[i][:2] for i, _ in rows] == [w[:2] for w in want]
+    assert all(abs(got[i][2] - w[2]) < 1e-3 for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_empty_table(spark):
     assert backoff.backoff_scores(documents(spark, [])).collect() == []
