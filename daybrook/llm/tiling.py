@@ -52,6 +52,8 @@ def covered(item: np.ndarray, text: np.ndarray, at: np.ndarray, tile: int = TILE
         longest, matches = 0, set()
         for i, key in zip(*(x.tolist() for x in _windows(item, free_item, place, length)), strict=True):
             for j in seen.get(key, ()):
+                if i and j and free_item[i - 1] and free_text[j - 1] and at[j - 1] == at[j] - 1 and item[i - 1] == text[j - 1]:
+                    continue  # the window before it matches too and stretches as far
                 if not np.array_equal(item[i:i + length], text[j:j + length]):
                     continue
                 a, b, size = i, j, length
@@ -140,16 +142,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """``(doc_id, item_id, covered, item_words)``: documents whose words tile ``coverage`` of a benchmark item or more.
 
     A bit filter over the benchmark's shingles, of a fixed size, picks the places of documents that
-    may match; only their word hashes leave the scan.  They meet the items by shared shingles; a pair
-    that shares too few to reach the coverage is not tiled.  Order does not matter, so passages that
-    are shuffled about are found.  Items with the same words count as the one with the smallest id.
+    may match; only their word hashes leave the scan.  They meet the items by shared shingles, each
+    weighed by how often the item has it; a pair that shares too few to reach the coverage is not
+    tiled.  Order does not matter, so passages that are shuffled about are found.  Items with the same words count as the one with the smallest id.
     Items shorter than a tile match nothing, and rows without an id, text or words leak nothing.
     """
     spark = docs.sparkSession
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = rows.mapInArrow(_items, "item_id long, words array<long>, seeds array<long>").where(F.size("words") >= TILE)
     items = materialize(items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.any_value("seeds").alias("seeds")), "items")
-    seeds = items.select("item_id", F.size("words").alias("item_words"), F.explode(F.array_distinct("seeds")).alias("seed"))
+    seeds = items.select("item_id", F.size("words").alias("item_words"), F.explode("seeds").alias("seed"))
+    seeds = materialize(seeds.groupBy("item_id", "item_words", "seed").agg(F.count("*").alias("times")), "seeds")
     cells = seeds.select((F.col("seed").bitwiseAND(F.lit(bloom.BITS - 1)) + 1).alias("cell"))
     bits = bytearray(bloom.BITS // 8)
     for row in bloom.pages(cells).toLocalIterator():  # at most BITS / 8 bytes, whatever the benchmark's size
@@ -159,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hits = materialize(texts.mapInArrow(_hits(shared), "doc_id long, at array<int>, words array<long>, seeds array<long>"), "hits")
     met = hits.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    pairs = met.groupBy("doc_id", "item_id", "item_words").agg(F.count("*").alias("shared"))
+    pairs = met.groupBy("doc_id", "item_id", "item_words").agg(F.sum("times").alias("shared"))
     pairs = materialize(pairs.where(F.col("shared") * TILE >= F.lit(coverage) * F.col("item_words")), "tile_pairs")
     ready = pairs.join(hits.select("doc_id", "at", "words"), "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
     tiled = ready.select("doc_id", "item_id", "item_words", _tiled("item", "words", "at").alias("covered"))

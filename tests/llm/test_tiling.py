@@ -51,6 +51,15 @@ def test_leaks_in_any_order_and_clean_documents(spark):
     assert got == {(100, 0): (40, 40), (101, 1): (40, 40), (103, 3): (40, 40), (104, 4): (40, 40), (104, 5): (40, 40)}
 
 
+def test_items_that_repeat_themselves(spark):
+    pick = random.Random(8)
+    line, other = sentence(pick, 6), sentence(pick, 6)
+    table = spark.createDataFrame([(0, " ".join([line] * 9)), (1, " ".join(["la"] * 300)), (2, " ".join([line] * 3 + [other] * 6))], "item_id LONG, text STRING")
+    rows = [(1, f"{sentence(pick, 7)} {' '.join([line] * 9)} {sentence(pick, 7)}"), (2, " ".join(["la"] * 300)), (3, " ".join([line] * 4)), (4, line)]
+    got = {(r["doc_id"], r["item_id"]): (r["covered"], r["item_words"]) for r in tiling.leaks(documents(spark, rows), table).collect()}
+    assert got == {(1, 0): (54, 54), (2, 1): (300, 300)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id LONG, text STRING")
