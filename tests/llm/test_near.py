@@ -64,6 +64,21 @@ def test_hub_with_copies_that_only_it_links(spark):
     assert got == brute(rows, 85)
 
 
+def test_pairs_left_apart_are_judged_on_whole_sets(spark):
+    # 1 and 2 share 34 of 40 (0.85), 3 shares 33 of 41 with both; no rank of a signature has a say
+    own = {1: list(range(37)), 2: list(range(34)) + [90, 91, 92], 3: list(range(33)) + [80, 81, 82, 83]}
+    spots = spark.createDataFrame([(h, i, 37, i, [5, 6], v) for h in (5, 6) for i, v in own.items()],
+                                  "h LONG, rep LONG, n LONG, root LONG, keys ARRAY<LONG>, own ARRAY<LONG>")
+    assert [tuple(r) for r in superminhash._apart(spots, 85).collect()] == [(1, 2)]
+    assert {tuple(r) for r in superminhash._apart(spots, 80).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bands_miss_few_pairs_at_the_similarity(percent):
+    count, length = superminhash.shape(percent)
+    assert (1 - (percent / 100) ** length) ** count < 3.1e-7
+
+
 def test_empty_table(spark):
     assert superminhash.near_groups(documents(spark, []), 85).collect() == []
 
