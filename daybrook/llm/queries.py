@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybrook.llm import backoff, exact, html_text, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
+from daybrook.llm import backoff, exact, html_text, prefix_trie, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
 from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,35 @@ reach as (select doc_id as v, doc_id as o from documents union select r.v, e.b f
 select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(o) as component_id, d.doc_id = min(o) as kept
 from documents d join reach on v = d.doc_id left join sizes using (doc_id) group by d.doc_id
 """
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a list of byte values, as SQL.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, {bytes}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+  lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"""
+
+SQL["op13_prefix_trie"] = """
+with lists as (
+  select conv_id, list(one order by turn nulls first, one.k) as own from (
+    select conv_id, turn, {'k': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'n': length(coalesce(text, ''))} as one
+    from conversations where conv_id is not null) group by conv_id),
+shares as (select *, """ + _CRC32.format(bytes="list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)") + """ % 6 as h from lists),
+built as (select a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) as turns from shares a left join lists b on b.conv_id = a.conv_id - a.conv_id % 100),
+steps as (select conv_id, len(turns) as n_turns, unnest(range(0, len(turns) + 1)) as d, turns from built),
+members as (select conv_id, d, n_turns, list_transform(turns[1:d], lambda x: x.k) as node, turns[d].n as chars from steps),
+nodes as (
+  select node, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(coalesce(chars, 0)) as chars,
+         string_agg(conv_id::varchar, ',' order by conv_id) filter (n_turns = d) as ends from members group by node, d),
+families as (select n.*, p.conv_id as parent_conv_id from nodes n left join nodes p on n.d > 0 and p.d = n.d - 1 and p.node = n.node[1:n.d - 1]),
+sizes as (select node[1:d - 1] as node, count(*) as n_children from nodes where d > 0 group by all),
+known as (select f.*, coalesce(s.n_children, 0) as n_children from families f left join sizes s on s.node = f.node),
+above as (select node, d, chars, n_convs, n_children, unnest(range(0, d + 1)) as e from known),
+sums as (select node[1:e] as node, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * chars)::bigint as saved_tokens from above group by all)
+select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from known join sums using (node)
+"""
