@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybrook.llm import backoff, exact, html_text, prefix_trie, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
+from daybrook.llm import backoff, exact, html_text, packing, prefix_trie, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
 from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,9 @@ sums as (select node[1:e] as node, count(*) filter (n_children = 0) as n_leaves,
 select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
 from known join sums using (node)
 """
+
+
+@_query
+def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of four sizes."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), work_dir(spark, "packed"))

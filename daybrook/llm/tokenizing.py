@@ -112,3 +112,72 @@ def encoder(path: str, width: int = 4) -> Encoder:
 def narrowest(path: str, end: int) -> int:
     """Bytes that hold every id of a tokenizer and the id that ends a document."""
     return 2 if max(encoder(path).largest, end) < 1 << 16 else 4
+
+
+#: Steps of a tokenizer file that look at a text word by word: nothing in them reaches across a space.
+_WORDWISE = ("NFC", "Replace", "Lowercase")
+
+
+class WordEncoder:
+    """Ids of texts for a tokenizer that drops white space: words between spaces and line breaks are encoded once."""
+
+    def __init__(self, path: str, width: int):
+        self.width, self._code = width, {2: "H", 4: "I"}[width]
+        self._plain = Encoder(path, width)
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._mark = None
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as file:
+                self._mark = self._marker(json.load(file))
+
+    @staticmethod
+    def _marker(spec: dict) -> tuple[str, int] | None:
+        """A special token that may stand between words, where the file's steps keep words apart."""
+        steps = (spec.get("normalizer") or {}).get("normalizers", ())
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
+        spaces = [step for step in steps if step["type"] == "Replace"]
+        wordwise = all(step["type"] in _WORDWISE for step in steps) and [step["pattern"] for step in spaces] == [{"Regex": "\\s+"}]
+        split = splits[0] if splits else {}
+        wordwise = wordwise and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and not spec["model"].get("dropout")
+        wordwise = wordwise and [step["type"] for step in splits] == ["Split", "ByteLevel"] and "[^\\s" in split["pattern"]["Regex"] and not splits[1]["add_prefix_space"]
+        tokens = spec.get("added_tokens", ())
+        wordwise = wordwise and not any(token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(r"\s", token["content"]) for token in tokens)
+        return next(((token["content"], token["id"]) for token in tokens if token["special"] and not token["normalized"]), None) if wordwise else None
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        if self._mark is None:
+            yield from self._plain(texts)
+            return
+        if len(self._known) > REMEMBERED:
+            self._known, self._older = {}, self._known
+        known = self._known
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        fresh = set().union(*cut).difference(known)
+        again = fresh & self._older.keys()
+        known.update((word, self._older[word]) for word in again)
+        fresh -= again
+        # a full stop or a comma after an ASCII letter is always a token of its own
+        stems = {word[:-1]: word for word in fresh if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha()}
+        self._learn(list((fresh.difference(stems.values()) | stems.keys() | {".", ","}).difference(known)))
+        known.update((word, known[word[:-1]] + known[word[-1]]) for word in fresh.difference(known))
+        for words in cut:
+            yield b"".join(map(known.__getitem__, words))
+
+    def _learn(self, fresh: list[str]) -> None:
+        mark, number = self._mark
+        alone = [word for word in fresh if mark in word]
+        fresh = [word for word in fresh if mark not in word]
+        self._known.update(zip(alone, self._plain(alone), strict=True))
+        for low in range(0, len(fresh), LINES):
+            part = fresh[low:low + LINES]
+            raw = next(self._plain([mark.join(part)]))
+            ids = array(self._code, raw)
+            cuts = [place for place, one in enumerate(ids) if one == number]
+            starts, ends = [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]
+            self._known.update((word, raw[self.width * a:self.width * b]) for word, a, b in zip(part, starts, ends, strict=True))
+
+
+@functools.cache
+def word_encoder(path: str, width: int = 4) -> WordEncoder:
+    return WordEncoder(path, width)
