@@ -22,7 +22,7 @@ def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataF
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranges")
     totals = placed.groupBy("_part").agg(*(F.coalesce(F.sum(f"_add_{name}"), F.lit(0)).alias(name) for name in names)).orderBy("_part").collect()
-    carried = zip(*(accumulate((row[name] for row in totals), initial=0) for name in names), strict=True)
+    carried = zip(*(accumulate([row[name] for row in totals], initial=0) for name in names), strict=True)
     table = [(row["_part"], *carry) for row, carry in zip(totals, carried, strict=False)]
     carry = spark.createDataFrame(table, ", ".join(["_part int", *(f"_carry_{name} bigint" for name in names)]))
     inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
