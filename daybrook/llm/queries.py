@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybrook.llm import backoff, exact, html_text, packing, prefix_trie, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram
+from daybrook.llm import backoff, exact, html_text, packing, prefix_trie, puquality, superminhash, tiling, token_counts, token_files, toxicity, unigram, variants
 from daybrook.session import prepare, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,29 @@ from known join sums using (node)
 def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of four sizes."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), work_dir(spark, "packed"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, and the more frequent words that they may stand for."""
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling_variants"] = """
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (select doc_id, run, count(*) as k, hex(encode(doc_id || ':' || run)) as raw from runs where length(run) >= 6 group by all),
+hashed as (select run, k, """ + _CRC32.format(bytes="list_transform(range(0, length(raw) // 2), lambda i: ('0x' || raw[2 * i + 1:2 * i + 2])::bigint)") + """ as h from counted),
+slipped as (select k, case when h % 199 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word from hashed),
+words as (select word, sum(k)::bigint as n from slipped where length(word) >= 6 group by word having sum(k) >= 5),
+cut as (select word, n, i, word[1:i - 1] || word[i + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+shorter as (select distinct c.word as a, w.word as b from cut c join words w on w.word = c.rest),
+pairs as (
+  select x.word as a, y.word as b from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+  union all select a, b from shorter union all select b, a from shorter),
+near as (select a as word, count(*) as n_near, min({'n': -n, 'w': b}) as best from pairs join words on words.word = b group by a),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -best.n >= 5 * w.n then best.w end as form, case when -best.n >= 5 * w.n then -best.n end as form_n
+  from words w left join near using (word)),
+chain as (select word, word as at, form as next from formed union all select c.word, f.word, f.form from chain c join formed f on f.word = c.next)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n from formed f join chain c on c.word = f.word and c.next is null
+"""
