@@ -105,23 +105,32 @@ def liveness(spark, sf_dir):
     return out.select("source", "status", *_ntz("heartbeat"))
 
 
-def focus_sessions(spark, sf_dir):
+FOCUS_RULES = focus.FocusRules(anchor_timeout=1800.0, idle_threshold=1500.0, periodic=14_400.0)
+
+
+def window_samples(spark, sf_dir):
     """Window samples: the event type is the title, the number the keys; idle after quiet hours."""
     rows = stream_rows(spark, sf_dir)
     none = F.lit(None).cast("string")
-    samples = rows.select(
+    return rows.select(
         "host", "ts", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("ts_wall"),
         F.col("event_id").alias("tick_seq"), F.concat(F.col("event_type"), F.lit(".py - editor")).alias("title"),
         F.lit("Code.exe").alias("process"), F.when(F.col("value") > 60, F.col("value") * 20).otherwise(F.lit(0.0)).alias("idle_seconds"),
         F.col("k").alias("keys"), (F.col("k") % 7).alias("mouse"), (F.col("k") % 2).alias("saves"),
         none.alias("uia_value"), none.alias("cmdline"), none.alias("cwd"), none.alias("saved_artifact"), none.alias("narration"))
-    rules = focus.FocusRules(anchor_timeout=1800.0, idle_threshold=1500.0, periodic=14_400.0)
-    out = focus.to_events(focus.sessionize(samples, rules))
+
+
+def focus_rows(rows):
     p = F.col("payload")
-    return out.select(F.col("source.identity").alias("host"), "type", "ts_wall", p["anchor"].alias("anchor"), p["mode"].alias("mode"),
-                      p["duration_sec"].cast("double").alias("duration_sec"), p["ended"].alias("ended"), F.coalesce(p["activity_score"].cast("bigint"), F.lit(-1)).alias("keys"),
-                      F.array_join(F.transform(p["satellites"], lambda x: x["title"]), ",").alias("satellites"),
-                      p["intent"]["label"].alias("intent"), F.coalesce(F.coalesce(p["away_sec"], p["idle_after_sec"]).cast("bigint"), F.lit(-1)).alias("seconds"))
+    return focus.to_events(rows).select(
+        F.col("source.identity").alias("host"), "type", "ts_wall", p["anchor"].alias("anchor"), p["mode"].alias("mode"),
+        p["duration_sec"].cast("double").alias("duration_sec"), p["ended"].alias("ended"), F.coalesce(p["activity_score"].cast("bigint"), F.lit(-1)).alias("keys"),
+        F.array_join(F.transform(p["satellites"], lambda x: x["title"]), ",").alias("satellites"),
+        p["intent"]["label"].alias("intent"), F.coalesce(F.coalesce(p["away_sec"], p["idle_after_sec"]).cast("bigint"), F.lit(-1)).alias("seconds"))
+
+
+def focus_sessions(spark, sf_dir):
+    return focus_rows(focus.sessionize(window_samples(spark, sf_dir), FOCUS_RULES))
 
 
 def _order_days(spark, sf_dir):
