@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import CHUNK_EVENTS
 from ..functions.core import blank_to_null, est_tokens, has_text, non_null, py_trim, strings
 from ..functions.dates import date_label, period_label
-from ..operators import attribution, ordered
+from ..operators import attribution, ordered, refresh
 from ..operators.digest import digest, review_digest
 from ..operators.rollup import pack_days
 from ..sources.journal import batched_reply
@@ -148,6 +148,11 @@ def entry_prompts(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.select("project_id", "date_key", "chunk_no", "n_events", *_prompt("entry", user))
 
 
+def due_entry_prompts(attributed: DataFrame, changed: DataFrame, registry: DataFrame) -> DataFrame:
+    """Entry prompts of the project days that a refresh wrote again; none where nothing changed."""
+    return entry_prompts(activity_chunks(refresh.day_rows(attributed, changed)), registry)
+
+
 def entry_units(attributed: DataFrame, *, mode: str, budget: int, max_days: int = 7) -> DataFrame:
     """Units of whole days for batched entry calls: ``project_id, unit_no, days, tokens``."""
     packed = pack_days(day_tokens(attributed), mode=mode, budget=budget, max_days=max_days)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, gate, rollup, timeline
-from ..session import materialize, prepare
+from ..operators import attribution, gate, refresh, rollup, timeline
+from ..session import materialize, prepare, work_dir
 from ..sources.registry import names_of
 from .activity import PROJECTS, RUN_TS, activity
 
@@ -172,11 +172,43 @@ def event_chunks(spark, sf_dir):
         F.count("*").alias("n_events"), F.max("event_no").alias("last_no"))
 
 
+def refresh_runs(spark, sf_dir):
+    """What four runs write: everything, nothing, the path of one changed event, and a project day that is gone.
+
+    The prompts that a run asks for are listed with it.
+    """
+    from ..sources import registry
+    from . import prompts
+    root, known = work_dir(spark, "journal"), registry.from_dicts(spark, PROJECTS)
+    rows = materialize(attributed(spark, sf_dir), "attributed")
+    owned = attribution.in_projects(rows)
+    one = owned.where("event_id <> ''").agg(F.min("event_id")).first()[0]
+    gone = owned.where("attribution.project_id = 'cobalt'").agg(F.max("date_key")).first()[0]
+    edited = rows.withColumn("payload", F.when(F.col("event_id") == one, F.col("payload").withField("summary", F.lit("said anew"))).otherwise(F.col("payload")))
+    cut = edited.where(~((F.coalesce("attribution.project_id", F.lit("")) == "cobalt") & F.col("date_key").eqNullSafe(gone)))
+    out = None
+    for run, events in enumerate((rows, rows, edited, cut), 1):
+        changed = materialize(refresh.refresh(events, root), "changed")
+        asked = prompts.due_entry_prompts(events, changed, known).select(
+            "project_id", F.lit("prompt").alias("level"), F.col("date_key").alias("key"), F.concat(F.lit("asks "), F.col("chunk_no").cast("string")).alias("action"))
+        rows_of_run = changed.unionByName(asked).withColumn("run", F.lit(run))
+        out = rows_of_run if out is None else out.unionByName(rows_of_run)
+    return out
+
+
+def week_bodies(spark, sf_dir):
+    """Bodies of all weeks from the stored lines, with a heading and a gap for each project."""
+    root = work_dir(spark, "journal")
+    refresh.refresh(materialize(attributed(spark, sf_dir), "attributed"), root)
+    body = refresh.period_body(refresh.read_periods(spark, root, "week"))
+    return body.groupBy("period_key", "project_id", "part", F.coalesce("date_key", F.lit("")).alias("date_key"), "text").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     time_per_project, reconcile_timeline, dedup_winner, equal_events_stay, lateness_by_host, attribution_methods, attribution_events,
     attribution_ties, gate_outcomes, gated_events, archive_lines, archive_files, archive_document, section_merge,
     period_rollup_week, period_rollup_month, period_fallback, affected_periods, project_fingerprint,
-    incremental_days, done_days, counts_grouping_sets, event_chunks)}
+    incremental_days, done_days, counts_grouping_sets, event_chunks, refresh_runs, week_bodies)}
 
 
 def attribution_by_joins(spark, sf_dir):

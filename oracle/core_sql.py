@@ -94,6 +94,32 @@ SELECT project_id, n AS n_rows, sha256(n || '|' || a || '|' || b || '|' || c ||
 days AS (SELECT DISTINCT project_id, date_key FROM attributed WHERE project_id IS NOT NULL),
 done AS (SELECT DISTINCT project_id, date_key FROM attributed WHERE project_id IS NOT NULL AND type = 'GIT_COMMIT')
 SELECT d.project_id, d.date_key FROM days d ANTI JOIN done o ON d.project_id = o.project_id AND d.date_key = o.date_key"""),
+    "refresh_runs": q(ATTRIBUTED, """
+own AS (SELECT project_id, date_key, event_id FROM attributed WHERE project_id IS NOT NULL),
+one AS (SELECT min(event_id) AS id FROM own WHERE event_id <> ''),
+gone AS (SELECT max(date_key) AS d FROM own WHERE project_id = 'cobalt'),
+days AS (SELECT project_id, date_key, count(*) AS n FROM own GROUP BY ALL),
+touched AS (
+  SELECT 1 AS run, project_id, date_key, n, 'written' AS action FROM days
+  UNION ALL SELECT 3, project_id, date_key, n, 'written' FROM days WHERE (project_id, date_key) IN (SELECT (project_id, date_key) FROM own WHERE event_id = (SELECT id FROM one))
+  UNION ALL SELECT 4, project_id, date_key, n, 'removed' FROM days WHERE project_id = 'cobalt' AND date_key = (SELECT d FROM gone)),
+keys AS (
+  SELECT *, CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN strftime(strptime(date_key, '%Y%m%d'), '%G-W%V') ELSE '0000-W00' END AS wk,
+    CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN substr(date_key, 1, 4) || '-' || substr(date_key, 5, 2) ELSE '0000-00' END AS mo FROM touched),
+left_over AS (SELECT CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN strftime(strptime(date_key, '%Y%m%d'), '%G-W%V') ELSE '0000-W00' END AS wk,
+    CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN substr(date_key, 1, 4) || '-' || substr(date_key, 5, 2) ELSE '0000-00' END AS mo
+  FROM days WHERE project_id = 'cobalt' AND date_key <> (SELECT d FROM gone))
+SELECT run, project_id, 'day' AS level, date_key AS key, action FROM keys
+UNION SELECT run, project_id, 'week', wk, CASE WHEN run = 4 AND wk NOT IN (SELECT wk FROM left_over) THEN 'removed' ELSE 'written' END FROM keys
+UNION SELECT run, project_id, 'month', mo, CASE WHEN run = 4 AND mo NOT IN (SELECT mo FROM left_over) THEN 'removed' ELSE 'written' END FROM keys
+UNION SELECT run, project_id, 'project', '', CASE WHEN run = 4 AND NOT EXISTS (SELECT 1 FROM left_over) THEN 'removed' ELSE 'written' END FROM keys
+UNION SELECT run, project_id, 'prompt', date_key, 'asks ' || unnest(range(0, CAST(ceil(n / 150) AS BIGINT))) FROM keys WHERE action = 'written'"""),
+    "week_bodies": q(ARCHIVE, """
+wk AS (SELECT CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN strftime(strptime(date_key, '%Y%m%d'), '%G-W%V') ELSE '0000-W00' END AS period_key, * FROM lines),
+heads AS (SELECT DISTINCT period_key, project_id FROM wk)
+SELECT period_key, project_id, 1 AS part, date_key, text, count(*) AS n FROM wk GROUP BY ALL
+UNION ALL SELECT period_key, project_id, 0, '', '## ' || project_id, 1 FROM heads
+UNION ALL SELECT period_key, project_id, 2, '', '', 1 FROM heads"""),
     "done_days": q(ATTRIBUTED, """
 SELECT project_id, string_agg(DISTINCT date_key, ',' ORDER BY date_key) AS synth_days FROM attributed WHERE project_id IS NOT NULL GROUP BY project_id"""),
     "counts_grouping_sets": q(GATED, """
