@@ -1,8 +1,8 @@
 """Which project an event belongs to, by explainable rules.
 
-The registry is a small table.  Up to ``MAX_INLINE_RULES`` rules it travels inside the plan
-as one literal and every event is scored where it lies: no shuffle, no row explosion.  A
-larger registry goes through ``operators.rulejoin`` (equi-joins on extracted keys).
+A registry given as a list travels inside the plan as one literal and every event is scored
+where it lies: no shuffle, no row explosion.  A registry given as a table, of any size, goes
+through ``operators.rulejoin``; the answers are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from ..constants import (
 from ..functions.core import bind, blank_to_null, has_text, once, strings
 from ..functions.paths import canonical
 
-MAX_INLINE_RULES = 5000
 _HOME = [(re.compile(r"(?i)\b[A-Za-z]:[\\/]Users[\\/][^\\/]+"), "~"),
          (re.compile(r"(?i)/home/[^/]+|/Users/[^/]+"), "~")]
 RULES = ("pid STRING, roots ARRAY<STRING>, remotes ARRAY<STRING>, tickets ARRAY<STRING>, "
@@ -56,10 +55,6 @@ def rule_rows(projects: list[dict]) -> list[dict]:
     return rows
 
 
-def rule_count(projects: list[dict]) -> int:
-    return sum(len(v) for r in rule_rows(projects) for v in r.values() if isinstance(v, list))
-
-
 def _java_regex(pattern: str) -> str | None:
     """A title pattern usable by Spark, or null; Python's group names are rewritten."""
     try:
@@ -207,9 +202,12 @@ def with_match(events: DataFrame, projects: list[dict]) -> DataFrame:
     return once(events, match=match(projects))
 
 
-def attribute(events: DataFrame, projects: list[dict]) -> DataFrame:
-    """Fill ``attribution``; what no rule settles is marked for review, nothing is dropped."""
-    if rule_count(projects) > MAX_INLINE_RULES:
+def attribute(events: DataFrame, projects: list[dict] | DataFrame) -> DataFrame:
+    """Fill ``attribution``; what no rule settles is marked for review, nothing is dropped.
+
+    ``projects`` is a list of projects, or the registry table.
+    """
+    if isinstance(projects, DataFrame):
         from .rulejoin import with_match_joined
         scored = with_match_joined(events, projects)
     else:

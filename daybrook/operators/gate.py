@@ -15,10 +15,8 @@ from ..functions.core import bind, has_text, non_null, once, strings
 from ..functions.paths import ancestors, lexical
 from ..functions.secrets import ANY_SECRET, clipboard_preview, clipboard_summary, scrub
 from ..model import EVENT, PAYLOAD_TYPE
-from ..session import rows_within
 from .diffs import BODY, DIFFSTAT, PREVIEW, CapturePolicy, capture_diff
 
-MAX_INLINE_ROOTS = 1000
 _ANY = "|".join(("(?:" + WINDOWS_HOME + ")", "(?:" + POSIX_HOME + ")", ANY_SECRET))
 
 
@@ -61,17 +59,13 @@ def allowed_paths(paths: DataFrame, roots: DataFrame, ignore_case: bool = False)
 
 
 def with_allowed(events: DataFrame, roots, ignore_case: bool = False) -> DataFrame:
-    """Add ``_allowed``.  ``roots`` is a list, or a DataFrame with a ``root`` column."""
+    """Add ``_allowed``.  ``roots`` is a list that travels in the plan, or a table with a ``root`` column, of any size."""
     path = gated_path()
     if isinstance(roots, DataFrame):
-        rows = rows_within(roots.select("root").distinct(), MAX_INLINE_ROOTS)
-        if rows is None:
-            keyed = events.withColumn("_path", path)
-            ok = allowed_paths(keyed.where(has_text("_path")).select(F.col("_path").alias("path")), roots, ignore_case)
-            ok = ok.select(F.col("path").alias("_path"), F.lit(True).alias("_ok"))
-            return keyed.join(ok, "_path", "left").withColumn(
-                "_allowed", F.coalesce("_ok", F.lit(False))).drop("_path", "_ok")
-        roots = [r["root"] for r in rows]
+        keyed = events.withColumn("_path", path)
+        ok = allowed_paths(keyed.where(has_text("_path")).select(F.col("_path").alias("path")), roots, ignore_case)
+        ok = ok.select(F.col("path").alias("_path"), F.lit(True).alias("_ok"))
+        return keyed.join(ok, "_path", "left").withColumn("_allowed", F.coalesce("_ok", F.lit(False))).drop("_path", "_ok")
     return events.withColumn("_allowed", F.coalesce(inline_allowed(path, list(roots), ignore_case), F.lit(False)))
 
 

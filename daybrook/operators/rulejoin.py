@@ -1,95 +1,86 @@
-"""Attribution against a registry too large to travel inside the plan.
+"""Attribution against a registry of any size: rules are a table from end to end.
 
-Signals are unfolded to lookup keys and met with the rules by equi-joins: folders above a
-path, ticket prefixes, processes, and for text rules one three-letter piece of the rule's
-text, checked in full after the join.  The answers equal ``attribution.match``.
+Folders above a path, ticket prefixes and processes meet the rules by equi-joins; names, domains and
+keywords are found in the text by automata over the rule table, title patterns by the texts that
+they require (``operators.patterns``).  The answers equal ``attribution.match``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ASSIGN_THRESHOLD, KEYWORD_BASE, KEYWORD_CAP, KEYWORD_STEP, SIGNAL_SCORES
-from ..functions.core import once, strings
+from ..functions.core import once
 from ..functions.paths import ancestors
-from .attribution import active_projects, rule_rows, signals, title_patterns
+from ..session import materialize
+from . import patterns
+from .attribution import signals
 
-GRAM = 3
-TEXT_KINDS = {"remotes": "signal_git", "domains": "signal_domain", "keywords": "signal_keyword"}
+TEXT_KINDS = {"git_remotes": "signal_git", "domains": "signal_domain", "keywords": "signal_keyword"}
+_PLAIN = "^[a-z0-9_]+$"
 
 
-def _rule_table(spark, projects: list[dict]) -> tuple[DataFrame, list[int]]:
-    """``pid, kind, value, key`` and the piece lengths in use.
+def _registry_rows(spark, projects: DataFrame | list[dict]) -> DataFrame:
+    """``pid, field, value`` of the active projects' signals."""
+    from ..sources import registry
+    rows = registry.from_dicts(spark, projects) if isinstance(projects, list) else projects
+    live = rows.where(F.coalesce("status", F.lit("active")) == "active")
+    return registry.signal_rows(live).where("value is not null").select(F.col("project_id").alias("pid"), F.col("kind").alias("field"), "value")
+
+
+def rule_table(rows: DataFrame) -> DataFrame:
+    """``pid, kind, value, entries`` of the rules that are plain text; equal list entries are counted."""
+    field, low = F.col("field"), F.lower("value")
+    tilde = F.regexp_replace(F.regexp_replace("value", r"(?i)\b[A-Za-z]:[\\/]Users[\\/][^\\/]+", "~"), "(?i)/home/[^/]+|/Users/[^/]+", "~")
+    root = F.regexp_replace(F.lower(F.translate(tilde, "\\", "/")), "/+$", "")
+    kind = F.when((field == "paths") & (root != ""), "signal_path").when((field == "jira_prefixes") & low.rlike(_PLAIN), "signal_jira").when(field == "apps", "signal_app") \
+        .when((field == "git_remotes") & (low != ""), "signal_git").when((field == "domains") & (low != ""), "signal_domain").when(field == "keywords", "signal_keyword")
+    value = F.when(field == "paths", root).otherwise(low)
+    return rows.select("pid", kind.alias("kind"), value.alias("value")).where("kind is not null").groupBy("pid", "kind", "value").agg(F.count("*").alias("entries"))
 
-    A text rule is keyed by its piece that the fewest rules share, so common pieces do not
-    gather candidates.
-    """
-    rows = rule_rows(projects)
-    texts = [v for r in rows for k in TEXT_KINDS for v in r[k]]
-    shared = Counter(g for v in set(texts) for g in {v[i:i + GRAM] for i in range(max(1, len(v) - GRAM + 1))})
-    out, lengths = [], set()
-    for r in rows:
-        for root in r["roots"]:
-            out.append((r["pid"], "signal_path", root, "path:" + root.rstrip("/")))
-        out += [(r["pid"], "signal_jira", t, "ticket:" + t) for t in r["tickets"]]
-        out += [(r["pid"], "signal_app", a, "app:" + a) for a in r["apps"]]
-        for field, method in TEXT_KINDS.items():
-            for ord_, v in enumerate(r[field]):
-                pieces = [v[i:i + GRAM] for i in range(max(1, len(v) - GRAM + 1))]
-                piece = min(pieces, key=lambda g: (shared[g], g))
-                lengths.add(len(piece))
-                # Keyword hits count list entries, so equal entries stay apart.
-                out.append((r["pid"], method, v, "text:" + piece if piece else "any"))
-                if method == "signal_keyword":
-                    out.append((r["pid"], "signal_note", v, "text:" + piece if piece else "any"))
-    rules = spark.createDataFrame(out, "pid STRING, kind STRING, value STRING, key STRING")
-    return rules.groupBy("pid", "kind", "value", "key").agg(F.count("*").alias("entries")), sorted(lengths)
-
-
-def _keys(s: Column, lengths: list[int]) -> Column:
-    """Every lookup key of a signal record."""
-    def tagged(tag: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(tag), v))
 
+def regex_rules(rows: DataFrame) -> DataFrame:
+    """``rule, pattern`` of the rules that only an expression can say; a rule is ``kind/project``."""
+    quoted = F.regexp_replace("value", r"([\\.^$|?*+(){}\[\]\-])", r"\\$1")
+    ticket = (F.col("field") == "jira_prefixes") & (F.col("value") != "") & ~F.col("value").rlike("^[A-Za-z0-9_]+$")
+    pattern = F.when(F.col("field") == "window_patterns", F.col("value")).when(ticket, F.concat(F.lit(r"\b"), quoted, F.lit(r"-\d+\b")))
+    kind = F.when(F.col("field") == "window_patterns", "signal_pattern").otherwise("signal_jira")
+    return rows.select(F.concat_ws("/", kind, F.col("pid")).alias("rule"), pattern.alias("pattern")).where("pattern <> ''").distinct()
+
+
+def _keys(s: Column) -> Column:
+    """The lookup keys of a signal record: folders, ticket prefixes and processes."""
+    def tagged(tag: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(tag).alias("kind"), v.alias("value")))
     folders = F.flatten(F.transform(s["paths"], lambda p: ancestors(F.regexp_replace(p, "/+$", ""))))
     tickets = F.transform(F.regexp_extract_all(s["titles"], F.lit(r"\b([A-Za-z0-9_]+)(?=-\d+\b)"), F.lit(1)), lambda t: F.lower(t))
-    parts = [tagged("path:", folders), tagged("ticket:", tickets), tagged("app:", s["procs"]), F.array(F.lit("any"))]
-    def pieces(n: int) -> Column:
-        last = F.length(s["blob"]) - n + 1
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s["blob"], i, F.lit(n)))
-        return F.when(last >= 1, cut).otherwise(strings([]))
-
-    parts += [tagged("text:", pieces(n)) for n in lengths if n > 0]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(tagged("signal_path", folders), tagged("signal_jira", tickets), tagged("signal_app", s["procs"])))
 
 
-def with_match_joined(events: DataFrame, projects: list[dict]) -> DataFrame:
-    """Add ``match`` as ``attribution.with_match`` does.
+def with_match_joined(events: DataFrame, projects: DataFrame | list[dict]) -> DataFrame:
+    """Add ``match`` as ``attribution.with_match`` does; ``projects`` is the registry table, or a list.
 
     The verdict depends on the signals alone, so equal signals are scored once and the
     verdict is joined back by their hash.
     """
-    live = active_projects(projects)
-    spark = events.sparkSession
-    rules, lengths = _rule_table(spark, live)
+    rows = materialize(_registry_rows(events.sparkSession, projects), "signals")
+    rules = materialize(rule_table(rows), "rules")
     marked = once(events, _s=signals())
-    marked = once(marked, _h=F.sha2(F.to_json("_s"), 256))
-    distinct = marked.groupBy("_h").agg(F.first("_s").alias("_s"))
-    looked = distinct.select("_h", "_s", F.explode(_keys(F.col("_s"), lengths)).alias("key"))
-    met = looked.join(rules, "key")
-    s, kind, value = F.col("_s"), F.col("kind"), F.col("value")
-    ok = F.when(kind == "signal_note", (s["note"] != "") & F.contains(s["note"], value)) \
-        .when(kind.isin(list(TEXT_KINDS.values())), F.contains(s["blob"], value)).otherwise(F.lit(True))
-    hits = once(met, _ok=ok).where("_ok").select("_h", "pid", "kind", "value", "entries").distinct()
-    regexes = title_patterns(live)
-    if regexes:
-        tests = [F.when(s["titles"].rlike(rx), F.struct(F.lit(pid).alias("pid"), F.lit(
-            "signal_pattern" if k == "pattern" else "signal_jira").alias("kind"))) for k, pid, rx in regexes]
-        found = distinct.select("_h", F.explode(F.filter(F.array(*tests), lambda v: v.isNotNull())).alias("x"))
-        hits = hits.unionByName(found.select("_h", "x.pid", "x.kind", F.lit("").alias("value"), F.lit(1).cast("bigint").alias("entries")).distinct())
+    marked = materialize(once(marked, _h=F.sha2(F.to_json("_s"), 256)), "marked")
+    distinct = materialize(marked.groupBy("_h").agg(F.first("_s").alias("_s")), "distinct-signals")
+    looked = distinct.select("_h", F.explode(_keys(F.col("_s"))).alias("k")).select("_h", "k.kind", "k.value")
+    met = looked.join(rules, ["kind", "value"]).select("_h", "pid", "kind", "value", "entries")
+    texts = rules.where(F.col("kind").isin(list(TEXT_KINDS.values())))
+    inside = patterns.contains_join(distinct.select("_h", F.col("_s.blob").alias("text")), texts.select(F.col("value").alias("pattern")), key="_h")
+    inside = inside.join(texts, inside["pattern"] == texts["value"]).select("_h", "pid", "kind", "value", "entries")
+    # what a note says is part of the text, so notes are looked up among its finds
+    notes = distinct.where("_s.note <> ''").select("_h", F.col("_s.note").alias("note"))
+    noted = inside.where("kind = 'signal_keyword'").join(notes, "_h").where(F.contains("note", F.col("value"))).select("_h", "pid", F.lit("signal_note").alias("kind"), "value", "entries")
+    found = patterns.regex_join(distinct.select("_h", F.col("_s.titles").alias("text")), regex_rules(rows), key="_h")
+    named = found.select("_h", F.regexp_replace("rule", "^[^/]*/", "").alias("pid"), F.substring_index("rule", "/", 1).alias("kind"), F.lit("").alias("value"), F.lit(1).cast("bigint").alias("entries"))
+    hits = met.unionByName(inside).unionByName(noted).unionByName(named)
+    kind = F.col("kind")
     flat = F.lit(0.0)
     for name, value_ in SIGNAL_SCORES.items():
         flat = F.when(kind == name, F.lit(value_)).otherwise(flat)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import attribution, gate, refresh, rollup, timeline
 from ..session import materialize, prepare, work_dir
 from ..sources.registry import names_of
-from .activity import PROJECTS, RUN_TS, activity
+from .activity import PROJECTS, RUN_TS, activity, table
 
 ROOTS = ["/home/dev/code", "/home/u7/code/p3/", "C:\\Users\\dev\\code"]
 
@@ -220,3 +220,33 @@ def attribution_by_joins(spark, sf_dir):
 
 
 QUERIES["attribution_by_joins"] = attribution_by_joins
+
+
+def rules_in_pages(spark, sf_dir):
+    """A hundred rules a part and some a customer, looked up in every page: pages and first page per rule."""
+    from ..operators import patterns
+    prepare(spark)
+    part = table(spark, sf_dir, "part").select("p_name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.col("p_partkey") * 100 + i)).alias("n"))
+    rules = part.select(F.concat(F.when(F.col("n") % 3 == 0, "/").when(F.col("n") % 3 == 1, " ").otherwise(">"), F.col("n").cast("string")).alias("pattern"))
+    customers = table(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_name"), F.concat(F.lit("id"), F.col("c_custkey").cast("string")))).alias("pattern"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    every = rules.unionByName(customers).unionByName(part.select(F.col("p_name").alias("pattern")))
+    met = patterns.contains_join(pages, every, key="page_id")
+    return met.groupBy("pattern").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+def expressions_in_urls(spark, sf_dir):
+    """Five title expressions a part, looked up in every page address."""
+    from ..operators import patterns
+    prepare(spark)
+    k = F.col("p_partkey")
+    forms = [F.concat(F.lit("/en/"), k.cast("string"), F.lit("(?:#top|/|$)")), F.concat(F.lit("ref=x.*"), k.cast("string"), F.lit("|page=2.{0,3}"), k.cast("string")),
+             F.concat(F.lit("BLOG\\.[a-z]+(?:ou|an)\\.example.*/"), k.cast("string"), F.lit("\\b")), F.concat(F.lit("[a-z]{3}/"), k.cast("string"), F.lit("\\.html")),
+             F.concat(F.lit("(?P<lang>fr|de)/0*"), k.cast("string"), F.lit("[?/]"))]
+    rules = table(spark, sf_dir, "part").select(F.posexplode(F.array(*forms)).alias("i", "pattern"), k.cast("string").alias("p"))
+    rules = rules.select(F.concat_ws("/", "p", F.col("i").cast("string")).alias("rule"), "pattern")
+    urls = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
+    return patterns.regex_join(urls, rules, key="page_id")
+
+
+QUERIES |= {f.__name__: f for f in (rules_in_pages, expressions_in_urls)}

@@ -23,7 +23,6 @@ PROJECT = T.StructType([
     T.StructField("signals", T.StructType([T.StructField(s, _TEXTS) for s in SIGNALS])),
     T.StructField("synthesis", T.StructType([T.StructField("day", T.StringType())])),
 ])
-MAX_PROJECTS = 50_000
 
 
 def read_registry(spark: SparkSession, path: str, template: list[dict] | None = None) -> DataFrame:
@@ -45,11 +44,8 @@ def from_dicts(spark: SparkSession, projects: list[dict]) -> DataFrame:
 
 
 def to_dicts(registry: DataFrame) -> list[dict]:
-    """The registry on the driver; it is a small table by nature and the size is checked."""
-    rows = registry.take(MAX_PROJECTS + 1)
-    if len(rows) > MAX_PROJECTS:
-        raise ValueError(f"more than {MAX_PROJECTS} projects; score them with operators.rulejoin")
-    return [r.asDict(recursive=True) for r in rows]
+    """The registry as a list on the driver, for a registry that is kept by hand; every operator takes the table as well."""
+    return [r.asDict(recursive=True) for r in registry.toLocalIterator()]
 
 
 def names_of(spark: SparkSession, projects: list[dict]) -> DataFrame:

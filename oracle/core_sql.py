@@ -132,4 +132,12 @@ n AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY ts_
 SELECT project_id, CAST((event_no - 1) // 150 AS BIGINT) AS chunk_no, count(*) AS n_events, max(event_no) AS last_no FROM n GROUP BY ALL"""),
     "attribution_by_joins": q(ATTRIBUTED, """
 SELECT arrival_seq, CASE WHEN len(best) = 1 THEN best[1] END AS project_id, round(CAST(top AS DOUBLE), 4) AS score FROM attributed WHERE top > 0"""),
+    "rules_in_pages": """
+WITH n AS (SELECT p_partkey * 100 + unnest(range(100)) AS n FROM part),
+rules AS (SELECT CASE n % 3 WHEN 0 THEN '/' WHEN 1 THEN ' ' ELSE '>' END || n AS pattern FROM n UNION SELECT c_name FROM customer UNION SELECT 'id' || c_custkey FROM customer UNION SELECT p_name FROM part)
+SELECT pattern, count(*) AS n_pages, min(page_id) AS first_page FROM rules JOIN pages ON contains(html, pattern) GROUP BY pattern""",
+    "expressions_in_urls": r"""
+WITH forms AS (SELECT p_partkey AS k, unnest(['/en/' || p_partkey || '(?:#top|/|$)', 'ref=x.*' || p_partkey || '|page=2.{0,3}' || p_partkey,
+  'BLOG\.[a-z]+(?:ou|an)\.example.*/' || p_partkey || '\b', '[a-z]{3}/' || p_partkey || '\.html', '(?P<lang>fr|de)/0*' || p_partkey || '[?/]']) AS pattern, unnest(range(5)) AS i FROM part)
+SELECT page_id, k || '/' || i AS rule FROM forms JOIN pages ON regexp_matches(url, pattern, 'i')""",
 }

@@ -31,11 +31,10 @@ def test_allowlist_and_clipboard(spark):
     assert got[1]["payload"] is None and got[1]["privacy"] is None and got[5]["payload"] is None
 
 
-def test_roots_as_a_table_give_the_same(spark, monkeypatch):
+def test_roots_as_a_table_give_the_same(spark):
     rows = [("FILE_CHANGE", {"path": p}) for p in ("/w/a.py", "/w", "/wx/a", "/v/b/c", "/v", "C:\\dev\\x")]
     roots = ["/w/", "/v/b", "C:/dev"]
     inline = [r["drop_reason"] for _, r in sorted(run(spark, rows, roots).items())]
-    monkeypatch.setattr(gate, "MAX_INLINE_ROOTS", 1)
     table = spark.createDataFrame([(r,) for r in roots], "root STRING")
     joined = gate.gate(events(spark, rows), table, passed_at=NOW).orderBy("event_id").collect()
     assert [r["drop_reason"] for r in joined] == inline == [None, None, "not_in_allowlist", None, "not_in_allowlist", None]
