@@ -14,7 +14,7 @@ from ..functions.core import blank_to_null, has_text, strings, to_int
 from ..functions.dates import date_label, hhmm, period_key, span_days
 from ..functions.paths import basename
 from ..model import EVENT
-from . import ordered
+from . import numbering
 from .attribution import in_projects
 
 # Sort columns of a line inside its (project, day).
@@ -148,9 +148,8 @@ def archive_lines(attributed: DataFrame, *, frame: bool = False) -> DataFrame:
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line_no`` inside the project day; big days are numbered in parallel."""
-    bucket = F.struct("section_no", "o_class", F.substring("o_ts", 1, 13).alias("hour"))
-    return ordered.numbered(lines, ["project_id", "date_key"], bucket, [F.col(c) for c in PLACE], "line_no")
+    """Add ``line_no`` inside the project day; a day of any size is numbered in parallel."""
+    return numbering.within(lines, ["project_id", "date_key"], [F.col(c) for c in (*PLACE, "text")], "line_no")
 
 
 def document_lines(attributed: DataFrame) -> DataFrame:
@@ -335,5 +334,5 @@ def with_chunks(attributed: DataFrame, size: int = CHUNK_EVENTS) -> DataFrame:
     rows = _owned(attributed)
     order = [F.col("ts_wall"), F.col("effective_ts").isNull(), F.col("effective_ts"),
              F.coalesce("recv_ts", F.lit("")), F.coalesce("event_id", F.lit(""))]
-    n = ordered.numbered(rows, ["project_id"], F.substring("ts_wall", 1, 13), order, "event_no")
+    n = numbering.within(rows, ["project_id"], order, "event_no")
     return n.withColumn("chunk_no", F.floor((F.col("event_no") - 1) / size).cast("bigint"))

@@ -27,7 +27,8 @@ def drop_rejected(events: DataFrame) -> DataFrame:
 def dedup_winners(events: DataFrame) -> DataFrame:
     """One row per event id: most trusted, then earliest received, then first to arrive.
 
-    A row without an id is an event of its own and stays: its key is private to the row.
+    A row without an id is an event of its own and stays: equal rows meet under a hash of all they
+    say, are counted, and unfold again.  No key depends on the task that made it.
 
     Written as an aggregate and not as a ranking window: every task first keeps one row per
     id, so an id repeated a billion times reaches the shuffle once per task.  Arrival order
@@ -40,10 +41,11 @@ def dedup_winners(events: DataFrame) -> DataFrame:
     preference = F.struct(
         (-trust_rank(F.col("trust"))).alias("rank"), (recv == "").alias("no_receipt"),
         recv.alias("receipt"), arrival.alias("arrival"))
-    named = F.when(has_text("event_id"), F.struct(F.col("event_id").alias("id"), F.lit(-1).cast("bigint").alias("row")))
-    own = F.struct(F.lit("").alias("id"), F.monotonically_increasing_id().alias("row"))
-    keyed = events.withColumn("_key", F.coalesce(named, own))
-    return keyed.groupBy("_key").agg(F.min_by(F.struct(*columns), preference).alias("_row")).select("_row.*")
+    said = F.sha2(F.to_json(F.struct(*columns)), 256)
+    key = F.struct(has_text("event_id").alias("named"), F.when(has_text("event_id"), F.col("event_id")).otherwise(said).alias("id"))
+    kept = events.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*columns), preference).alias("_row"), F.count("*").alias("_n"))
+    copies = F.when(F.col("_key.named"), F.lit(1)).otherwise(F.col("_n").cast("int"))
+    return kept.select("_row", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
 
 
 def timeline_order() -> list[Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import CHUNK_EVENTS
 from ..functions.core import blank_to_null, est_tokens, has_text, non_null, py_trim, strings
 from ..functions.dates import date_label, period_label
-from ..operators import attribution, ordered, refresh
+from ..operators import attribution, numbering, refresh
 from ..operators.digest import digest, review_digest
 from ..operators.rollup import pack_days
 from ..sources.journal import batched_reply
@@ -64,9 +64,9 @@ def categorize_prompts(attributed: DataFrame, projects: list[dict], batch: int =
 
 def review_index(attributed: DataFrame, batch: int = CHUNK_EVENTS) -> DataFrame:
     """Review queue with ``batch_no`` and ``idx`` (from 0)."""
-    queue = attribution.residue(attributed).withColumn("_all", F.lit(0))
-    order = [F.col("ts_wall"), F.coalesce("recv_ts", F.lit("")), F.coalesce("event_id", F.lit("")), F.sha2(F.to_json(F.struct(*attributed.columns)), 256)]
-    numbered = ordered.numbered(queue, ["_all"], F.substring("ts_wall", 1, 16), order, "_n").drop("_all")
+    queue = attribution.residue(attributed).withColumn("_said", F.sha2(F.to_json(F.struct(*attributed.columns)), 256))
+    order = [F.col("ts_wall"), F.coalesce("recv_ts", F.lit("")), F.coalesce("event_id", F.lit("")), F.col("_said")]
+    numbered = numbering.numbered(queue, order, "_n").drop("_said")
     at = F.col("_n") - 1
     return numbered.withColumn("batch_no", F.floor(at / batch).cast("bigint")).withColumn("idx", (at % batch).cast("int")).drop("_n")
 
@@ -132,9 +132,9 @@ def activity_chunks(attributed: DataFrame, size: int = CHUNK_EVENTS) -> DataFram
     """
     rows = digests(attributed)
     order = [F.col(c) for c in ("ts_wall",)] + [F.col("effective_ts").isNull(), *[F.col(c) for c in ("effective_ts", "recv_ts", "event_id")]]
-    n = ordered.numbered(rows, ["project_id", "date_key"], F.substring("ts_wall", 1, 13), order, "_n")
-    chunked = n.withColumn("chunk_no", F.floor((F.col("_n") - 1) / size).cast("bigint"))
-    item = F.struct("_n", "digest")
+    n = numbering.within(rows, ["project_id", "date_key"], order, "_no")
+    chunked = n.withColumn("chunk_no", F.floor((F.col("_no") - 1) / size).cast("bigint"))
+    item = F.struct("_no", "digest")
     spoken = F.filter(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["digest"]), lambda t: t != "")
     return chunked.groupBy("project_id", "date_key", "chunk_no").agg(
         F.count("*").alias("n_events"), F.array_join(spoken, "\n\n").alias("block"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import blank_to_null, bind, splitlines
 from ..functions.dates import duration_text, hhmm
 from ..functions.text import body_without_title, chat_markup, excerpt
+from ..operators import numbering
 from ..operators.digest import timeline_text
 from ..operators.timeline import timeline_order
+from ..session import materialize
 
 WEEK_SECTIONS = 7
 
@@ -17,8 +19,8 @@ WEEK_SECTIONS = 7
 def sections(daily: DataFrame) -> DataFrame:
     """Daily rows with ``section_no``: the newest run is 1.  One row per run in the window."""
     runs = daily.select("run_date", "run_seq").distinct()
-    n = F.row_number().over(Window.orderBy(F.desc("run_seq"), F.desc("run_date")))
-    return daily.join(runs.withColumn("section_no", n), ["run_date", "run_seq"])
+    placed = numbering.numbered(runs, [F.desc("run_seq"), F.desc("run_date")], "section_no")
+    return daily.join(placed.withColumn("section_no", F.col("section_no").cast("int")), ["run_date", "run_seq"])
 
 
 def select_sections(numbered: DataFrame, *, date: str | None = None, rollup: bool = False) -> DataFrame:
@@ -97,8 +99,9 @@ def timeline_table(reconciled: DataFrame) -> DataFrame:
 
 def with_bars(times: DataFrame, width: int = 360) -> DataFrame:
     """Share of the busiest project; the input has one row per project."""
-    top = F.max("seconds").over(Window.partitionBy(F.lit(0)))
-    share = F.col("seconds") / F.greatest(top, F.lit(1))
+    times = materialize(times, "times")
+    top = times.agg(F.max("seconds")).first()[0] or 1
+    share = F.col("seconds") / F.lit(max(top, 1))
     return times.select("name", "seconds", duration_text("seconds").alias("label"),
                                   F.greatest(F.lit(2), F.bround(share * width).cast("int")).alias("bar"))
 

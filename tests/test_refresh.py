@@ -7,7 +7,7 @@ from daybrook.operators import refresh, rollup
 from daybrook.plans import prompts
 from daybrook.session import work_dir
 from daybrook.sources import registry
-from tests.test_rollup import ROWS, events
+from tests.test_rollup import ROWS, events, note
 
 
 def files(root):
@@ -18,10 +18,6 @@ def written(df):
     return sorted(map(tuple, df.select("project_id", "level", "key", "action").collect()))
 
 
-def note(day, pid, text):
-    return ("NARRATION", day, pid, None, None, None, None, None, text)
-
-
 BASE = [*ROWS, note("2026-06-22T09:00:00Z", "app", "tuesday"), note("2026-07-01T09:00:00Z", "app", "july"), note("2026-06-22T09:00:00Z", "0042", "numbers only"),
         note("junk", "0042", "no clock"), note("", "0042", "empty clock")]
 
