@@ -14,7 +14,7 @@ from ..constants import (
 from ..functions.actors import file_actor
 from ..functions.core import py_trim
 from ..functions.paths import is_noise_path
-from . import ordered
+from . import intervals, ordered
 
 DAY, HOUR = 86_400.0, 3_600.0
 
@@ -192,34 +192,27 @@ def idle_intervals(idle_events: DataFrame, keys: list[str]) -> DataFrame:
                        ((F.unix_micros("effective_ts") - F.unix_micros("_p.effective_ts")) / 1e6).alias("away_sec"))
 
 
-def suppress_paused(events: DataFrame, pauses: DataFrame, key: str = "host", ts: str = "effective_ts",
-                    bucket_sec: float = HOUR) -> DataFrame:
-    """Drop events inside a privacy pause ``(host, start, end)``; nothing is buffered.
+def suppress_paused(events: DataFrame, pauses: DataFrame, key: str = "host", ts: str = "effective_ts") -> DataFrame:
+    """Drop events inside a privacy pause ``(host, start, end)``, ends included; nothing is buffered."""
+    return intervals.outside(events, pauses, key, ts, "start", "end")
 
-    Pauses are laid out over time buckets, so the interval test is an equi anti join.
-    """
-    def b(c: Column) -> Column:
-        return ordered.time_bucket(c, bucket_sec)
-    spans = pauses.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"),
-                          F.explode(F.sequence(b(F.col("start")), b(F.col("end")))).alias("_b"))
-    keyed = events.withColumn("_eb", b(F.col(ts)))
-    cond = (F.col(key) == F.col("_k")) & (F.col("_eb") == F.col("_b")) & F.col(ts).between(F.col("_s"), F.col("_e"))
-    return keyed.join(spans, cond, "left_anti").drop("_eb")
+
+def suppressed_counts(events: DataFrame, pauses: DataFrame, key: str = "host", ts: str = "effective_ts") -> DataFrame:
+    """``host, n_kept, n_suppressed``: how many events of a host its pauses held back."""
+    total = events.groupBy(key).agg(F.count("*").alias("n_events"))
+    kept = suppress_paused(events, pauses, key, ts).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"))
+    both = total.join(kept, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return both.select(key, F.coalesce("n", F.lit(0)).alias("n_kept"), (F.col("n_events") - F.coalesce("n", F.lit(0))).alias("n_suppressed"))
 
 
-def relabel_since(notes: DataFrame, events: DataFrame, key: str = "host", bucket_sec: float = HOUR) -> DataFrame:
+def relabel_since(notes: DataFrame, events: DataFrame, key: str = "host") -> DataFrame:
     """Give earlier events the label of a later "since …" note; the last note wins.
 
-    ``notes``: ``host, since, noted_at, note``.  Joined on time buckets, with the label
-    chosen per event by an aggregation.
+    ``notes``: ``host, since, noted_at, note``; a note covers ``since`` up to, but not at, ``noted_at``.
     """
-    def b(c: Column) -> Column:
-        return ordered.time_bucket(c, bucket_sec)
-    spans = notes.select(F.col(key).alias("_k"), "since", "noted_at", F.col("note").alias("_note"),
-                         F.explode(F.sequence(b(F.col("since")), b(F.col("noted_at")))).alias("_b"))
-    cond = (F.col(key) == F.col("_k")) & (b(F.col("effective_ts")) == F.col("_b")) \
-        & (F.col("effective_ts") >= F.col("since")) & (F.col("effective_ts") < F.col("noted_at"))
-    return events.join(spans, cond).groupBy("event_id").agg(F.max_by("_note", F.struct("noted_at", "_note")).alias("label"))
+    last = F.struct("noted_at", "note")
+    held = intervals.best_of(events.select("event_id", key, "effective_ts"), notes, key, "effective_ts", F.unix_micros("since"), F.unix_micros("noted_at") - 1, last, "_last")
+    return held.groupBy("event_id").agg(F.max("_last").alias("_last")).select("event_id", F.col("_last.note").alias("label"))
 
 
 def heartbeat_status(beats: DataFrame, now: Column, stale_sec: float) -> DataFrame:

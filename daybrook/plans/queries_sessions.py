@@ -93,7 +93,23 @@ def relabelled(spark, sf_dir):
     notes = rows.where("event_type = 'signup'").select(
         "host", (F.col("effective_ts") - F.expr("INTERVAL 3 HOURS")).alias("since"), F.col("effective_ts").alias("noted_at"),
         F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
-    return sessions.relabel_since(notes, rows, bucket_sec=10_800.0)
+    return sessions.relabel_since(notes, rows)
+
+
+def spans_of_all_lengths(spark, sf_dir):
+    """Pauses and notes from one second to ten years: events held back per host, and the note that labels each of the others."""
+    rows = stream_rows(spark, sf_dir).withColumnRenamed("ts", "effective_ts")
+    length = F.when(F.col("k") % 5 == 0, 1).when(F.col("k") % 5 == 1, 90).when(F.col("k") % 5 == 2, 7_200).when(F.col("k") % 5 == 3, 400_000).otherwise(315_360_000)
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), length.cast("decimal(18,6)"))
+    marks = rows.where("event_type = 'signup'").withColumn("length", length)
+    pauses = marks.where("k % 5 < 3").select("host", F.col("effective_ts").alias("start"), (F.col("effective_ts") + span).alias("end"))
+    notes = marks.where("k % 5 >= 3 and user_id % 3 = 0").select(
+        "host", (F.col("effective_ts") - span).alias("since"), F.col("effective_ts").alias("noted_at"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
+    kept = sessions.suppress_paused(rows, pauses)
+    labels = sessions.relabel_since(notes, kept)
+    counts = sessions.suppressed_counts(rows, pauses)
+    return kept.select("event_id", "host").join(labels, "event_id", "left").groupBy("host", "label").agg(F.count("*").alias("n_events")).join(counts, "host") \
+        .select("host", F.coalesce("label", F.lit("")).alias("label"), "n_events", "n_kept", "n_suppressed")
 
 
 def liveness(spark, sf_dir):
@@ -202,6 +218,6 @@ def run_exit_codes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    churn_coalesce, burst_size, file_actors, clipboard_dedup, long_runs, session_gap, idle_intervals, privacy_pauses, relabelled,
+    churn_coalesce, burst_size, file_actors, clipboard_dedup, long_runs, session_gap, idle_intervals, privacy_pauses, relabelled, spans_of_all_lengths,
     liveness, focus_sessions, pack_days_adaptive, pack_days_week, order_rollup, call_metrics, rate_window, breaker_misses,
     error_classes, run_exit_codes)}

@@ -126,6 +126,13 @@ SELECT host, count(*) AS n_kept, max(event_id) AS last_event FROM ev a WHERE NOT
     "relabelled": q(EV, """
 SELECT e.event_id, max_by('note ' || n.event_id, n.ts) AS label FROM ev e JOIN ev n ON n.event_type = 'signup' AND n.host = e.host
   AND e.ts >= n.ts - INTERVAL 3 HOUR AND e.ts < n.ts GROUP BY e.event_id"""),
+    "spans_of_all_lengths": q(EV, """
+m AS (SELECT *, [1, 90, 7200, 400000, 315360000][k % 5 + 1] AS len FROM ev WHERE event_type = 'signup'),
+kept AS (SELECT event_id, host, ts FROM ev a WHERE NOT EXISTS (SELECT 1 FROM m WHERE k % 5 < 3 AND m.host = a.host AND a.ts BETWEEN m.ts AND m.ts + to_seconds(len))),
+lab AS (SELECT e.event_id, max_by('note ' || n.event_id, {'a': n.ts, 'b': 'note ' || n.event_id}) AS label FROM kept e JOIN m n ON n.k % 5 >= 3 AND n.user_id % 3 = 0 AND n.host = e.host
+  AND e.ts >= n.ts - to_seconds(n.len) AND e.ts < n.ts GROUP BY e.event_id),
+c AS (SELECT ev.host, count(kept.event_id) AS n_kept, count(*) - count(kept.event_id) AS n_suppressed FROM ev LEFT JOIN kept USING (event_id) GROUP BY ev.host)
+SELECT host, coalesce(label, '') AS label, count(*) AS n_events, any_value(n_kept) AS n_kept, any_value(n_suppressed) AS n_suppressed FROM kept LEFT JOIN lab USING (event_id) JOIN c USING (host) GROUP BY ALL"""),
     "liveness": q(EV, """
 b AS (SELECT user_id AS source, max(ts) AS heartbeat, max_by(k, ts) AS k FROM ev GROUP BY user_id)
 SELECT source, CASE WHEN k % 7 = 0 OR TIMESTAMP '2024-01-31 00:00:00' - heartbeat > INTERVAL 6 HOUR THEN 'off' WHEN k % 4 = 0 THEN 'paused' ELSE 'live' END AS status, heartbeat FROM b"""),
