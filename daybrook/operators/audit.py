@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import once, strings
@@ -54,5 +54,16 @@ def leak_report(events: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
         .groupBy("measure", "name").agg(F.count("*").alias("n"))
 
 
+def leak_samples(found: DataFrame, n: int, key: str = "name") -> DataFrame:
+    """At most ``n`` leaks of each code, the same on every run: ``code, <key>, text``.
+
+    The smallest hashes of code and name are taken.  A task keeps its own smallest before the shuffle, so a
+    code of any size sends ``n`` rows a task.
+    """
+    rows = found.select(F.explode("codes").alias("code"), key, "text")
+    place = Window.partitionBy("code").orderBy(F.sha2(F.concat_ws("/", "code", F.col(key).cast("string")), 256), key)
+    return rows.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n).drop("_n")
+
+
 def is_clean(events: DataFrame, diffs: DataFrame | None = None) -> bool:
     return leaks(events, diffs).isEmpty()

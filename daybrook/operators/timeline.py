@@ -79,3 +79,20 @@ def lateness_by(events: DataFrame, key: str, key_column: Column) -> DataFrame:
         F.max("lateness_sec").alias("max_sec"),
         F.avg("lateness_sec").alias("mean_sec"),
         F.percentile_approx("lateness_sec", 0.95, 1000).alias("p95_sec"))
+
+
+#: Size of a sketch; a quantile's rank is off by at most 0.6 % (99 of 100 times), whatever the number of rows.
+SKETCH_K, RANK_ERROR = 800, 0.006
+
+
+def lateness_sketches(events: DataFrame, key: str, key_column: Column) -> DataFrame:
+    """One mergeable quantile sketch of the lateness per key and day: ``<key>, date_key, sketch``; new days need no old rows."""
+    rows = lateness(with_keys(events)).where(F.col("lateness_sec").isNotNull())
+    return rows.groupBy(key_column.alias(key), "date_key").agg(F.kll_sketch_agg_double("lateness_sec", SKETCH_K).alias("sketch"))
+
+
+def lateness_quantiles(sketches: DataFrame, key: str, ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Quantiles per key out of its days' sketches: ``<key>, n_events, p50_sec, p95_sec``."""
+    merged = sketches.groupBy(key).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("_s"))
+    found = [F.kll_sketch_get_quantile_double("_s", F.lit(rank)).alias(f"p{round(rank * 100)}_sec") for rank in ranks]
+    return merged.select(key, F.kll_sketch_get_n_double("_s").alias("n_events"), *found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, gate, refresh, rollup, timeline
@@ -60,6 +60,19 @@ def lateness_by_host(spark, sf_dir):
         .select("host", "n_events", "n_late", "max_sec", F.round("mean_sec", 4).alias("mean_sec"))
 
 
+def lateness_quantiles(spark, sf_dir):
+    """Median and 95th percentile of the lateness per host, out of sketches per host and day; is their rank as stated?"""
+    prepare(spark)
+    host, rows = F.col("source.identity"), activity(spark, sf_dir)
+    found = timeline.lateness_quantiles(timeline.lateness_sketches(rows, "host", host), "host")
+    exact = timeline.lateness(rows).where("lateness_sec is not null").select(host.alias("host"), "lateness_sec").join(found, "host")
+
+    def off(rank: float, value: str) -> Column:
+        below, upto = F.avg((F.col("lateness_sec") < F.col(value)).cast("int")), F.avg((F.col("lateness_sec") <= F.col(value)).cast("int"))
+        return (below <= rank + 2 * timeline.RANK_ERROR) & (upto >= rank - 2 * timeline.RANK_ERROR)
+    return exact.groupBy("host").agg(F.max("n_events").alias("n_events"), off(0.5, "p50_sec").alias("p50_holds"), off(0.95, "p95_sec").alias("p95_holds"))
+
+
 def attribution_methods(spark, sf_dir):
     return attribution.method_histogram(attributed(spark, sf_dir))
 
@@ -205,7 +218,7 @@ def week_bodies(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    time_per_project, reconcile_timeline, dedup_winner, equal_events_stay, lateness_by_host, attribution_methods, attribution_events,
+    time_per_project, reconcile_timeline, dedup_winner, equal_events_stay, lateness_by_host, lateness_quantiles, attribution_methods, attribution_events,
     attribution_ties, gate_outcomes, gated_events, archive_lines, archive_files, archive_document, section_merge,
     period_rollup_week, period_rollup_month, period_fallback, affected_periods, project_fingerprint,
     incremental_days, done_days, counts_grouping_sets, event_chunks, refresh_runs, week_bodies)}

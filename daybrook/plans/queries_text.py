@@ -8,7 +8,8 @@ from ..functions import dates, paths, secrets, text
 from ..functions.core import once
 from ..operators import attribution, audit, diffs, gate, retrieval
 from ..model import make_events, payload_of, source_of
-from ..session import prepare, spread
+from ..session import materialize, prepare, spread, work_dir
+from ..sinks import store
 from ..sources import notes
 from .activity import RUN_TS, table
 from .queries_core import stored
@@ -241,7 +242,23 @@ def diff_sidecars(spark, sf_dir):
     return diffs.verified(diffs.sidecars(done)).select("diff_ref", F.length("body").cast("bigint").alias("n_chars"))
 
 
+def diff_store(spark, sf_dir):
+    """Bodies stored by two batches with common diffs, one of them run twice, and a writer beside them: each body once."""
+    policy, path = diffs.CapturePolicy(True), work_dir(spark, "diffs")
+    done = once(seeded_diffs(spark, sf_dir), c=diffs.capture_diff("diff", policy)).select("doc_id", F.col("c.clean").alias("diff_clean"))
+    done = materialize(done, "captured")
+    for batch, rows in (("a", done.where("doc_id % 3 < 2")), ("b", done.where("doc_id % 3 > 0")), ("b", done.where("doc_id % 3 > 0"))):
+        store.append_diffs(rows, path, batch)
+    return diffs.verified(store.read_diffs(spark, path)).select("diff_ref", F.length("body").cast("bigint").alias("n_chars"))
+
+
+def leak_samples(spark, sf_dir):
+    """Five documents of each leak code, the same on every run."""
+    found = audit.residual(seeded_documents(spark, sf_dir), "doc_id", "text")
+    return audit.leak_samples(found, 5, "doc_id").select("code", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    redact_documents, redaction_histogram, leak_audit, store_audit, date_period_keys, normalize_paths, allowlist_join,
+    redact_documents, redaction_histogram, leak_audit, leak_samples, store_audit, date_period_keys, normalize_paths, allowlist_join,
     file_rules, clipboard_types, meaningful_notes, retro_notes, intent_ladder, page_attribution, split_passages,
-    ask_topk, ask_budget, ask_answers, diff_split, diff_scrub, diff_sidecars)}
+    ask_topk, ask_budget, ask_answers, diff_split, diff_scrub, diff_sidecars, diff_store)}

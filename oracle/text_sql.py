@@ -121,6 +121,10 @@ SQL = {
 SELECT doc_id, CAST(len(string_split(clean, chr(10))) AS BIGINT) AS n_lines, false AS truncated, sha256(clean) AS diff_ref,
   'diff_captured' || CASE WHEN changed THEN ',diff_scrubbed' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ',diff_suppressed_ignored' ELSE '' END AS codes FROM cap"""),
     "diff_sidecars": q(_CAPTURED, "SELECT DISTINCT sha256(clean) AS diff_ref, CAST(length(clean) AS BIGINT) AS n_chars FROM cap"),
+    "diff_store": q(_CAPTURED, "SELECT DISTINCT sha256(clean) AS diff_ref, CAST(length(clean) AS BIGINT) AS n_chars FROM cap"),
+    "leak_samples": q(SEEDED + scrub_ctes("seeded", "doc_id"), """
+l AS (SELECT doc_id, unnest(names) AS code FROM scrubbed WHERE clean <> raw)
+SELECT code, doc_id FROM l QUALIFY row_number() OVER (PARTITION BY code ORDER BY sha256(code || '/' || doc_id), doc_id) <= 5"""),
     "redact_documents": q(SEEDED + scrub_ctes("seeded", "doc_id"), """
 SELECT doc_id, md5(clean) AS clean_md5, length(clean) AS n_chars, array_to_string(names, ',') AS codes FROM scrubbed"""),
     "redaction_histogram": q(SEEDED + scrub_ctes("seeded", "doc_id"), """
