@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare, work_dir
 from ..streaming import focus_stream, jobs, runs_stream
+from .activity import activity
 from .queries_sessions import FOCUS_RULES, focus_rows, process_ticks, window_samples
 
 #: Longer than any quiet time of the tables: the batch forms know no silence.
@@ -43,4 +44,15 @@ def stream_long_runs(spark, sf_dir):
     return rows.select("host", "pid", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "cpu_peak", "process", "cmdline", "duration_sec")
 
 
-QUERIES = {f.__name__: f for f in (stream_focus, stream_long_runs)}
+def stream_days(spark, sf_dir):
+    """Two arrivals of the activity view through three streams; ids are looked up in state; the rows of the batch timeline."""
+    src, root = work_dir(prepare(spark), "arrivals"), work_dir(spark, "days")
+    rows = activity(spark, sf_dir)
+    for turn in range(2):
+        rows.where(F.col("arrival_seq") % 2 == turn).write.mode("append").parquet(src)
+        jobs.timeline_pipeline(spark.readStream.schema(rows.schema).parquet(src), root)
+    out = spark.read.parquet(f"{root}/silver")
+    return out.select("event_id", "arrival_seq", "trust", F.col("date_key").cast("string").alias("date_key"))
+
+
+QUERIES = {f.__name__: f for f in (stream_focus, stream_long_runs, stream_days)}

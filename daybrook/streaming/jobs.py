@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,9 +17,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.dates import date_key, effective_ts
 from ..operators import gate, timeline
 from ..session import materialize, work_dir
-from ..sinks.store import append_events
+from ..sinks.store import append_events, load_state, save_state
 from ..sources.log import parse_lines, split_corrupt
 from ..sources.reports import classify, report_texts
+from .ordered_state import ROCKS
 
 
 def run(query_of: Callable, *, once: bool, every: str = "5 seconds") -> StreamingQuery:
@@ -114,6 +115,86 @@ def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+class DaysOfId(StatefulProcessor):
+    """The days of an event id, as state: one short text a id.  Gives every day of the id with its first day as hub."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getValueState("days", T.StructType([T.StructField("days", T.StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = set(self.days.get()[0].split("|")) if self.days.exists() else set()
+        days = sorted(known | {row["date_key"] for row in rows})
+        if len(days) > len(known):
+            self.days.update(("|".join(days),))
+        for day in days:
+            yield Row(day=day, hub=days[0])
+
+    def close(self) -> None:
+        pass
+
+
+def touched_days(log: DataFrame) -> DataFrame:
+    """Stream of ``(day, hub)``: the days whose timeline new rows can change, found by a look-up of their ids.
+
+    An id is looked up in the state store, so a batch reads what its own ids need, however long the
+    history.  Days under one hub share an id.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    named = log.where("event_id <> ''").select("event_id", "date_key").groupBy("event_id").transformWithState(
+        statefulProcessor=DaysOfId(), outputStructType="day STRING, hub STRING", outputMode="append", timeMode="none")
+    return named.unionByName(log.where("coalesce(event_id, '') = ''").select(F.col("date_key").alias("day"), F.col("date_key").alias("hub")))
+
+
+def rebuild_touched(bronze: str, schema: T.StructType, silver: str, links: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` over ``touched_days``: build these days again from the days that share an id with them.
+
+    ``links`` holds the pairs of day and hub, at most a few for each day; a version is written when a pair is new.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        pairs = materialize(batch.distinct(), "touched")
+        old = load_state(spark, links)
+        fresh = pairs if old is None else pairs.join(old, ["day", "hub"], "left_anti")
+        if not fresh.isEmpty():
+            grown = materialize(fresh if old is None else old.unionByName(fresh), "links")
+            # the number names the version: a batch that runs again adds nothing new
+            save_state(grown, links, number)
+        known = load_state(spark, links)
+        if known is None:
+            return
+        days = materialize(pairs.select(F.col("day").alias("date_key")).distinct(), "days")
+        hubs = known.join(days, known["day"] == days["date_key"], "left_semi").select("hub").distinct()
+        reach = known.join(hubs, "hub", "left_semi").select(F.col("day").alias("date_key")).distinct()
+        log = spark.read.schema(schema).parquet(bronze)
+        rows = timeline.dedup_winners(timeline.drop_rejected(log.join(reach, "date_key", "left_semi"))).join(days, "date_key", "left_semi")
+        out = materialize(rows.withColumn("effective_ts", effective_ts("ts_wall", "clock_offset_sec")), "silver")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(silver)
+    return write
+
+
+def timeline_pipeline(events: DataFrame, root: str, *, once: bool = True) -> list[StreamingQuery]:
+    """Three streams in a row: raw log by day, touched days by a look-up of ids, and the days built again.
+
+    Each reads what the one before has committed; with ``once`` each ends before the next begins.
+    """
+    spark = events.sparkSession
+    keyed = events.withColumn("date_key", date_key("ts_wall"))
+    bronze, touched = f"{root}/bronze", f"{root}/touched"
+
+    def start(writer, name: str) -> StreamingQuery:
+        query = run(writer.option("checkpointLocation", f"{root}/state-{name}"), once=once)
+        if once:
+            query.awaitTermination()
+        return query
+    stored = start(keyed.writeStream.format("parquet").partitionBy("date_key").option("path", bronze), "bronze")
+    # a folder is a partition of text, whatever its name looks like
+    log = spark.readStream.schema(keyed.schema).parquet(bronze)
+    found = start(touched_days(log).writeStream.format("parquet").option("path", touched), "touched")
+    pairs = spark.readStream.schema("day STRING, hub STRING").parquet(touched)
+    built = start(pairs.writeStream.foreachBatch(rebuild_touched(bronze, keyed.schema, f"{root}/silver", f"{root}/links")), "silver")
+    return [stored, found, built]
+
+
 def with_metrics(gated: DataFrame, name: str = "gate") -> DataFrame:
     """Count rows, drops and redacted rows while they pass; read back with ``progress_rows``."""
     return gated.observe(

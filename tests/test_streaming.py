@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daybrook.operators import sessions
@@ -77,3 +78,31 @@ def test_repeated_batches_store_their_rows_once(spark):
     for _ in range(2):
         store.append_events(gated, root, "stream-7")
     assert store.read_events(spark, root).count() == 12
+
+
+def test_days_found_by_look_up_equal_the_batch_timeline(spark):
+    import os
+
+    from daybrook.operators import timeline
+    src, root = work_dir(spark, "src"), work_dir(spark, "days")
+    days = ["2026-06-01", "2026-06-02", "2026-06-05", "soon"]
+    rows = events(spark, [("NARRATION", {"note": f"n{i}"}) for i in range(40)]).withColumn("n", F.monotonically_increasing_id() % 1000)
+    rows = rows.withColumn("n", F.row_number().over(Window.orderBy("payload.note", "event_id")) - 1)
+    rows = rows.withColumn("event_id", F.when(F.col("n") % 10 == 3, F.lit("")).otherwise(F.concat(F.lit("e"), (F.col("n") % 17).cast("string"))))
+    rows = rows.withColumn("ts_wall", F.element_at(F.array(*map(F.lit, days)), (F.col("n") % 3 + 1).cast("int"))).withColumn("recv_ts", F.concat(F.lit("2026-06-09T00:00:"), F.lpad((59 - F.col("n")).cast("string"), 2, "0"), F.lit("Z")))
+    rows = rows.withColumn("ts_wall", F.when(F.col("n") == 30, F.lit("soon")).otherwise(F.col("ts_wall"))).persist()
+    for part in (rows.where("n < 15"), rows.where("n >= 15 and n < 38"), rows.where("n >= 38")):
+        part.drop("n").coalesce(1).write.mode("append").parquet(src)
+        jobs.timeline_pipeline(spark.readStream.schema(rows.drop("n").schema).parquet(src), root)
+    want = timeline.reconcile(rows.drop("n"))
+
+    def told(df):
+        return sorted((r["event_id"], r["recv_ts"], str(r["date_key"])) for r in df.collect())
+    assert told(spark.read.schema(want.schema).parquet(f"{root}/silver")) == told(want) and len(told(want)) > 15
+    silver = f"{root}/silver".removeprefix("file:")
+    before = {d: os.listdir(f"{silver}/{d}") for d in os.listdir(silver) if d.startswith("date_key")}
+    lone = rows.where("n = 0").drop("n").withColumn("event_id", F.lit("alone")).withColumn("ts_wall", F.lit("2026-07-01"))
+    lone.coalesce(1).write.mode("append").parquet(src)
+    jobs.timeline_pipeline(spark.readStream.schema(rows.drop("n").schema).parquet(src), root)
+    assert all(os.listdir(f"{silver}/{d}") == names for d, names in before.items()) and len(os.listdir(silver)) > len(before)
+    rows.unpersist()
