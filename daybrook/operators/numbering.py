@@ -42,10 +42,10 @@ def within(df: DataFrame, keys: list[str], order: list[Column], out: str) -> Dat
 
     Null is a key like any other.  A key of any size spreads over as many ranges as it fills.
     """
-    rows = materialize(before(df, [*map(F.col, keys), *order], {"_n": F.lit(1)}), "numbered")
+    rows = materialize(before(df, [*map(F.col, keys), *order], {"_in_all": F.lit(1)}), "numbered")
     same = None
-    first = rows.groupBy(*keys).agg(F.min("_n").alias("_first")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_first")
+    first = rows.groupBy(*keys).agg(F.min("_in_all").alias("_first_in_all")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_first_in_all")
     for k in keys:
         test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         same = test if same is None else same & test
-    return rows.join(first, same).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first", *(f"_k_{k}" for k in keys))
+    return rows.join(first, same).withColumn(out, F.col("_in_all") - F.col("_first_in_all") + 1).drop("_in_all", "_first_in_all", *(f"_k_{k}" for k in keys))

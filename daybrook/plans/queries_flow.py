@@ -11,7 +11,7 @@ from ..session import materialize, prepare, work_dir
 from ..sinks import store
 from ..sources import hooks, hosted, registry, reports
 from ..streaming import jobs
-from . import prompts, report
+from . import prompts, report, rounds
 from .activity import PROJECTS, RUN_TS, activity, table
 from .queries_core import attributed, gated, lines, stored
 from .queries_sessions import stream_rows
@@ -195,6 +195,40 @@ def apply_entries(spark, sf_dir):
     return done.select("project_id", "date_key", F.md5(F.coalesce("entry", F.lit("(archive)"))).alias("entry_md5"))
 
 
+def _echo(asked, number):
+    """Replies that name their node; every fifth part gets none."""
+    known = asked.where(F.col("node_no") % 5 != 4)
+    return known.select("prompt_sha256", F.concat(F.lit("round "), F.lit(str(number)), F.lit(" node "), F.col("node_no").cast("string"), F.lit("\n" + prompts.DAILY_SEPARATOR + "\nday")).alias("reply"))
+
+
+def overview_rounds(spark, sf_dir):
+    """Overview prompts in rounds of six blocks: hashes of all whole prompts of the first round, sizes of the others."""
+    rows = materialize(attributed(spark, sf_dir), "attributed")
+    none = spark.createDataFrame([], "project_id STRING, overview STRING")
+    asked, done = rounds.overview_rounds(rows, none, _echo, size=20, fan=6)
+    first = F.when(F.col("round") == 0, F.col("prompt_sha256")).otherwise(F.lit(""))
+    out = asked.select("project_id", "round", F.col("node_no").cast("bigint").alias("node_no"), "label", "n_pieces", first.alias("said"))
+    kept = done.select("project_id", F.lit(-1).alias("round"), F.lit(0).cast("bigint").alias("node_no"), F.col("daily").alias("label"), F.lit(0).cast("bigint").alias("n_pieces"), F.trim(F.replace("overview", F.lit("\n"), F.lit(""))).alias("said"))
+    return out.unionByName(kept)
+
+
+def unit_prompts(spark, sf_dir):
+    """One prompt for each packed unit of days, with the hash of its material."""
+    known = registry.from_dicts(spark, [{"id": p["id"], "signals": {"entry_extract": ["grades"]}} for p in PROJECTS])
+    out = rounds.unit_prompts(materialize(attributed(spark, sf_dir), "attributed"), known, mode="adaptive", budget=3000, max_days=5)
+    return out.select("project_id", F.col("unit_no").cast("bigint").alias("unit_no"), F.col("n_days").cast("bigint").alias("n_days"), "label", F.sha2("user", 256).alias("user_sha256"))
+
+
+def journal_lines(spark, sf_dir):
+    """Journal of days with and without a written entry; the archive stands in."""
+    from .queries_core import rollup as core
+    rows = materialize(attributed(spark, sf_dir), "attributed")
+    days = rows.where("attribution.project_id is not null").select(F.col("attribution.project_id").alias("project_id"), "date_key").distinct()
+    entry = F.when(~F.substring("date_key", 8, 1).isin("0", "3", "6", "9"), F.concat(F.lit("wrote "), "project_id"))
+    out = rounds.journal_lines(days.withColumn("entry", entry), core.document_lines(rows))
+    return out.groupBy("project_id", "date_key", "origin", "text").agg(F.count("*").alias("n"))
+
+
 def discovered_projects(spark, sf_dir):
     """Registry rows for repositories found, with ids made unique against the registry."""
     prepare(spark)
@@ -282,5 +316,5 @@ def daily_archive(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     validate_messages, trust_routes, repo_payload_events, incremental_pulls, hook_reports, egress_split, account_store, standup_rows,
-    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, apply_entries, discovered_projects, discovered_clashes,
+    timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, apply_entries, overview_rounds, unit_prompts, journal_lines, discovered_projects, discovered_clashes,
     stream_dedup, stream_rollup, stream_sliding, stream_trust, stream_timeline, daily_archive)}

@@ -1,5 +1,7 @@
 """Answers for intake, accounts, reports, prompts, registry jobs and streams."""
 
+from daybrook.plans.prompts import INSTRUCTIONS
+
 from .base import ACTIVITY, ARCHIVE, ATTRIBUTED, GATED, RAW_TIMELINE, q
 from .session_sql import EV
 
@@ -113,6 +115,41 @@ n AS (SELECT project_id, date_key, row_number() OVER (PARTITION BY project_id, d
 parts AS (SELECT DISTINCT project_id, date_key, (n - 1) // 20 AS chunk_no FROM n)
 SELECT project_id, date_key, md5(CASE WHEN substr(date_key, 8, 1) IN ('0', '3', '6', '9') THEN '(archive)'
   ELSE string_agg('part ' || chunk_no || ' of ' || project_id, chr(10) || chr(10) ORDER BY chunk_no) END) AS entry_md5 FROM parts GROUP BY project_id, date_key"""),
+    "overview_rounds": q(DIGESTS, """
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id, date_key ORDER BY ts_wall, at_us IS NULL, at_us, recv_ts, event_id) AS n FROM dg WHERE project_id IS NOT NULL),
+b AS (SELECT project_id, date_key, (n - 1) // 20 AS chunk_no, string_agg(d, chr(10) || chr(10) ORDER BY n) AS block FROM n GROUP BY ALL HAVING coalesce(block, '') <> ''),
+p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY date_key, chunk_no) - 1 AS i, count(*) OVER (PARTITION BY project_id) AS pieces FROM b),
+r0 AS (SELECT project_id, i // 6 AS node_no, any_value(pieces) AS pieces, count(*) AS n_pieces, string_agg(block, chr(10) || chr(10) ORDER BY i) AS material FROM p GROUP BY project_id, i // 6),
+sizes AS (SELECT DISTINCT project_id, 0 AS round, CAST(ceil(pieces / 6) AS BIGINT) AS nodes, pieces FROM r0
+  UNION ALL SELECT project_id, round + 1, CAST(ceil(nodes / 6) AS BIGINT), nodes FROM sizes WHERE nodes > 1)
+SELECT project_id, 0 AS round, node_no, CASE WHEN pieces <= 6 THEN 'overview' ELSE 'chunk' END AS label, n_pieces,
+  sha256(CASE WHEN pieces <= 6 THEN """ + lit(INSTRUCTIONS["overview"]) + """ ELSE """ + lit(INSTRUCTIONS["chunk"]) + """ END || chr(10) || 'PROJECT: ' || project_id || chr(10) || 'CURRENT OVERVIEW:' || chr(10)
+    || chr(10) || chr(10) || 'NEW ACTIVITY:' || CASE WHEN pieces <= 6 THEN '' ELSE chr(10) || 'PART: ' || (node_no + 1) END || chr(10) || chr(10) || material) AS said FROM r0
+UNION ALL SELECT project_id, round, node_no, CASE WHEN nodes = 1 THEN 'overview' ELSE 'chunk' END, least(6, pieces - 6 * node_no), '' FROM (SELECT *, unnest(range(nodes)) AS node_no FROM sizes WHERE round > 0)
+UNION ALL SELECT project_id, -1, 0, 'day', 0, 'round ' || round || ' node 0' FROM sizes WHERE nodes = 1""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "unit_prompts": q(DIGESTS, """
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id, date_key ORDER BY ts_wall, at_us IS NULL, at_us, recv_ts, event_id) AS n FROM dg WHERE project_id IS NOT NULL),
+dy AS (SELECT project_id, date_key, CAST(greatest(1, (sum(length(d)) + 2 * (count(d) - 1)) // 4) AS BIGINT) AS t, string_agg(d, chr(10) || chr(10) ORDER BY n) AS block FROM n GROUP BY ALL),
+l AS (SELECT project_id, list(struct_pack(k := date_key, t := t, d := CASE WHEN regexp_matches(date_key, '^[0-9]{8}$') THEN date_diff('day', DATE '1970-01-01', CAST(strptime(date_key, '%Y%m%d') AS DATE)) END) ORDER BY date_key) AS days FROM dy GROUP BY project_id),
+f AS (SELECT project_id, days, list_reduce(list_transform(days, lambda x: struct_pack(u := [1], first := x.d, used := x.t, t := x.t, d := x.d)),
+  lambda acc, x: CASE WHEN acc.used + x.t > 3000 OR coalesce(x.d - acc.first + 1, 1) > 5 THEN struct_pack(u := list_append(acc.u, acc.u[-1] + 1), first := x.d, used := x.t, t := x.t, d := x.d)
+    ELSE struct_pack(u := list_append(acc.u, acc.u[-1]), first := acc.first, used := acc.used + x.t, t := x.t, d := x.d) END) AS r FROM l),
+u AS (SELECT project_id, unnest(list_transform(days, lambda x: x.k)) AS date_key, CAST(unnest(r.u) AS BIGINT) AS unit_no FROM f),
+w AS (SELECT u.*, dy.block, count(*) OVER (PARTITION BY u.project_id, unit_no) AS n_days,
+  CASE WHEN regexp_matches(u.date_key, '^[0-9]{8}$') THEN substr(u.date_key, 1, 4) || '-' || substr(u.date_key, 5, 2) || '-' || substr(u.date_key, 7, 2) ELSE u.date_key END AS label FROM u JOIN dy USING (project_id, date_key))
+SELECT project_id, unit_no, n_days, CASE WHEN n_days > 1 THEN 'entry_batch' ELSE 'entry' END AS label,
+  sha256('PROJECT: ' || project_id || chr(10) || 'CAPTURE:' || chr(10) || '- grades' || chr(10) || chr(10) || 'ACTIVITY:' || chr(10)
+    || string_agg('## ' || w.label || chr(10) || block, chr(10) || chr(10) ORDER BY date_key)) AS user_sha256 FROM w WHERE coalesce(block, '') <> '' GROUP BY project_id, unit_no, n_days"""),
+    "journal_lines": q(ARCHIVE, """
+days AS (SELECT DISTINCT project_id, date_key, date_label FROM lines),
+used AS (SELECT DISTINCT project_id, date_key, date_label, section_no FROM lines),
+doc AS (SELECT project_id, date_key, date_label, text FROM lines
+  UNION ALL SELECT project_id, date_key, date_label, unnest(['---', '## ' || date_label, '', '---', '']) FROM days
+  UNION ALL SELECT project_id, date_key, date_label, ['### Sessions', '### Commits', '### Agent activity', '### Files changed', '### Narration'][section_no] FROM used WHERE section_no <= 5
+  UNION ALL SELECT project_id, date_key, date_label, '' FROM used)
+SELECT project_id, date_key, 'archive' AS origin, text, count(*) AS n FROM doc WHERE substr(date_key, 8, 1) IN ('0', '3', '6', '9') GROUP BY ALL
+UNION ALL SELECT project_id, date_key, 'entry', text, count(*) FROM (SELECT project_id, date_key, unnest(['---', '## ' || date_label, '', 'wrote ' || project_id, '', '---', '']) AS text FROM days
+  WHERE substr(date_key, 8, 1) NOT IN ('0', '3', '6', '9')) GROUP BY ALL"""),
     "discovered_clashes": r"""
 WITH t AS (SELECT p_partkey % 5 AS d, string_split(p_name, ' ')[1] AS w, p_partkey FROM part),
 s AS (SELECT CASE WHEN d > 1 THEN w || '-' || d ELSE w END AS slug, '/repos/' || p_partkey || '/' || CASE WHEN d > 1 THEN w || '-' || d ELSE w END AS path FROM t),
