@@ -61,13 +61,14 @@ def score(corpus: DataFrame, questions: DataFrame, *, pid: str = "pid", qid: str
 def top_passages(scored: DataFrame, corpus: DataFrame, *, k: int = TOP_K, pid: str = "pid", qid: str = "qid") -> DataFrame:
     """Best ``k`` passages of each question: score, then source.
 
-    Every task first keeps its own best ``k`` per question (the rank filter is pushed below
-    the shuffle), so a question that matches everything stays cheap.
+    Every task first keeps its own best ``k`` per question by score, with ties (the rank filter is
+    pushed below the shuffle); only those meet their passages, where the source decides ties.
     """
-    sourced = scored.join(corpus.select(pid, "source"), pid)
+    tied = F.rank().over(Window.partitionBy(qid).orderBy(F.desc("score")))
+    near = scored.withColumn("_tied", tied).where(F.col("_tied") <= k).drop("_tied")
+    sourced = near.join(corpus.select(pid, "source", "text"), pid)
     rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score"), "source", pid))
-    best = sourced.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(corpus.select(pid, "text"), pid)
+    return sourced.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def within_budget(ranked: DataFrame, max_chars: int = ASK_CHARS, qid: str = "qid") -> DataFrame:

@@ -271,20 +271,6 @@ def stream_dedup(spark, sf_dir):
     return rows.select("event_id", "user_id")
 
 
-def stream_rollup(spark, sf_dir):
-    prepare(spark)
-    counts = jobs.tumbling_counts(_event_stream(spark, sf_dir), "ts", F.col("event_type"))
-    rows = jobs.collect_table(counts, "stream-rollup", "complete")
-    return rows.select("key", F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), "n_events")
-
-
-def stream_sliding(spark, sf_dir):
-    prepare(spark)
-    counts = jobs.tumbling_counts(_event_stream(spark, sf_dir), "ts", F.col("event_type"), "6 hours", "3 hours")
-    rows = jobs.collect_table(counts, "stream-sliding", "complete")
-    return rows.select("key", F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), "n_events")
-
-
 def stream_trust(spark, sf_dir):
     """Reports through the trust stream; the same verdicts as the batch query."""
     src = work_dir(prepare(spark), "reports")
@@ -317,4 +303,4 @@ def daily_archive(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     validate_messages, trust_routes, repo_payload_events, incremental_pulls, hook_reports, egress_split, account_store, standup_rows,
     timeline_rows, project_bars, review_batches, apply_review, day_tokens, activity_chunks, apply_entries, overview_rounds, unit_prompts, journal_lines, discovered_projects, discovered_clashes,
-    stream_dedup, stream_rollup, stream_sliding, stream_trust, stream_timeline, daily_archive)}
+    stream_dedup, stream_trust, stream_timeline, daily_archive)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import prepare, work_dir
 from ..streaming import focus_stream, jobs, runs_stream
 from .activity import activity
-from .queries_sessions import FOCUS_RULES, focus_rows, process_ticks, window_samples
+from .queries_sessions import FOCUS_RULES, focus_rows, process_ticks, stream_rows, window_samples
 
 #: Longer than any quiet time of the tables: the batch forms know no silence.
 SILENCE = 90 * 86_400.0
@@ -55,4 +55,18 @@ def stream_days(spark, sf_dir):
     return out.select("event_id", "arrival_seq", "trust", F.col("date_key").cast("string").alias("date_key"))
 
 
-QUERIES = {f.__name__: f for f in (stream_focus, stream_long_runs, stream_days)}
+def _windows(spark, sf_dir, name, *widths):
+    feed = arrivals(stream_rows(prepare(spark), sf_dir).select("ts", "event_type"), name)
+    rows = jobs.collect_table(jobs.tumbling_counts(feed, "ts", F.col("event_type"), *widths), name + "-out")
+    return rows.where("key is not null").select("key", F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), "n_events")
+
+
+def stream_rollup(spark, sf_dir):
+    return _windows(spark, sf_dir, "rollup", "1 day")
+
+
+def stream_sliding(spark, sf_dir):
+    return _windows(spark, sf_dir, "sliding", "6 hours", "3 hours")
+
+
+QUERIES = {f.__name__: f for f in (stream_focus, stream_long_runs, stream_days, stream_rollup, stream_sliding)}

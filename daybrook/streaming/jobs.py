@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +52,15 @@ def union_sources(*streams: DataFrame) -> DataFrame:
 
 
 def gate_stream(events: DataFrame, roots, root: str, checkpoint: str, *, passed_at: str, **options):
-    """Gate every micro-batch and append to the stores; a batch that is repeated replaces its own rows."""
+    """Gate every micro-batch and append to the stores; a batch that is repeated replaces its own rows.
+
+    Its counts go to the table of metrics beside the stores, one row a batch.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        append_events(gate.gate(batch, roots, passed_at=passed_at, **options), root, f"stream-{number}")
+        gated = materialize(gate.gate(batch, roots, passed_at=passed_at, **options), "gated")
+        append_events(gated, root, f"stream-{number}")
+        counts = gated.agg(F.count("*").alias("rows"), F.count_if(F.col("drop_reason").isNotNull()).alias("dropped"), F.count_if(F.size("privacy.redactions") > 0).alias("redacted"))
+        counts.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{root}/metrics/batch_id={number}")
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
@@ -68,10 +75,13 @@ def dedup_stream(events: DataFrame, delay: str = "1 day", ts: str = "effective_t
     return events.where(F.col(ts).isNotNull()).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def tumbling_counts(events: DataFrame, ts: str, key: Column, width: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Counts per key and window (tumbling, or sliding with ``slide``)."""
+def tumbling_counts(events: DataFrame, ts: str, key: Column, width: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Counts per key and window (tumbling, or sliding with ``slide``).
+
+    In append mode a window is out, once and for all, when the watermark has passed its end; only open windows are state.
+    """
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return events.groupBy(w.alias("w"), key.alias("key")).agg(F.count("*").alias("n_events")) \
+    return events.withWatermark(ts, delay).groupBy(w.alias("w"), key.alias("key")).agg(F.count("*").alias("n_events")) \
         .select("key", F.col("w.start").alias("from_ts"), "n_events")
 
 
@@ -202,6 +212,11 @@ def with_metrics(gated: DataFrame, name: str = "gate") -> DataFrame:
         F.count_if(F.size("privacy.redactions") > 0).alias("redacted"))
 
 
+def metric_rows(spark: SparkSession, root: str) -> DataFrame:
+    """``batch_id, rows, dropped, redacted, at`` of every batch that a gate stream has stored."""
+    return spark.read.schema("rows bigint, dropped bigint, redacted bigint, at timestamp, batch_id bigint").parquet(f"{root}/metrics")
+
+
 def progress_rows(query: StreamingQuery, name: str = "gate") -> list[tuple[str, int, dict]]:
     """``(heartbeat, batch, metrics)`` of the batches a query remembers, ready for a table."""
     out = []
@@ -214,7 +229,11 @@ def progress_rows(query: StreamingQuery, name: str = "gate") -> list[tuple[str,
 # --- state per key -----------------------------------------------------------------
 
 class KeepSpaced(StatefulProcessor):
-    """Coalesce changes of a path: one number of state, the last kept instant."""
+    """Coalesce changes of a path: one number of state, the last kept instant.
+
+    A path's changes of one micro-batch are held as two arrays of numbers; the fold jumps from one kept
+    change to the next.
+    """
 
     def __init__(self, spacing_us: int):
         self.spacing_us = spacing_us
@@ -223,23 +242,29 @@ class KeepSpaced(StatefulProcessor):
         self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        part = pd.concat(list(rows)).sort_values(["us", "arrival_seq"])
-        keep = []
-        for us in part["us"]:
-            spaced = last is None or us - last >= self.spacing_us
-            keep.append(spaced)
-            last = us if spaced else last
-        self.last.update((int(last),))
-        yield part[pd.Series(keep, index=part.index)].reset_index(drop=True)
+        frames = [(part["us"].to_numpy(np.int64), part["arrival_seq"].to_numpy()) for part in rows]
+        us, seq = (np.concatenate(column) for column in zip(*frames, strict=True))
+        order = np.lexsort((seq, us))
+        us, seq = us[order], seq[order]
+        at = int(np.searchsorted(us, self.last.get()[0] + self.spacing_us)) if self.last.exists() else 0
+        kept = []
+        while at < len(us):
+            kept.append(at)
+            at = int(np.searchsorted(us, us[at] + self.spacing_us))
+        if kept:
+            self.last.update((int(us[kept[-1]]),))
+        for low in range(0, len(kept), 10_000):
+            some = kept[low:low + 10_000]
+            yield pd.DataFrame({"path": key[0], "us": us[some], "arrival_seq": seq[some]})
 
     def close(self) -> None:
         pass
 
 
 def coalesce_stream(changes: DataFrame, spacing_sec: float) -> DataFrame:
-    """``path, us, arrival_seq`` in, the kept rows out.  Needs the RocksDB state store."""
+    """``path, us, arrival_seq`` in, the kept rows out."""
     rows = changes.select("path", "us", "arrival_seq")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return rows.groupBy("path").transformWithStateInPandas(
         statefulProcessor=KeepSpaced(int(spacing_sec * 1_000_000)), outputStructType=rows.schema,
         outputMode="append", timeMode="none")
