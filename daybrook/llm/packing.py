@@ -28,6 +28,8 @@ from daybrook.session import materialize
 END, TIERS = 2, (512, 1024, 2048, 4096)
 #: Tokens of a block of the line of gaps, and of a training step.
 BLOCK, STEP_TOKENS = 1 << 18, 1 << 18
+#: Bytes of text that are looked up together.
+SLICE_BYTES = 8 << 20
 _ENTRY = "doc_id long, doc_tokens long, file string, at long, doc_crc long"
 
 
@@ -40,7 +42,7 @@ def _writer(tokenizer: str, folder: str, end: int):
         with store.open_output_stream(f"{where}/{name}") as ids:
             for batch in batches:
                 _, offsets = words.buffers(batch.column("text"))
-                for first, last in words.slices(offsets):
+                for first, last in words.slices(offsets, SLICE_BYTES):
                     own = [one + close for one in encode(batch.column("text").slice(first, last - first).to_pylist())]
                     ids.write(b"".join(own))
                     sizes = np.array([len(one) // width for one in own])

@@ -10,6 +10,10 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces of a generation; a worker remembers two and drops the older one when the younger is full.
 REMEMBERED = 500_000
 #: New words that are encoded as the lines of one text.
@@ -69,6 +73,10 @@ class Encoder:
         self._line_break = line_break[0] if len(line_break) == 1 else -1
         self._by_piece = by_piece and spec.get("normalizer") is None and not spec["model"].get("dropout")
 
+    def ids(self, text: str) -> list[int]:
+        """The ids of one text, from the library."""
+        return self._encode([text])[0]
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         if not self._by_piece:
@@ -116,66 +124,91 @@ def narrowest(path: str, end: int) -> int:
 
 #: Steps of a tokenizer file that look at a text word by word: nothing in them reaches across a space.
 _WORDWISE = ("NFC", "Replace", "Lowercase")
+#: A digit that stands between new words, punctuation that is a run of its own after a letter, and the last character
+#: up to which lower case depends on nothing but the character.
+_BETWEEN, _TAILS, _LATIN = "7", ".,;:!?%&#*+=/()[]{}\"", "\u024f"
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that drops white space: words between spaces and line breaks are encoded once."""
+    """Ids of texts for a tokenizer that drops white space: words between spaces and line breaks are encoded once.
+
+    Where the tokenizer puts all letters in lower case, a word is looked up in lower case, and the
+    punctuation at its end by itself.
+    """
 
     def __init__(self, path: str, width: int):
         self.width, self._code = width, {2: "H", 4: "I"}[width]
         self._plain = Encoder(path, width)
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._mark = None
+        self._between = None
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as file:
-                self._mark = self._marker(json.load(file))
+                wordwise = self._wordwise(json.load(file))
+            ids = array(self._code, next(self._plain([_BETWEEN])))
+            self._between = ids[0] if wordwise and len(ids) == 1 else None
 
     @staticmethod
-    def _marker(spec: dict) -> tuple[str, int] | None:
-        """A special token that may stand between words, where the file's steps keep words apart."""
+    def _wordwise(spec: dict) -> bool:
+        """Whether the file's steps keep words, and the punctuation after letters, apart."""
         steps = (spec.get("normalizer") or {}).get("normalizers", ())
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
-        spaces = [step for step in steps if step["type"] == "Replace"]
-        wordwise = all(step["type"] in _WORDWISE for step in steps) and [step["pattern"] for step in spaces] == [{"Regex": "\\s+"}]
         split = splits[0] if splits else {}
-        wordwise = wordwise and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and not spec["model"].get("dropout")
-        wordwise = wordwise and [step["type"] for step in splits] == ["Split", "ByteLevel"] and "[^\\s" in split["pattern"]["Regex"] and not splits[1]["add_prefix_space"]
-        tokens = spec.get("added_tokens", ())
-        wordwise = wordwise and not any(token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(r"\s", token["content"]) for token in tokens)
-        return next(((token["content"], token["id"]) for token in tokens if token["special"] and not token["normalized"]), None) if wordwise else None
+        return bool(
+            [step["type"] for step in steps] == list(_WORDWISE) and steps[1]["pattern"] == {"Regex": "\\s+"}
+            and [step["type"] for step in splits] == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"]
+            and split["pattern"]["Regex"].endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+") and not splits[1]["add_prefix_space"] and not spec["model"].get("dropout")
+            and not any(token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(r"\s", token["content"]) or "<" not in token["content"] for token in spec.get("added_tokens", ())))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if self._mark is None:
+        """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
+        if self._between is None:
             yield from self._plain(texts)
             return
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        flat = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = flat.buffers()
+        places = np.frombuffer(offsets, np.int64)[flat.offset + cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist() if len(flat) else [0] * (len(texts) + 1)
+        data = memoryview(data) if data else b""
+        for low, high in zip(places, places[1:], strict=False):
+            yield bytes(data[low:high])
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
         if len(self._known) > REMEMBERED:
             self._known, self._older = {}, self._known
-        known = self._known
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = set().union(*cut).difference(known)
-        again = fresh & self._older.keys()
-        known.update((word, self._older[word]) for word in again)
-        fresh -= again
-        # a full stop or a comma after an ASCII letter is always a token of its own
-        stems = {word[:-1]: word for word in fresh if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha()}
-        self._learn(list((fresh.difference(stems.values()) | stems.keys() | {".", ","}).difference(known)))
-        known.update((word, known[word[:-1]] + known[word[-1]]) for word in fresh.difference(known))
-        for words in cut:
-            yield b"".join(map(known.__getitem__, words))
+        known, older = self._known, self._older
+        found = list(map(known.get, words))
+        fresh = [word for word, ids in zip(words, found, strict=True) if ids is None]
+        if fresh:
+            known.update((word, older[word]) for word in fresh if word in older)
+            parts = {word: self._parts(word) for word in fresh if word not in known}
+            self._learn(list({part for pair in parts.values() for part in pair}.difference(known)))
+            known.update((word, known[core] + known[tail]) for word, (core, tail) in parts.items())
+            found = list(map(known.__getitem__, words))
+        return found
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """A word as what it is looked up by and the punctuation at its end; special strings stay whole."""
+        if "<" in word:
+            return word, ""
+        core = word.rstrip(_TAILS)
+        if not ("a" <= core[-1:] <= "z" or "A" <= core[-1:] <= "Z"):
+            core = word
+        return (core.lower() if core.isascii() or max(core) <= _LATIN else core), word[len(core):]
 
     def _learn(self, fresh: list[str]) -> None:
-        mark, number = self._mark
-        alone = [word for word in fresh if mark in word]
-        fresh = [word for word in fresh if mark not in word]
+        alone = [word for word in fresh if _BETWEEN in word or "<" in word]
+        fresh = [word for word in fresh if not (_BETWEEN in word or "<" in word)]
         self._known.update(zip(alone, self._plain(alone), strict=True))
         for low in range(0, len(fresh), LINES):
             part = fresh[low:low + LINES]
-            raw = next(self._plain([mark.join(part)]))
-            ids = array(self._code, raw)
-            cuts = [place for place, one in enumerate(ids) if one == number]
-            starts, ends = [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]
-            self._known.update((word, raw[self.width * a:self.width * b]) for word, a, b in zip(part, starts, ends, strict=True))
+            ids = np.array(self._plain.ids(f" {_BETWEEN} ".join(part)), f"<u{self.width}")
+            cuts = np.flatnonzero(ids == self._between)
+            raw, ends = ids.tobytes(), np.append(cuts, len(ids)) * self.width
+            starts = np.concatenate([[0], (cuts + 1) * self.width])
+            self._known.update((word, raw[a:b]) for word, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
 
 
 @functools.cache

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybrook.llm import training, words
+from daybrook.session import materialize
 
 # Neutral names of groups of people, by kind. Terms of one kind are swapped for each other.
 IDENTITY_TERMS = (
@@ -138,13 +139,45 @@ def fit(values: np.ndarray, counts: np.ndarray, labels: np.ndarray, terms: tuple
     return Model(keys[keep], w[keep], b)
 
 
+def _telling(sets: DataFrame) -> np.ndarray:
+    """Hashes of the words that pass the screen, found in Spark; at most twice ``MAX_WORDS`` reach the driver."""
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("k")).first()
+    if total["k"] in (0, total["n"]):
+        return np.zeros(0, np.int64)
+    share = total["k"] / total["n"]
+    uses = sets.select("label", F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic"))
+    other = F.col("seen") - F.col("toxic")
+    gain = F.when(F.col("toxic") > 0, F.col("toxic") * F.log(F.col("toxic") / (F.col("seen") * share))).otherwise(0.0)
+    gain += F.when(other > 0, other * F.log(other / (F.col("seen") * (1 - share)))).otherwise(0.0)
+    best = uses.withColumn("gain", gain).where(F.col("gain") > MIN_GAIN - 1e-6).orderBy(F.desc("gain"), "word").limit(2 * MAX_WORDS)
+    return np.array([row["word"] for row in best.select("word").collect()], np.int64)
+
+
+def _only(keys: np.ndarray):
+    """Word sets cut to the given hashes."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("own")
+            values, sizes = own.flatten().to_numpy(zero_copy_only=False), own.value_lengths().to_numpy(zero_copy_only=False)
+            good = np.isin(values, keys)
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[good], minlength=len(sizes))
+            at = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(at, pa.array(values[good]))], names=["doc_id", "label", "own"])
+    return cut
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = training.FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows whose crc32 of the id leaves a remainder other than 0 by 5."""
+    """Fit on at most ``rows`` labelled rows whose crc32 of the id leaves a remainder other than 0 by 5.
+
+    Words are screened in Spark; the driver gets the chosen words of each row and no others.
+    """
+    kind = "doc_id long, label double, own array<long>"
     known = labels.where("doc_id is not null and toxic is not null").where(training.remainder(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     texts = training.texts_of(docs, training.sample(known, "label", rows=rows))
-    table = texts.mapInArrow(_word_sets, "doc_id long, label double, own array<long>").toArrow()
-    table = table.sort_by("doc_id")
+    sets = materialize(texts.mapInArrow(_word_sets, kind), "word-sets")
+    keys = np.concatenate([_telling(sets), *(hash_terms(terms).view(np.int64) for terms in IDENTITY_TERMS)])
+    table = sets.mapInArrow(_only(np.unique(keys)), kind).toArrow().sort_by("doc_id")
     own = table.column("own").combine_chunks()
     if not len(own):
         return fit(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))

@@ -19,5 +19,10 @@ def sample(ids: DataFrame, *keep: str, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The texts of a bounded sample; at most ``FIT_ROWS`` ids are broadcast."""
-    return docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """The texts of a bounded sample, one row an id: an id that comes again gives its smallest text.
+
+    At most ``FIT_ROWS`` ids are broadcast.
+    """
+    keep = [c for c in chosen.columns if c != "doc_id"]
+    met = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", *keep).agg(F.min("text").alias("text"))

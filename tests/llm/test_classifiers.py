@@ -95,3 +95,21 @@ def test_prior_and_non_negative_risk_on_gaussians():
     assert abs(prior - 0.4) < 0.07
     net = puquality.fit(good[:1500], mixed, prior)
     assert (net.logits(good[2000:]) > 0).mean() > 0.95 and (net.logits(bad[2000:]) < 0).mean() > 0.95
+
+
+def test_an_id_that_comes_again_is_one_row(spark):
+    from daybrook.llm import training
+    docs = documents(spark, [(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")] + [(4, "same")] * 500)
+    chosen = spark.createDataFrame([(1, 0.0), (2, 1.0), (4, 1.0)], "doc_id LONG, label DOUBLE")
+    got = sorted(map(tuple, training.texts_of(docs, chosen).select("doc_id", "label", "text").collect()))
+    assert got == [(1, 0.0, "a"), (2, 1.0, None), (4, 1.0, "same")]
+
+
+def test_screening_in_spark_changes_no_weight(spark):
+    import pyarrow as pa
+    rows, labels = speech(random.Random(6), 800)
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame(labels, LABELS))
+    used = [(text, toxic) for (i, text), (_, _, toxic, _) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    found, counts = words.distinct(*words.hash_words(*words.buffers(pa.array([t for t, _ in used])), words.LETTERS))
+    plain = toxicity.fit(found, counts, np.array([toxic for _, toxic in used]))
+    assert np.array_equal(model.keys, plain.keys) and np.allclose(model.weights, plain.weights) and np.isclose(model.intercept, plain.intercept)

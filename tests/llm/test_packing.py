@@ -16,9 +16,9 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 def test_words_give_the_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(tokenizing, "REMEMBERED", 50)
     encode = tokenizing.WordEncoder(WORDS, 2)
-    assert encode._mark == ("<|startoftext|>", 49406)
+    assert encode._between is not None
     pick = random.Random(4)
-    texts = ODD + ["It's (so). He'll e.g., 3.5, x.\ny", "<|startoftext|>a. <|endoftext|>B,", "é. ́ ạ̇ ṩ, ΑΣ. İ", "ﬁ, '. ''s's."]
+    texts = ODD + ["W7 77 7", "<|STARTOFTEXT|> <|startoftext|>X!", "ÀÉ%%%. ÏX&&, ǅa, ΣΑΣ. ſS! K. ﬀ.", "a'. B'S!? 'S.", "x́. é. Ạ."] + ["It's (so). He'll e.g., 3.5, x.\ny", "<|startoftext|>a. <|endoftext|>B,", "é. ́ ạ̇ ṩ, ΑΣ. İ", "ﬁ, '. ''s's."]
     texts += ["".join(pick.choice(" \n\tabS1.,é'́　|’x") for _ in range(pick.randint(0, 40))) for _ in range(400)]
     got = [np.frombuffer(ids, "<u2").tolist() for part in (texts[:150], texts[150:], texts[:150]) for ids in encode(part)]
     assert got == library(texts + texts[:150], WORDS)
@@ -27,7 +27,7 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_take_whole_texts(name):
     encode = tokenizing.WordEncoder(public_tokenizers.path(name), 4)
-    assert encode._mark is None
+    assert encode._between is None
     assert list(encode(["a b", ""])) == list(tokenizing.Encoder(public_tokenizers.path(name))(["a b", ""]))
 
 
