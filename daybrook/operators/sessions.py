@@ -27,7 +27,8 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
     such changes cut a key into independent runs.  A run is folded in time slices.  A slice
     that goes on from the one before first says, for each change it could start with, where
     it would end; those small tables are chained per run, and every slice then knows its
-    start.  No list is longer than one slice, and the result is the sequential one.
+    start.  A slice is a list of its distinct instants, eight bytes each; rows are joined back to the
+    instants that are kept.  The result is the sequential one.
     """
     us = int(spacing_sec * 1_000_000)
     slice_sec = max(bucket_sec, spacing_sec)
@@ -37,26 +38,21 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
     starts = F.col("_p").isNull() | (F.unix_micros(ts) - F.col("_p") >= us)
     flagged = prior.withColumn("_start", starts).drop("_p")
     runs = ordered.islands(flagged, keys, bucket, order, F.col("_start"), "_run")
-    rest = [c for c in runs.columns if c not in (*keys, "_run", "_start")]
-    item = F.struct(F.unix_micros(ts).alias("us"), *([F.col(arrival).alias("arrival")] if arrival else []),
-                    F.struct(*rest).alias("row"))
     by = [*keys, "_run", "_slice"]
     slices = runs.withColumn("_slice", bucket).groupBy(*by).agg(
-        F.sort_array(F.collect_list(item)).alias("l"), F.max("_start").alias("opens"))
+        F.sort_array(F.collect_set(F.unix_micros(ts))).alias("l"), F.max("_start").alias("opens"))
 
     def step(acc: Column, x: Column) -> Column:
-        far = (F.size(acc) == 0) | (x["us"] - F.element_at(acc, -1)["us"] >= us)
+        far = (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= us)
         return F.when(far, F.array_append(acc, x)).otherwise(acc)
 
-    empty = F.array().cast(slices.schema["l"].dataType)
-    opening = slices.where("opens").withColumn("k", F.aggregate("l", empty, step))
+    opening = slices.where("opens").withColumn("k", F.aggregate("l", F.array().cast("array<bigint>"), step))
     following = slices.where(~F.col("opens"))
-    times = F.transform("l", lambda x: x["us"])
     width = int(slice_sec * 1_000_000)
     entry = F.col("_slice") * width
 
-    ends = opening.select(*by, F.element_at("k", -1)["us"].alias("out"), F.lit(None).cast(_EXITS).alias("exits"))
-    tables = following.select(*by, F.lit(None).cast("bigint").alias("out"), _exit_table(times, entry, F.lit(us)).alias("exits"))
+    ends = opening.select(*by, F.element_at("k", -1).alias("out"), F.lit(None).cast(_EXITS).alias("exits"))
+    tables = following.select(*by, F.lit(None).cast("bigint").alias("out"), _exit_table(F.col("l"), entry, F.lit(us)).alias("exits"))
     links = ends.unionByName(tables).groupBy(*keys, "_run").agg(
         F.sort_array(F.collect_list(F.struct("_slice", "out", "exits"))).alias("c")).where(F.size("c") > 1)
 
@@ -71,9 +67,17 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
     entries = links.withColumn("e", F.aggregate("c", zero, chain, lambda acc: acc["list"])) \
         .select(*keys, "_run", F.explode("e").alias("e")).select(*keys, "_run", "e._slice", F.col("e.from").alias("from_us"))
     known = following.join(entries, by)
-    places = _kept_places(F.transform("l", lambda x: x["us"]), F.col("from_us"), F.lit(us))
-    late = known.withColumn("at", places).select(*keys, F.explode(F.transform("at", lambda i: F.get("l", i))).alias("x"))
-    return opening.select(*keys, F.explode("k").alias("x")).unionByName(late).select(*keys, "x.row.*")
+    places = _kept_places(F.col("l"), F.col("from_us"), F.lit(us))
+    late = known.withColumn("at", places).select(*keys, F.explode(F.transform("at", lambda i: F.get("l", i))).alias("_us"))
+    kept = opening.select(*keys, F.explode("k").alias("_us")).unionByName(late)
+    # of the changes at a kept instant the first to arrive stands
+    rest = [c for c in changes.columns if c not in (*keys, arrival)]
+    first = F.min(F.struct(*([arrival] if arrival else []), *rest)).alias("_row")
+    named = kept.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_us")
+    same = F.unix_micros(changes[ts]) == named["_us"]
+    for i, k in enumerate(keys):
+        same = same & changes[k].eqNullSafe(named[f"_k{i}"])
+    return changes.join(named, same).groupBy(*keys, "_us").agg(first).select(*keys, "_row.*").select(*changes.columns)
 
 
 _EXITS = T.ArrayType(T.StructType([T.StructField("upto", T.LongType()), T.StructField("exit", T.LongType())]))
