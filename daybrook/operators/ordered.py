@@ -7,6 +7,8 @@ row per bucket carries what the next bucket needs.  The results are exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,30 @@ def islands(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return running_sum(df, keys, bucket, order, F.when(starts, 1).otherwise(0).cast("bigint"), out)
 
 
+def runs(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column,
+         starts: Callable[[Column, Column], Column], out: str, first: str | None = None) -> DataFrame:
+    """``islands`` whose starts follow from the value before and the own one: ``starts(before, own)``, in one pass.
+
+    The value before a key's first row is null.  ``first`` names a flag of the rows that start a run.
+    """
+    cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    local = cut.withColumn("_nth", F.row_number().over(inside)).withColumn("_before", F.lag("_value").over(inside))
+    local = local.withColumn("_opens", (F.col("_nth") > 1) & starts(F.col("_before"), F.col("_value")))
+    local = local.withColumn("_seen", F.sum(F.col("_opens").cast("bigint")).over(inside.rowsBetween(BEFORE, HERE)))
+    row = F.struct(*local.columns)
+    ends = local.groupBy(*keys, "_bucket").agg(F.max_by(row, F.col("_nth")).alias("_l"), F.min_by(row, F.col("_nth")).alias("_f"))
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    known = ends.select(*keys, "_bucket", F.col("_l._seen").alias("_total"), F.col("_f._value").alias("_head"), F.lag("_l._value").over(across).alias("_tail"))
+    known = known.withColumn("_edge", starts(F.col("_tail"), F.col("_head")).cast("bigint"))
+    carry = F.sum(F.col("_total") + F.col("_edge")).over(across.rowsBetween(BEFORE, -1))
+    known = known.select(*keys, "_bucket", "_edge", (F.coalesce(carry, F.lit(0)) + F.col("_edge")).alias("_carry"))
+    joined = _same(local, known, [*keys, "_bucket"]).withColumn(out, F.col("_carry") + F.col("_seen"))
+    if first:
+        joined = joined.withColumn(first, F.col("_opens") | ((F.col("_nth") == 1) & (F.col("_edge") == 1)))
+    return joined.drop("_bucket", "_value", "_nth", "_before", "_opens", "_seen", "_edge", "_carry")
+
+
 def with_lookback(df: DataFrame, ts: Column, span_sec: float, bucket_sec: float) -> DataFrame:
     """Cut time into buckets and lend each bucket the last ``span_sec`` of the one before.
 

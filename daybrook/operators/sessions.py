@@ -34,10 +34,7 @@ def coalesce_changes(changes: DataFrame, keys: list[str], ts: str = "ts", *, arr
     slice_sec = max(bucket_sec, spacing_sec)
     order = [F.col(ts), *([F.col(arrival)] if arrival else [])]
     bucket = ordered.time_bucket(F.col(ts), slice_sec)
-    prior = ordered.previous(changes, keys, bucket, order, F.unix_micros(ts), "_p")
-    starts = F.col("_p").isNull() | (F.unix_micros(ts) - F.col("_p") >= us)
-    flagged = prior.withColumn("_start", starts).drop("_p")
-    runs = ordered.islands(flagged, keys, bucket, order, F.col("_start"), "_run")
+    runs = ordered.runs(changes, keys, bucket, order, F.unix_micros(ts), lambda before, own: before.isNull() | (own - before >= us), "_run", "_start")
     by = [*keys, "_run", "_slice"]
     slices = runs.withColumn("_slice", bucket).groupBy(*by).agg(
         F.sort_array(F.collect_set(F.unix_micros(ts))).alias("l"), F.max("_start").alias("opens"))
