@@ -6,6 +6,7 @@ time, so new rows are appended and only the days they touch are built again.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,21 @@ def run(query_of: Callable, *, once: bool, every: str = "5 seconds") -> Streamin
     return writer.start()
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in at most two partitions a core.
+
+    A state partition is a store of its own that lives as long as the stream; more of them than the
+    cluster can work on only cost time in every batch.
+    """
+    name, own = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, min(int(own), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """Row log as a stream of events; lines that do not parse are left out."""
     return split_corrupt(parse_lines(spark.readStream.text(path)))[0]
@@ -192,9 +208,10 @@ def timeline_pipeline(events: DataFrame, root: str, *, once: bool = True) -> lis
     bronze, touched = f"{root}/bronze", f"{root}/touched"
 
     def start(writer, name: str) -> StreamingQuery:
-        query = run(writer.option("checkpointLocation", f"{root}/state-{name}"), once=once)
-        if once:
-            query.awaitTermination()
+        with state_partitions(spark):
+            query = run(writer.option("checkpointLocation", f"{root}/state-{name}"), once=once)
+            if once:
+                query.awaitTermination()
         return query
     stored = start(keyed.writeStream.format("parquet").partitionBy("date_key").option("path", bronze), "bronze")
     # a folder is a partition of text, whatever its name looks like
@@ -280,5 +297,6 @@ def collect_table(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         def write(batch: DataFrame, _: int) -> None:
             batch.write.mode("overwrite").parquet(path)
         writer = stream.writeStream.outputMode(mode).foreachBatch(write)
-    run(writer.option("checkpointLocation", checkpoint), once=True).awaitTermination()
+    with state_partitions(spark):
+        run(writer.option("checkpointLocation", checkpoint), once=True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
