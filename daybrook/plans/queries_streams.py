@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import prepare, work_dir
+from ..session import materialize, prepare, work_dir
 from ..streaming import focus_stream, jobs, runs_stream
 from .activity import activity
 from .queries_sessions import FOCUS_RULES, focus_rows, process_ticks, stream_rows, window_samples
@@ -14,19 +15,31 @@ from .queries_sessions import FOCUS_RULES, focus_rows, process_ticks, stream_row
 SILENCE = 90 * 86_400.0
 
 
-def arrivals(rows: DataFrame, name: str, *, replay: bool = False) -> DataFrame:
-    """A stream of ``rows`` in two arrivals by the clock, the second one twice with ``replay``; then a beat that ends all hosts.
+#: Rows of an arrival; a stream holds the rows of one arrival and reads them as one micro-batch.
+ARRIVAL_ROWS = 1_000_000
 
-    The beat is a row of a host of its own, long after the last one; it moves the clock on.
+
+def arrivals(rows: DataFrame, name: str, *, replay: bool = False, size: int = ARRIVAL_ROWS) -> DataFrame:
+    """A stream of ``rows`` in two arrivals or more by the clock, the later half twice with ``replay``; then a beat that ends all hosts.
+
+    An arrival has about ``size`` rows at most, as far as the clock tells them apart.  The beat is a row of a
+    host of its own, long after the last one; it moves the clock on.
     """
     spark, src = rows.sparkSession, work_dir(rows.sparkSession, name)
-    middle = F.lit(rows.agg(F.timestamp_micros(F.floor((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2))).first()[0])
+    rows = materialize(rows.where("ts is not null"), "feed")
+    turns = max(2, -(-rows.count() // size))
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / turns for k in range(1, turns)], 100 * turns).alias("cuts")).first()["cuts"] or []
+    turn = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.unix_micros("ts"))) if cuts else F.lit(0)
+    staged = work_dir(spark, "turns")
+    rows.withColumn("_turn", turn).write.partitionBy("_turn").parquet(staged)
     beat = rows.groupBy().agg(F.max("ts").alias("last")).select(
         *(F.lit(f"beat of {name}").alias("host") if f.name == "host" else (F.col("last") + F.make_dt_interval(F.lit(int(2 * SILENCE / 86_400)))).alias("ts") if f.name == "ts"
           else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema))
-    late = rows.where(F.col("ts") >= middle)
-    for part in (rows.where(F.col("ts") < middle), late, *([late] if replay else []), beat):
-        part.coalesce(1).write.mode("append").parquet(src)
+    staged = spark.read.schema(T.StructType([*rows.schema, T.StructField("_turn", T.IntegerType())])).parquet(staged)
+    for k in range(turns):
+        for _ in range(2 if replay and 2 * k >= turns else 1):
+            staged.where(F.col("_turn") == k).drop("_turn").coalesce(1).write.mode("append").parquet(src)
+    beat.coalesce(1).write.mode("append").parquet(src)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src).where("ts is not null")
 
 

@@ -60,11 +60,19 @@ class FocusFold(InOrder):
         self.aside = handle.getMapState("aside", _WINDOW, struct("seen boolean"))
 
     def _load(self) -> Carry:
+        self.seen = dict.fromkeys(self.aside.keys())
         return Carry(*self.carry.get()) if self.carry.exists() else Carry()
 
+    def _save(self, c: Carry) -> None:
+        """The windows aside of the open session are held while a micro-batch is folded, and written once after it."""
+        self.carry.update(tuple(asdict(c).values()))
+        self.aside.clear()
+        for window in self.seen:
+            self.aside.updateValue(tuple(window), (True,))
+
     def _finish(self, c: Carry, until: int, wall: str, back: float | None) -> list[dict]:
         """The session that ends at ``until``; sums, signals and windows aside start again."""
-        satellites = sorted((title, process) for title, process in self.aside.keys() if title != c.anchor)
+        satellites = sorted((title, process) for title, process in self.seen if title != c.anchor)
         row = {"type": "SESSION", "ts_wall": c.begun_wall, "anchor": c.anchor, "process": c.process, "satellites": [{"title": t, "process": p} for t, p in satellites],
                "duration_sec": max(until - c.begun, 0) / 1e6, "ended": wall, "ended_back": back}
         row |= {name: getattr(c, name) for name in (*COUNTS, *SIGNALS)}
@@ -72,7 +80,7 @@ class FocusFold(InOrder):
             setattr(c, name, 0)
         for name in SIGNALS:
             setattr(c, name, None)
-        self.aside.clear()
+        self.seen.clear()
         return [row]
 
     def fold(self, rows: pd.DataFrame) -> list[dict]:
@@ -90,7 +98,7 @@ class FocusFold(InOrder):
                     c.away = None
                 out += self._work(c, block)
         c.last_us, c.last_wall = int(us[-1]), rows["wall"].iloc[-1]
-        self.carry.update(tuple(asdict(c).values()))
+        self._save(c)
         return out
 
     def _rest(self, c: Carry, block: pd.DataFrame) -> list[dict]:
@@ -106,7 +114,7 @@ class FocusFold(InOrder):
                 out = self._finish(c, c.away, wall, quiet)
             for name in COUNTS:
                 setattr(c, name, 0)
-            self.aside.clear()
+            self.seen.clear()
             c.anchor = c.process = c.begun = c.begun_wall = c.run = c.since = None
             out.append({"type": "IDLE_START", "ts_wall": wall, "back": quiet, "seconds": round(quiet)})
         for name in COUNTS:
@@ -139,18 +147,22 @@ class FocusFold(InOrder):
         us, walls = block["us"].to_numpy(np.int64), block["wall"].tolist()
         titles, names = block["title"].to_numpy(object), block["process"].tolist()
         opens, firsts = self._opens(c, us, titles, names)
+        taking: set[int] = set()
         totals = {name: np.concatenate([[0], np.cumsum(block[name].to_numpy(np.int64))]) for name in COUNTS}
         said = {name: np.array([k for k, text in enumerate(block[name]) if text and titles[k] is not None], np.int64) for name in SIGNALS}
-        out, place, counted, spacing = [], 0, 0, int(self.rules.periodic * 1e6)
+        out, place, counted, met, spacing = [], 0, 0, 0, int(self.rules.periodic * 1e6)
 
         def collect(upto: int, heard: int) -> None:
             """Give the open session its sums and windows up to a sample, and its signals before another one."""
-            nonlocal counted, place
+            nonlocal counted, place, met
             for name in COUNTS:
                 setattr(c, name, getattr(c, name) + int(totals[name][upto] - totals[name][counted]))
-            for at, title, process in firsts:
-                if counted <= at < upto and title != c.anchor:
-                    self.aside.updateValue((title, process), (True,))
+            # runs are in order and every sample is counted once, so each run is met once
+            while met < len(firsts) and firsts[met][0] < upto:
+                at, title, process = firsts[met]
+                if at not in taking and title != c.anchor:
+                    self.seen[title, process] = None
+                met += 1
             for name in SIGNALS:
                 own = said[name][slice(*np.searchsorted(said[name], [place, heard]))]
                 own = own[titles[own] == c.anchor]
@@ -170,7 +182,7 @@ class FocusFold(InOrder):
                 place = at
             else:
                 # a window that takes over with its first sample was never aside
-                firsts = [first for first in firsts if first[0] != at]
+                taking.add(at)
                 collect(at + 1, at)
                 out += self._finish(c, int(us[at]), walls[at], None)
             c.anchor, c.process, c.begun, c.begun_wall = title, process, int(us[at]), walls[at]

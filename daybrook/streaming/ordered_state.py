@@ -3,7 +3,8 @@
 Rows wait in the state until the watermark has passed them; then they are handled in order.  A key
 that is silent for a given time is closed: by a gap between two rows or, without a further row,
 by an event-time timer.  Both give the same rows, so results do not depend on how rows are cut into
-micro-batches.  What waits is at most a key's rows of one micro-batch and of the watermark's delay.
+micro-batches.  What waits is at most a key's rows of one micro-batch and of the watermark's delay; it is
+kept in blocks of some thousand rows, because adding to a list in the state store reads the list again.
 """
 
 from __future__ import annotations
@@ -12,20 +13,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Keeps several state variables of a key and its timers.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a block.
+BLOCK_ROWS = 10_000
+
 _KINDS = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
 def struct(fields: str, **more: T.DataType) -> T.StructType:
     """A row type from ``name kind`` pairs, and further fields; needs no session."""
-    named = [T.StructField(name, _KINDS[kind]) for name, kind in (field.split() for field in fields.split(","))]
+    named = [T.StructField(name, _KINDS[kind]) for name, kind in (field.split() for field in fields.split(",") if field)]
     return T.StructType([*named, *(T.StructField(name, kind) for name, kind in more.items())])
 
 
@@ -43,7 +49,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getMapState("waiting", struct("number long"), struct("", block=T.BinaryType()))
+        self.blocks = handle.getValueState("blocks", struct("n long"))
         self.heard = handle.getValueState("heard", struct("us long"))
         self.opened(handle)
 
@@ -59,17 +66,40 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number = self.blocks.get()[0] if self.blocks.exists() else 0
         for part in rows:
-            if len(part):
-                self.waiting.appendList(list(zip(*(_values(part[field.name], field.dataType) for field in self.rows), strict=True)))
+            number = self._store(part, number)
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
 
+    def _store(self, rows: pd.DataFrame, number: int) -> int:
+        """Put rows into blocks from ``number`` on; gives the number of blocks."""
+        schema = to_arrow_schema(self.rows)
+        for low in range(0, len(rows), BLOCK_ROWS):
+            part = rows.iloc[low:low + BLOCK_ROWS]
+            table = pa.table([pa.array(_values(part[f.name], f.dataType), schema.field(f.name).type) for f in self.rows], schema=schema)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as writer:
+                writer.write_table(table)
+            self.waiting.updateValue((number,), (sink.getvalue().to_pybytes(),))
+            number += 1
+        if number:
+            self.blocks.update((number,))
+        return number
+
+    def _held(self) -> pd.DataFrame | None:
+        """The waiting rows, as they came."""
+        number = self.blocks.get()[0] if self.blocks.exists() else 0
+        if not number:
+            return None
+        table = pa.concat_tables(pa.ipc.open_stream(bytes(self.waiting.getValue((k,))[0])).read_all() for k in range(number))
+        return pd.DataFrame({name: pd.Series(table.column(name).to_pylist(), dtype=object) for name in self.rows.names})
+
     def _advance(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
         heard = self.heard.get()[0] if self.heard.exists() else None
-        held = pd.DataFrame([tuple(row) for row in self.waiting.get()], columns=self.rows.names, dtype=object) if self.waiting.exists() else None
+        held = self._held()
         done, left = [], 0
         if held is not None:
             us = held["us"].to_numpy(np.int64)
@@ -77,10 +107,10 @@ class InOrder(StatefulProcessor):
             left = int((~ready).sum())
             if ready.any():
                 now = held[ready].sort_values(["us", "seq"], kind="stable")
+                self.waiting.clear()
+                self.blocks.clear()
                 if left:
-                    self.waiting.put([tuple(row) for row in held[~ready].itertuples(index=False)])
-                else:
-                    self.waiting.clear()
+                    self._store(held[~ready], 0)
                 us = now["us"].to_numpy(np.int64)
                 gaps = np.flatnonzero(np.diff(us, prepend=us[0] if heard is None else heard) > self.silence_us)
                 for low, high in zip([0, *gaps], [*gaps, len(now)], strict=True):

@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from daybrook.operators import focus, sessions
+from daybrook.plans import queries_streams
 from daybrook.session import work_dir
 from daybrook.streaming import focus_stream, jobs, runs_stream
 
@@ -93,3 +95,76 @@ def test_scan_feed_gives_the_batch_runs_and_ignores_replays(spark, seed, parts):
     names = sorted(want.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, (tuple(r) for r in want.select(*names).collect())))
     assert got.count() > 3
+
+
+class Held:
+    """A state variable in memory that counts what is written."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def updateValue(self, key, value):
+        self.held[key], self.writes = value, self.writes + 1
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def keys(self):
+        return list(self.held)
+
+    def clear(self):
+        self.held.clear()
+
+
+class Handle(dict):
+    def getValueState(self, name, *_):
+        return self.setdefault(name, Held())
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_a_large_arrival_waits_in_few_blocks_and_writes_its_windows_once():
+    n, handle = 25_000, Handle()
+    frame = pd.DataFrame({"us": [k * 1_000_000 for k in range(n)], "seq": range(n), "wall": [str(k) for k in range(n)], "title": [f"t{k % 3}" for k in range(n)],
+                          "process": "p", "quiet": 0.0, "keys": 1, "mouse": 0, "saves": 0, **{name: None for name in focus.SIGNALS}})
+    fold = focus_stream.FocusFold(focus.FocusRules(anchor_timeout=1e6, periodic=1e9), 10**12)
+    fold.init(handle)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+    assert list(fold.handleInputRows(("h",), iter([frame]), Clock(-1))) == []
+    assert len(handle["waiting"].held) == 3
+    list(fold.handleExpiredTimer(("h",), Clock(n * 1000), None))
+    assert not handle["waiting"].held and handle["aside"].writes == 2 and handle["carry"].held[()][9] == n
+
+
+def test_arrivals_of_bounded_size_by_the_clock(spark):
+    rows = spark.range(1000).select(F.lit("h").alias("host"), F.timestamp_seconds("id").alias("ts"), "id")
+    feed = queries_streams.arrivals(rows, "feed", replay=True, size=200)
+    files = [row["rows"] for row in spark.read.parquet(feed_path(feed)).groupBy(F.input_file_name()).agg(F.collect_list("id").alias("rows")).collect()]
+    spans = sorted((min(ids), max(ids), len(ids)) for ids in files if ids)
+    assert max(n for _, _, n in spans) <= 201 and len(set(spans)) == 5 and len(spans) == 7
+    assert all(a[1] < b[0] for a, b in zip(sorted(set(spans)), sorted(set(spans))[1:]))
+
+
+def feed_path(feed):
+    return feed._jdf.queryExecution().logical().toString().split("FileSource[")[1].split("]")[0]
