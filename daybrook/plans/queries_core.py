@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, gate, refresh, rollup, timeline
-from ..session import materialize, prepare, work_dir
+from ..session import materialize, prepare, spread, work_dir
 from ..sources.registry import names_of
 from .activity import PROJECTS, RUN_TS, activity, table
 
@@ -239,7 +239,8 @@ def rules_in_pages(spark, sf_dir):
     """A hundred rules a part and some a customer, looked up in every page: pages and first page per rule."""
     from ..operators import patterns
     prepare(spark)
-    part = table(spark, sf_dir, "part").select("p_name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.col("p_partkey") * 100 + i)).alias("n"))
+    # a row becomes a hundred and more
+    part = spread(table(spark, sf_dir, "part"), 10_000).select("p_name", F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.col("p_partkey") * 100 + i)).alias("n"))
     rules = part.select(F.concat(F.when(F.col("n") % 3 == 0, "/").when(F.col("n") % 3 == 1, " ").otherwise(">"), F.col("n").cast("string")).alias("pattern"))
     customers = table(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_name"), F.concat(F.lit("id"), F.col("c_custkey").cast("string")))).alias("pattern"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))

@@ -65,11 +65,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores over all cores.
+#: Rows of a split that row-wise work starts from; a narrow row can become a kilobyte and more of events or texts.
+SPLIT_ROWS = 100_000
 
-    Row-wise text work is heavy, and a small single file would run in one task.  A table
-    with enough splits is returned as it is, without a shuffle.
+
+def spread(df: DataFrame, rows: int = SPLIT_ROWS) -> DataFrame:
+    """Spread a scan with few or large splits over all cores, with about ``rows`` rows in a split at most.
+
+    Row-wise text work is heavy, and a small single file would run in one task.  Splits of a file grow with
+    the table until they have the size that Spark reads at once; a packed file of that size holds millions of
+    rows.  A table with enough splits is returned as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # counted from the files' footers
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

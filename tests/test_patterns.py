@@ -68,3 +68,23 @@ def test_registry_table_gives_the_inline_verdicts(spark):
     want = attribution.with_match(cases(spark, rows), odd).select(*cols).orderBy("i").collect()
     assert rulejoin.with_match_joined(cases(spark, rows), odd).select(*cols).orderBy("i").collect() == want
     assert rulejoin.with_match_joined(cases(spark, rows), registry.from_dicts(spark, odd)).select(*cols).orderBy("i").collect() == want
+
+
+def test_a_text_that_all_rules_share_pairs_nothing(spark):
+    """Every text holds what all rules have in common; only the number tells them apart."""
+    rules = spark.createDataFrame([(str(k), f"page=2.*x{k}z|BLOG\\.(?:ou|an)\\.example/{k}y") for k in range(300)], "rule STRING, pattern STRING")
+    found = sorted(row["pattern"] for row in patterns.looked_up(rules).where("rule = '17'").collect())
+    assert found == ["/17y", "x17z"] or found == [".example/17y", "x17z"]
+    texts = spark.createDataFrame([(k, f"page=2 blog.ou.example/{k}y") for k in range(300)], "id LONG, text STRING")
+    assert sorted(map(tuple, patterns.regex_join(texts, rules, key="id").collect())) == [(k, str(k)) for k in range(300)]
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_only_patterns_that_occur_reach_the_automata(spark, monkeypatch, most):
+    monkeypatch.setattr(patterns, "MOST_STARTS", most)
+    known = ["a", "é", "bc", "bcd", "abcdefgh", "abcdefghi", "abcdefghX", "zz", "q", "cd ef"]
+    texts = spark.createDataFrame([(1, "xabcdefghi é"), (2, None), (3, ""), (4, "cd ef")], "id LONG, text STRING")
+    table = spark.createDataFrame([(p,) for p in known], "pattern STRING")
+    assert sorted(r["pattern"] for r in patterns.occurring(texts, table).collect()) == sorted(set(known) - {"zz", "q"})
+    got = sorted(map(tuple, patterns.contains_join(texts, table, key="id", part_chars=3).collect()))
+    assert got == sorted((i, p) for i, t in ((1, "xabcdefghi é"), (4, "cd ef")) for p in known if p in t)
