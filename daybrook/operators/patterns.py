@@ -294,5 +294,6 @@ def regex_join(texts: DataFrame, rules: DataFrame, *, key: str, text: str = "tex
     folded = texts.select(key, F.translate(F.col(text), _UPPER, _LOWER).alias(text))
     near = contains_join(folded, split.select("pattern"), key=key, text=text)
     tried = near.join(split, "pattern").select(key, "rule", "regex").distinct()
-    joined = tried.join(texts.select(key, F.col(text).alias("_text")), key)
+    # texts are as many as they are: a broadcast of them would pass the driver
+    joined = tried.join(texts.select(key, F.col(text).alias("_text")).hint("merge"), key)
     return joined.where(F.regexp_like("_text", F.col("regex"))).select(key, "rule")

@@ -76,7 +76,7 @@ def with_match_joined(events: DataFrame, projects: DataFrame | list[dict]) -> Da
     inside = inside.join(texts, inside["pattern"] == texts["value"]).select("_h", "pid", "kind", "value", "entries")
     # what a note says is part of the text, so notes are looked up among its finds
     notes = distinct.where("_s.note <> ''").select("_h", F.col("_s.note").alias("note"))
-    noted = inside.where("kind = 'signal_keyword'").join(notes, "_h").where(F.contains("note", F.col("value"))).select("_h", "pid", F.lit("signal_note").alias("kind"), "value", "entries")
+    noted = inside.where("kind = 'signal_keyword'").join(notes.hint("merge"), "_h").where(F.contains("note", F.col("value"))).select("_h", "pid", F.lit("signal_note").alias("kind"), "value", "entries")
     found = patterns.regex_join(distinct.select("_h", F.col("_s.titles").alias("text")), regex_rules(rows), key="_h")
     named = found.select("_h", F.regexp_replace("rule", "^[^/]*/", "").alias("pid"), F.substring_index("rule", "/", 1).alias("kind"), F.lit("").alias("value"), F.lit(1).cast("bigint").alias("entries"))
     hits = met.unionByName(inside).unionByName(noted).unionByName(named)
@@ -102,4 +102,5 @@ def with_match_joined(events: DataFrame, projects: DataFrame | list[dict]) -> Da
                             F.concat(F.lit("tie between "), "t.ids").alias("reason"))) \
         .otherwise(F.struct(F.col("t.pid").alias("project_id"), F.col("t.score").alias("score"), F.col("t.method").alias("method"),
                             F.concat("t.method", F.lit(" of "), "t.pid").alias("reason")))
-    return marked.join(top, "_h", "left").withColumn("match", verdict).drop("_h", "_s", "t")
+    # both sides grow with the events; packed files look smaller than the rows that a broadcast would hold on the driver
+    return marked.join(top.hint("merge"), "_h", "left").withColumn("match", verdict).drop("_h", "_s", "t")

@@ -88,3 +88,12 @@ def test_only_patterns_that_occur_reach_the_automata(spark, monkeypatch, most):
     assert sorted(r["pattern"] for r in patterns.occurring(texts, table).collect()) == sorted(set(known) - {"zz", "q"})
     got = sorted(map(tuple, patterns.contains_join(texts, table, key="id", part_chars=3).collect()))
     assert got == sorted((i, p) for i, t in ((1, "xabcdefghi é"), (4, "cd ef")) for p in known if p in t)
+
+
+def test_what_grows_with_the_texts_is_not_broadcast(spark):
+    rules = spark.createDataFrame([("r", "a+b")], "rule STRING, pattern STRING")
+    texts = spark.createDataFrame([(1, "xaab"), (2, "b")], "id LONG, text STRING")
+    found = patterns.regex_join(texts, rules, key="id")
+    assert [tuple(r) for r in found.collect()] == [(1, "r")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
