@@ -42,8 +42,11 @@ def stream_gate(spark, sf_dir):
     """The gate over a stream of files: stored events by type, and the metrics of all batches together."""
     src, root = work_dir(prepare(spark), "raw"), work_dir(spark, "gate-store")
     rows = activity(spark, sf_dir)
-    rows.repartition(4).write.parquet(src)
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    # a file for each split, and a batch of files for all cores
+    files = max(4, rows.rdd.getNumPartitions())
+    rows.repartition(files).write.parquet(src)
+    at_once = min(files // 2, 2 * spark.sparkContext.defaultParallelism)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(src)
     jobs.run(jobs.gate_stream(feed, ROOTS, root, work_dir(spark, "gate-state"), passed_at=RUN_TS), once=True).awaitTermination()
     sums = jobs.metric_rows(spark, root).agg(*(F.sum(c).alias(c) for c in ("rows", "dropped")))
     facts = sums.select(F.explode(F.array(F.struct(F.lit("(rows)").alias("type"), F.col("rows").alias("n")), F.struct(F.lit("(dropped)").alias("type"), F.col("dropped").alias("n")))).alias("f"))
