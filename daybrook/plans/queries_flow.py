@@ -275,7 +275,8 @@ def stream_trust(spark, sf_dir):
     """Reports through the trust stream; the same verdicts as the batch query."""
     src = work_dir(prepare(spark), "reports")
     report_json(spark, sf_dir).write.parquet(src)
-    stream = spark.readStream.schema("event_id LONG, value STRING, file_name STRING").parquet(src)
+    # a batch takes some files a core, however many there are
+    stream = spark.readStream.schema("event_id LONG, value STRING, file_name STRING").option("maxFilesPerTrigger", 2 * spark.sparkContext.defaultParallelism).parquet(src)
     out, state = work_dir(spark, "trust"), work_dir(spark, "trust-state")
     jobs.run(jobs.trust_stream(reports.report_texts(stream), out, state, now=RUN_TS, trusted=["agent:0", "agent:1", "agent:2"]), once=True).awaitTermination()
     return spark.read.parquet(out).groupBy(F.col("trust").cast("string").alias("trust")).agg(F.count("*").alias("n_reports"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from daybrook.functions import paths
 from daybrook.operators import gate, rollup
 from daybrook.plans import options
-from daybrook.session import rows_within, work_dir
+from daybrook.session import rows_within, spread, work_dir
 from daybrook.sinks import store
 from daybrook.streaming import jobs
 from tests.test_gate import NOW
@@ -52,3 +52,11 @@ def test_stream_metrics(spark):
     q.awaitTermination()
     assert [m for _, _, m in jobs.progress_rows(q) if m] == [{"rows": 2, "dropped": 1, "redacted": 1}]
     assert spark.read.parquet(out).where(F.col("drop_reason").isNull()).count() == 1
+
+
+def test_splits_are_bounded_by_rows(spark):
+    path = work_dir(spark, "packed")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    rows = spread(spark.read.parquet(path), 50)
+    assert rows.rdd.getNumPartitions() == 20 and rows.count() == 1000
+    assert spread(spark.read.parquet(path), 5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
