@@ -53,6 +53,16 @@ def test_trust_intake(spark):
     assert got[7]["payload"]["reasons"] == ["event must be an object"]
 
 
+def test_a_report_is_trimmed_and_its_clock_read_once(spark):
+    files = spark.createDataFrame([(" [1, {}]\n", "f")], "value STRING, file_name STRING")
+    texts = reports.report_texts(files)
+    assert [r["report"] for r in texts.collect()] == ["1", "{}"]
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    plan = reports.classify(texts, now=NOW)._jdf.queryExecution().optimizedPlan().toString()
+    # the message about the clock and the verdict read it once each
+    assert plan.count("future_timestamp") == 1 and plan.count("unparseable_ts_wall") == 1 and plan.count("^(\\d{4})(\\d{2})(\\d{2})") == 2
+
+
 def test_hosted_payloads_and_incremental_pull(spark):
     c = {"sha": "0123456789abcdef", "commit": {"message": "Fix it\nmore", "author": {"name": "Ana", "date": "2026-06-20T10:00:00Z"}}, "author": {"login": "ana"},
          "files": [{"filename": "a.py"}, {"other": 1}]}
