@@ -10,9 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffled bytes that one task reads where small partitions are put together; events and keys unfold to eight times as much in memory.
+TASK_BYTES = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings results depend on: instants are UTC, untrusted casts go through ``try_cast``."""
+    """Settings results depend on: instants are UTC, untrusted casts go through ``try_cast``.
+
+    Where the session names no size for the tasks behind a shuffle, they get a quarter of Spark's own: up to
+    that size a task, its sorts and its row-wise work would grow with the table.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    name, size = TASK_BYTES
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
     return spark
 
 

@@ -60,3 +60,13 @@ def test_splits_are_bounded_by_rows(spark):
     rows = spread(spark.read.parquet(path), 50)
     assert rows.rdd.getNumPartitions() == 20 and rows.count() == 1000
     assert spread(spark.read.parquet(path), 5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_task_behind_a_shuffle_stays_small(spark):
+    from daybrook.session import TASK_BYTES, prepare
+    own = spark.newSession()
+    prepare(own)
+    assert own.conf.get(TASK_BYTES[0]) == "16m"
+    # a size that the session names stands
+    own.conf.set(TASK_BYTES[0], "8m")
+    assert prepare(own).conf.get(TASK_BYTES[0]) == "8m"
