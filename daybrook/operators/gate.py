@@ -141,8 +141,9 @@ def scrub_nested(value: Column, dtype: T.DataType) -> Column:
 
     def walk(v: Column, texts: Column) -> Column:
         def put_back(done: Column) -> Column:
+            # bound, or every field of the payload would walk over all texts again
             return F.struct(
-                layout.rebuild(v, F.transform(done, lambda d: d["text"])).alias("clean"),
+                bind(F.transform(done, lambda d: d["text"]), lambda t: layout.rebuild(v, t)).alias("clean"),
                 F.array_sort(F.array_distinct(F.flatten(F.transform(
                     F.filter(done, lambda d: d.isNotNull()), lambda d: d["names"])))).alias("names"))
         return bind(F.transform(texts, lambda t: F.when(t.isNotNull(), scrub(t))), put_back)
