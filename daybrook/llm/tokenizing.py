@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -23,6 +24,11 @@ LINES = 20_000
 # them, so a text may be cut there.  Where the next character might be white space, it is not cut.
 _VISIBLE = "!-~À-ᙿᚁ-῿‐-‧‰-⁞⁠-⿿、-\U0010ffff"
 _CUT, _UNSURE = re.compile(f"(?= [{_VISIBLE}])"), re.compile(f" (?![{_VISIBLE}])")
+# A text may be cut before a line break as well, where a visible character follows it: what stands before it is a piece
+# of its own.  Of two line breaks the first is one if nothing else is white there.
+_UNSURE_LINE = re.compile(f"\n(?![{_VISIBLE}])(?!(?<=[{_VISIBLE}]\n)\n[{_VISIBLE}])")
+#: Punctuation that is a run of its own after a letter.
+_TAILS, _LETTERS = ".,;:!?%&#*+=/()[]{}\"", frozenset(string.ascii_letters)
 
 
 def version(path: str) -> str:
@@ -32,16 +38,16 @@ def version(path: str) -> str:
 
 
 def _keys(text: str) -> list[str]:
-    """Pieces as keys: a word for a space and that word, and any other piece with a space in front."""
+    """Pieces as keys: a word for a space and that word, a line break and a word for themselves, and any other piece with a space in front."""
     if not _UNSURE.search(text):
-        keys = text.split(" ")
+        keys = (text if _UNSURE_LINE.search(text) else text.replace("\n", " \n")).split(" ")
         keys[0] = " " + keys[0]
         return keys
-    return [piece[1:] if piece[:1] == " " and " " not in piece[1:] else " " + piece for piece in _CUT.split(text)]
+    return [piece[1:] if piece[:1] == " " and piece[1:2] != "\n" and " " not in piece[1:] else " " + piece for piece in _CUT.split(text)]
 
 
 def _piece(key: str) -> str:
-    return key[1:] if key[:1] == " " else " " + key
+    return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
 
 
 class Encoder:
@@ -67,7 +73,7 @@ class Encoder:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
         plain = all(not (token.get(side)) for token in spec.get("added_tokens", ()) for side in ("lstrip", "rstrip", "single_word"))
-        plain = plain and not any(" " in token["content"] for token in spec.get("added_tokens", ()))
+        self._special = [token["content"] for token in spec.get("added_tokens", ())]
         by_piece = plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         line_break = self._encode(["\n"])[0]
         self._line_break = line_break[0] if len(line_break) == 1 else -1
@@ -86,28 +92,54 @@ class Encoder:
         if len(self._known) > REMEMBERED:
             self._known, self._older = {}, self._known
         known = self._known
-        cut = [_keys(text) for text in texts]
-        fresh = set().union(*cut).difference(known)
-        again = fresh & self._older.keys()
-        known.update((key, self._older[key]) for key in again)
-        self._learn(list(fresh - again))
-        for keys in cut:
-            yield b"".join(map(known.__getitem__, keys))
+        # white space in front of a special string is cut as at the end of a text, so such texts stay whole
+        cut = [None if any(special in text for special in self._special) else _keys(text) for text in texts]
+        self._look_up(set().union(*filter(None, cut)).difference(known))
+        for text, keys in zip(texts, cut, strict=True):
+            yield array(self._code, self.ids(text)).tobytes() if keys is None else b"".join(map(known.__getitem__, keys))
+
+    def _look_up(self, fresh: set[str]) -> None:
+        """Make keys known: by the generation before, by the parts that they have, or by the library."""
+        known, older, breaks = self._known, self._older, self._line_break >= 0
+        again = fresh & older.keys()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        wanted, tailed, broken = [], [], []
+        for key in fresh - again:
+            core = key.rstrip(_TAILS)
+            if core[-1:] not in _LETTERS:
+                core = key
+            if breaks and key[:1] == "\n" and len(core) > 1:
+                broken.append((key, " " + core[1:], " " + key[len(core):]))
+            elif core is key:
+                wanted.append(key)
+            else:
+                tailed.append((key, core, " " + key[len(core):]))
+        parts = {part for pair in (tailed, broken) for _, *both in pair for part in both}.difference(known)
+        again = parts & older.keys()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        self._learn([*(parts - again).union(wanted)])
+        known.update((key, known[head] + known[tail]) for key, head, tail in tailed)
+        close = array(self._code, [max(self._line_break, 0)]).tobytes()
+        known.update((key, close + known[head] + known[tail]) for key, head, tail in broken)
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode new pieces; words that a line break cannot run into go together, as the lines of one text."""
-        lines = [key for key in fresh if key and "\n" not in key and key.strip() == key]
-        others = [key for key in fresh if not key or "\n" in key or key.strip() != key]
-        for low in range(0, len(lines), LINES):
-            part = lines[low:low + LINES]
-            ids = self._encode([" " + "\n ".join(part)])[0]
-            raw = array(self._code, ids).tobytes()
-            cuts = [place for place, one in enumerate(ids) if one == self._line_break]
-            if len(cuts) != len(part) - 1:
-                others += part
-                continue
-            starts, ends = [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]
-            self._known.update((key, raw[self.width * a:self.width * b]) for key, a, b in zip(part, starts, ends, strict=True))
+        lines, bare, others = [], [], []
+        for key in fresh:
+            word = key.removeprefix(" ")
+            plain = word and self._line_break >= 0 and "\n" not in word and word.strip() == word
+            (others if not plain else lines if word is key else bare).append(key)
+        for kind in (lines, bare):
+            for low in range(0, len(kind), LINES):
+                part = kind[low:low + LINES]
+                ids = self._encode(["\n".join(map(_piece, part))])[0]
+                raw = array(self._code, ids).tobytes()
+                cuts = [place for place, one in enumerate(ids) if one == self._line_break]
+                if len(cuts) != len(part) - 1:
+                    others += part
+                    continue
+                starts, ends = [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]
+                self._known.update((key, raw[self.width * a:self.width * b]) for key, a, b in zip(part, starts, ends, strict=True))
         self._known.update(zip(others, (array(self._code, ids).tobytes() for ids in self._encode([*map(_piece, others)])), strict=True))
 
 
@@ -124,9 +156,8 @@ def narrowest(path: str, end: int) -> int:
 
 #: Steps of a tokenizer file that look at a text word by word: nothing in them reaches across a space.
 _WORDWISE = ("NFC", "Replace", "Lowercase")
-#: A digit that stands between new words, punctuation that is a run of its own after a letter, and the last character
-#: up to which lower case depends on nothing but the character.
-_BETWEEN, _TAILS, _LATIN = "7", ".,;:!?%&#*+=/()[]{}\"", "\u024f"
+#: A digit that stands between new words, and the last character up to which lower case depends on nothing but the character.
+_BETWEEN, _LATIN = "7", "\u024f"
 
 
 class WordEncoder:

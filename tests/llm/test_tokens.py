@@ -75,3 +75,19 @@ def test_empty_tables(spark, tmp_path):
     assert token_counts.count_tokens(docs, BPE, str(tmp_path / "c")).collect() == []
     manifest = token_files.write_tokens(docs, BPE, str(tmp_path / "f"))
     assert token_files.read_tokens(spark, manifest, str(tmp_path / "f")).collect() == []
+
+
+def test_white_space_before_a_special_string_is_cut_as_the_library_cuts_it():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a  <|endoftext|>b", "a\n\n<|endoftext|>", "one,\n\ntwo.\nthree \n four\n\n\nfive\t\n\nsix\n", "\nhe's),\n'S it\r\n\r\nx"]
+    own = tokenizing.Encoder(path, 2)
+    assert list(own(texts)) == [np.array(own.ids(text), "<u2").tobytes() for text in texts]
+
+
+def test_words_before_punctuation_and_line_breaks_reach_the_library_once():
+    own, seen = tokenizing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2), []
+    library = own._encode
+    own._encode = lambda texts: seen.extend(texts) or library(texts)
+    text = "thonre thonre, thonre.\nThonre (thonre) thonre\nthonre\nThonre;"
+    (found,) = own([text])
+    assert sum(part.count("thonre") for part in seen) <= 3 and found == np.array(library([text])[0], "<u2").tobytes()
