@@ -76,6 +76,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffles_for(spark: SparkSession, parts: int) -> None:
+    """Shuffles start with at least ``parts`` partitions; Spark puts small ones together again.
+
+    A partition is never cut for an aggregate, so with a number that does not follow the table each of them,
+    and the memory of the task that sorts it, would grow with the table.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(name, max(parts, int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 #: Rows of a split that row-wise work starts from; a narrow row can become a kilobyte and more of events or texts.
 SPLIT_ROWS = 100_000
 
@@ -89,4 +99,5 @@ def spread(df: DataFrame, rows: int = SPLIT_ROWS) -> DataFrame:
     """
     # counted from the files' footers
     wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    shuffles_for(df.sparkSession, wanted)
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -100,3 +100,18 @@ def test_a_hot_id_is_one_row(spark):
     hot = [i for i, r in enumerate(rows) if r[0] == "hot"]
     best = min(hot, key=lambda i: (rows[i][2], i))
     assert best in got and sum(i in hot for i in got) == 1
+
+
+def test_shuffles_of_a_spread_table_start_with_as_many_partitions_as_its_splits(spark):
+    from daybrook.session import spread
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) + 30
+        spread(spark.range(wanted * 10), rows=10)
+        assert int(spark.conf.get(name)) == wanted
+        spread(spark.range(10), rows=10)
+        assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
