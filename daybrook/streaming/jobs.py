@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -141,34 +141,16 @@ def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-class DaysOfId(StatefulProcessor):
-    """The days of an event id, as state: one short text a id.  Gives every day of the id with its first day as hub."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getValueState("days", T.StructType([T.StructField("days", T.StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = set(self.days.get()[0].split("|")) if self.days.exists() else set()
-        days = sorted(known | {row["date_key"] for row in rows})
-        if len(days) > len(known):
-            self.days.update(("|".join(days),))
-        for day in days:
-            yield Row(day=day, hub=days[0])
-
-    def close(self) -> None:
-        pass
-
-
 def touched_days(log: DataFrame) -> DataFrame:
-    """Stream of ``(day, hub)``: the days whose timeline new rows can change, found by a look-up of their ids.
+    """Stream of ``(day, hub)`` for update mode: the days whose timeline new rows can change, found by a look-up of their ids.
 
-    An id is looked up in the state store, so a batch reads what its own ids need, however long the
-    history.  Days under one hub share an id.
+    State holds the days of each id, and one row a day for all rows without an id.  A batch looks up its own ids,
+    however long the history, and gives every day of them with the first one as hub.  Days under one hub share an id.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    named = log.where("event_id <> ''").select("event_id", "date_key").groupBy("event_id").transformWithState(
-        statefulProcessor=DaysOfId(), outputStructType="day STRING, hub STRING", outputMode="append", timeMode="none")
-    return named.unionByName(log.where("coalesce(event_id, '') = ''").select(F.col("date_key").alias("day"), F.col("date_key").alias("hub")))
+    named = F.coalesce(F.col("event_id"), F.lit("")) != ""
+    known = log.groupBy(named.alias("named"), F.when(named, F.col("event_id")).otherwise(F.col("date_key")).alias("id")).agg(F.collect_set("date_key").alias("days"))
+    return known.select(F.explode("days").alias("day"), F.array_min("days").alias("hub"))
 
 
 def rebuild_touched(bronze: str, schema: T.StructType, silver: str, links: str) -> Callable[[DataFrame, int], None]:
@@ -216,8 +198,12 @@ def timeline_pipeline(events: DataFrame, root: str, *, once: bool = True) -> lis
     stored = start(keyed.writeStream.format("parquet").partitionBy("date_key").option("path", bronze), "bronze")
     # a folder is a partition of text, whatever its name looks like
     log = spark.readStream.schema(keyed.schema).parquet(bronze)
-    found = start(touched_days(log).writeStream.format("parquet").option("path", touched), "touched")
-    pairs = spark.readStream.schema("day STRING, hub STRING").parquet(touched)
+
+    def put(batch: DataFrame, number: int) -> None:
+        # a batch that runs again writes its own folder again
+        batch.distinct().write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{touched}/batch-{number}")
+    found = start(touched_days(log).writeStream.outputMode("update").foreachBatch(put), "touched")
+    pairs = spark.readStream.schema("day STRING, hub STRING").parquet(f"{touched}/batch-*")
     built = start(pairs.writeStream.foreachBatch(rebuild_touched(bronze, keyed.schema, f"{root}/silver", f"{root}/links")), "silver")
     return [stored, found, built]
 

@@ -106,3 +106,17 @@ def test_days_found_by_look_up_equal_the_batch_timeline(spark):
     jobs.timeline_pipeline(spark.readStream.schema(rows.drop("n").schema).parquet(src), root)
     assert all(os.listdir(f"{silver}/{d}") == names for d, names in before.items()) and len(os.listdir(silver)) > len(before)
     rows.unpersist()
+
+
+def test_the_look_up_of_days_keeps_its_state_without_python(spark):
+    src, out = work_dir(spark, "ids"), work_dir(spark, "pairs")
+    schema, got = "event_id STRING, date_key STRING", []
+
+    def put(batch, number):
+        got.append({tuple(r) for r in batch.collect()})
+    for rows in ([("a", "1"), ("a", "2"), ("", "3"), (None, "4")], [("a", "3"), ("b", "2"), ("", "3")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        found = jobs.touched_days(spark.readStream.schema(schema).parquet(src))
+        assert "Python" not in found._jdf.queryExecution().logical().toString()
+        found.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    assert got == [{("1", "1"), ("2", "1"), ("3", "3"), ("4", "4")}, {("1", "1"), ("2", "1"), ("3", "1"), ("2", "2"), ("3", "3")}]
