@@ -57,19 +57,22 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of the rows lie in gaps, and where among them each word starts; words end at bytes in ``gaps``."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    gap = gaps[data[low:high]]
+    edge = np.zeros(len(gap) + 1, bool)
+    edge[offsets - low] = True
+    before = np.ones(len(gap), bool)
+    before[1:] = gap[:-1]
+    return gap, np.flatnonzero(~gap & (before | edge[:-1]))
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, A-Z in lower case, and the number of words of each row; words end at bytes in ``gaps``."""
     low, high = int(offsets[0]), int(offsets[-1])
     text = data[low:high]
-    if not len(text):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    gap = gaps[text]
-    edge = np.zeros(len(text) + 1, bool)
-    edge[offsets - low] = True
-    before = np.empty(len(text), bool)
-    before[0] = True
-    before[1:] = gap[:-1]
-    starts = np.flatnonzero(~gap & (before | edge[:-1]))
+    gap, starts = word_starts(data, offsets, gaps)
     counts = np.diff(np.searchsorted(starts, offsets - low))
     if not len(starts):
         return np.zeros(0, np.uint64), counts

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -63,3 +65,29 @@ def test_first_registered_query_steps_back_twice(spark, tmp_path):
 
 def test_empty_table(spark):
     assert backoff.backoff_scores(documents(spark, [])).collect() == []
+
+
+def test_texts_are_shuffled_once_and_written_nowhere(spark):
+    pick = random.Random(4)
+    scores = backoff.backoff_scores(documents(spark, [(i, sentence(pick, 50)) for i in range(40)]))
+    assert len(scores.collect()) == 40
+    assert not scores.inputFiles()
+    assert scores._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("count", [0, 1, 8000])
+def test_keys_take_little_more_than_four_bytes(count):
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 48, count, np.uint64))
+    raw = backoff._steps(keys)
+    assert len(raw) < 4.7 * count + 20
+    assert backoff._unstepped(raw, count).tolist() == keys.tolist()
+
+
+def test_repeated_rows_are_dealt_to_many_buckets_and_vouch_for_each_other(spark, monkeypatch):
+    rows = [(None, "one two three two one")] * 300 + [(1, "one two four")]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 300, pa.int64()), pa.array([None] * 300, pa.int64()), pa.array([rows[0][1]] * 300)], names=["spot", "doc_id", "text"])
+    sizes = Counter(pa.Table.from_batches(backoff._dealt(10)([batch])).column("bucket").to_pylist())
+    assert len(sizes) == 10 and min(sizes.values()) > 10
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 500)
+    got = sorted((r["n_words"], r["n_backed_off"], round(r["log10_score"], 6)) for r in backoff.backoff_scores(documents(spark, rows)).collect())
+    assert got == sorted((n, b, round(x, 6)) for n, b, x in brute([t for _, t in rows], 3))
