@@ -286,12 +286,13 @@ def stream_timeline(spark, sf_dir):
     """Two arrivals of the activity view; touched days rebuilt; equal to the batch timeline."""
     src = work_dir(prepare(spark), "arrivals")
     rows = activity(spark, sf_dir)
-    rows.where("arrival_seq % 2 = 0").write.parquet(f"{src}/batch=0")
-    rows.where("arrival_seq % 2 = 1").write.parquet(f"{src}/batch=1")
-    schema = rows.schema
-    stream = spark.readStream.schema(schema.add("batch", "integer")).option("maxFilesPerTrigger", 8).parquet(src).drop("batch")
     bronze, silver, state = work_dir(spark, "bronze"), work_dir(spark, "silver"), work_dir(spark, "timeline-state")
-    jobs.run(stream.writeStream.foreachBatch(jobs.rebuild_days(bronze, silver)).option("checkpointLocation", state), once=True).awaitTermination()
+    with jobs.settings(spark, jobs.WHOLE_EVENTS):
+        for turn in range(2):
+            rows.where(F.col("arrival_seq") % 2 == turn).write.mode("append").parquet(src)
+            # an arrival is one batch, however many files it has: a batch builds all days again that it touches
+            stream = spark.readStream.schema(rows.schema).parquet(src)
+            jobs.run(stream.writeStream.foreachBatch(jobs.rebuild_days(bronze, silver)).option("checkpointLocation", state), once=True).awaitTermination()
     out = spark.read.parquet(silver)
     return out.select("event_id", "arrival_seq", "trust", F.col("date_key").cast("string").alias("date_key"))
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.dates import date_key, effective_ts
 from ..operators import gate, timeline
-from ..session import materialize, work_dir
+from ..session import SPLIT_ROWS, materialize, shuffles_for, work_dir
 from ..sinks.store import append_events, load_state, save_state
 from ..sources.log import parse_lines, split_corrupt
 from ..sources.reports import classify, report_texts
@@ -31,6 +31,27 @@ def run(query_of: Callable, *, once: bool, every: str = "5 seconds") -> Streamin
     return writer.start()
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings with these values; afterwards as they were."""
+    own = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in own.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: Reading and writing of whole events: small splits, as packed bytes unfold to some thirty times as much and a day's files are small;
+#: no generated method too large for the JVM to compile.
+WHOLE_EVENTS = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.files.openCostInBytes": "256k", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 @contextlib.contextmanager
 def state_partitions(spark: SparkSession) -> Iterator[None]:
     """Streams that start here keep their state in at most two partitions a core.
@@ -113,8 +134,8 @@ def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
 
     An id can lie in several days (a retry with another clock), so every day that shares an
     id with the new rows is rebuilt as well.  A small table of ids and their days tells which
-    days to read; the rest of the raw log is not opened.  A batch owns its folder, so one that
-    runs twice after a failure stores its rows once, with or without ids.
+    days to read; it is grouped once, to the distinct sets of days that an id lies in.  A batch owns its
+    folder, so one that runs twice after a failure stores its rows once, with or without ids.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -123,21 +144,24 @@ def rebuild_days(bronze: str, silver: str) -> Callable[[DataFrame, int], None]:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{path}/batch_id={number}")
         keyed = batch.withColumn("date_key", date_key("ts_wall"))
         put(keyed, f"{bronze}/rows", "date_key")
-
-        def rows_of(path: str, schema) -> DataFrame:
-            return spark.read.schema(schema).parquet(path).drop("batch_id")
-        stored = rows_of(f"{bronze}/rows/batch_id={number}", keyed.schema)
-        named = stored.where("event_id <> ''").select("event_id", "date_key").distinct()
-        put(named, f"{bronze}/days")
-        known = rows_of(f"{bronze}/days", "event_id STRING, date_key STRING")
-        log = rows_of(f"{bronze}/rows", keyed.schema)
-        sharing = known.join(named.select("event_id").distinct(), "event_id", "left_semi").select("date_key")
-        days = materialize(stored.select("date_key").unionByName(sharing).distinct(), "days")
-        ids = known.join(days, "date_key", "left_semi").select("event_id").distinct()
-        reach = known.join(ids, "event_id", "left_semi").select("date_key").unionByName(days).distinct()
-        rows = timeline.dedup_winners(timeline.drop_rejected(log.join(reach, "date_key", "left_semi"))).join(days, "date_key", "left_semi")
-        out = materialize(rows.withColumn("effective_ts", effective_ts("ts_wall", "clock_offset_sec")), "silver")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(silver)
+        # a stream switches the putting together of shuffle partitions off; none of these tables is state
+        with settings(spark, {"spark.sql.adaptive.enabled": "true"}):
+            stored = spark.read.schema(keyed.schema).parquet(f"{bronze}/rows/batch_id={number}")
+            put(stored.where("event_id <> ''").select("event_id", "date_key").distinct(), f"{bronze}/days")
+            known = spark.read.schema("event_id STRING, date_key STRING, batch_id BIGINT").parquet(f"{bronze}/days")
+            shuffles_for(spark, -(-known.count() // SPLIT_ROWS))
+            fresh = F.max(F.col("batch_id") == number).alias("fresh")
+            sets = known.groupBy("event_id").agg(F.array_sort(F.collect_set("date_key")).alias("days"), fresh)
+            sets = materialize(sets.groupBy("days").agg(F.max("fresh").alias("fresh")), "day-sets")
+            sharing = sets.where("fresh").select(F.explode("days").alias("date_key"))
+            days = materialize(stored.select("date_key").unionByName(sharing).distinct(), "days")
+            linked = sets.select("days", F.explode("days").alias("date_key")).join(days, "date_key", "left_semi").select(F.explode("days").alias("date_key"))
+            reach = materialize(linked.unionByName(days).distinct(), "reach")
+            log = spark.read.schema(keyed.schema).parquet(f"{bronze}/rows").drop("batch_id").join(reach, "date_key", "left_semi")
+            shuffles_for(spark, -(-log.count() // SPLIT_ROWS))
+            rows = timeline.dedup_winners(timeline.drop_rejected(log)).join(days, "date_key", "left_semi")
+            out = rows.withColumn("effective_ts", effective_ts("ts_wall", "clock_offset_sec"))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(silver)
     return write
 
 

@@ -80,6 +80,42 @@ def test_repeated_batches_store_their_rows_once(spark):
     assert store.read_events(spark, root).count() == 12
 
 
+def test_an_arrival_is_one_batch_whatever_its_files(spark, monkeypatch):
+    from daybrook.operators import timeline
+    from daybrook.plans import queries_flow
+    from daybrook.plans.activity import activity
+    rows = activity(spark, "/root/testdata/sf0.001")
+    wanted, batches, set_to = timeline.reconcile(rows), [], []
+    build, winners = jobs.rebuild_days, timeline.dedup_winners
+
+    def noted(bronze, silver):
+        write = build(bronze, silver)
+        return lambda batch, number: (batches.append((number, batch.count())), write(batch, number))
+
+    def seen(events):
+        names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        set_to.append([events.sparkSession.conf.get(name) for name in names])
+        return winners(events)
+    monkeypatch.setattr(queries_flow, "activity", lambda *_: rows.repartition(20))
+    monkeypatch.setattr(jobs, "rebuild_days", noted)
+    monkeypatch.setattr(jobs, "SPLIT_ROWS", 10)
+    monkeypatch.setattr(timeline, "dedup_winners", seen)
+    told = [sorted((r["event_id"], r["arrival_seq"], r["date_key"]) for r in df.select("event_id", "arrival_seq", "date_key").collect())
+            for df in (queries_flow.stream_timeline(spark, "/root/testdata/sf0.001"), wanted)]
+    assert told[0] == told[1] and len(told[0]) > 500
+    assert batches == [(k, rows.where(F.col("arrival_seq") % 2 == k).count()) for k in range(2)]
+    # tasks behind the shuffles follow the rows; the stream's own session had fixed them
+    assert [adaptive for adaptive, _ in set_to] == ["true", "true"] and all(int(parts) >= 50 for _, parts in set_to)
+
+
+def test_settings_are_put_back(spark):
+    names = {"spark.sql.codegen.hugeMethodLimit": "8000", "daybrook.unset": "1"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    with jobs.settings(spark, names):
+        assert {name: spark.conf.get(name) for name in names} == names
+    assert {name: spark.conf.get(name, None) for name in names} == before and before["daybrook.unset"] is None
+
+
 def test_days_found_by_look_up_equal_the_batch_timeline(spark):
     import os
 
