@@ -212,7 +212,7 @@ def relabel_since(notes: DataFrame, events: DataFrame, key: str = "host") -> Dat
     ``notes``: ``host, since, noted_at, note``; a note covers ``since`` up to, but not at, ``noted_at``.
     """
     last = F.struct("noted_at", "note")
-    held = intervals.best_of(events.select("event_id", key, "effective_ts"), notes, key, "effective_ts", F.unix_micros("since"), F.unix_micros("noted_at") - 1, last, "_last")
+    held = intervals.bests(events.select("event_id", key, "effective_ts"), notes, key, "effective_ts", F.unix_micros("since"), F.unix_micros("noted_at") - 1, last, "_last")
     return held.groupBy("event_id").agg(F.max("_last").alias("_last")).select("event_id", F.col("_last.note").alias("label"))
 
 

@@ -48,3 +48,34 @@ def test_without_spans(spark):
     none = spark.createDataFrame([], "host STRING, start TIMESTAMP, end TIMESTAMP, note STRING")
     assert sessions.suppress_paused(ev, none).count() == 1
     assert sessions.relabel_since(none.select("host", F.col("start").alias("since"), F.col("end").alias("noted_at"), "note"), ev).count() == 0
+
+
+def test_notes_are_few_rows_and_label_to_the_microsecond(spark, monkeypatch):
+    pick, written, keep = random.Random(5), [], intervals.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(intervals, "materialize", counted)
+    lengths = [timedelta(hours=3)] * 20 + [timedelta(days=3650), timedelta(days=4), timedelta(minutes=18), timedelta(seconds=1), timedelta(microseconds=1), timedelta(0)]
+    starts = [BASE + timedelta(microseconds=pick.randint(0, 10**11)) for _ in lengths]
+    starts[3] = BASE - timedelta(microseconds=(int(BASE.timestamp()) * 1_000_000 + intervals.SHIFT) % (1 << 30))
+    notes = [("a" if k % 3 else "b", s, s + length, f"n{k}") for k, (s, length) in enumerate(zip(starts, lengths, strict=True))]
+    notes.append(("a", notes[4][1], notes[4][2], "n99"))
+    one = timedelta(microseconds=1)
+    instants = [t + d for _, s, e, _ in notes for t in (s, e, s + (e - s) / 2) for d in (-one, timedelta(0), one)]
+    events = [(2 * k + n, host, t) for k, t in enumerate(instants) for n, host in enumerate("ab")] + [(10**6, None, BASE), (10**6 + 1, "a", None)]
+    # an id that comes again has the last of its notes
+    events += [(0, "a", notes[7][1]), (0, "a", notes[8][1])]
+    want = {}
+    for k, h, t in events:
+        fit = [(e, note) for host, s, e, note in notes if host == h and t is not None and s <= t < e]
+        if fit:
+            want[k] = max(*fit, want.get(k, fit[0]))
+    want = {k: note for k, (_, note) in want.items()}
+    table = spark.createDataFrame(notes, "host STRING, since TIMESTAMP, noted_at TIMESTAMP, note STRING")
+    labels = sessions.relabel_since(table, spark.createDataFrame(events, "event_id LONG, host STRING, effective_ts TIMESTAMP"))
+    rows = [(r["event_id"], r["label"]) for r in labels.collect()]
+    assert len(rows) == len(want) and dict(rows) == want
+    assert sum(written) < 32 * len(notes)
